@@ -25,7 +25,7 @@ HOT_SHARE = 1.0 / 5_000
 # ... and more rows than one task sorts comfortably anyway.
 HOT_ROWS = 1_000_000
 
-_CHUNK, _HOT = "__chunk", "__hot"
+_CHUNK = "__chunk"
 
 
 def hot_keys(
@@ -39,8 +39,9 @@ def hot_keys(
     counts = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min(micros).alias("lo"), F.max(micros).alias("hi")
     )
-    total = counts.agg(F.sum("n")).scalar()
-    limit = F.greatest(F.lit(float(min_rows)), total * F.lit(share))
+    # The total is taken over the same columns, so that Spark reuses the shuffle of the counts.
+    overall = counts.agg(F.struct(F.sum("n").alias("n"), F.min("lo"), F.max("hi")).alias("all"))
+    limit = F.greatest(F.lit(float(min_rows)), overall.scalar().getField("n") * F.lit(share))
     chunks = F.ceil(F.col("n") / limit)
     return counts.filter(F.col("n") > limit).select(
         *keys, F.col("lo"), ((F.col("hi") - F.col("lo")) / chunks + 1).cast("bigint").alias("width")
@@ -56,22 +57,24 @@ def _same_keys(keys: Sequence[str], left: str, right: str) -> Column:
     return condition
 
 
-def _with_chunks(df: DataFrame, keys: list[str], ts: str, share: float, min_rows: int) -> DataFrame:
-    hot = hot_keys(df, keys, ts, share, min_rows)
-    d = df.alias("d")
-    h = F.broadcast(hot).alias("h")
+def _with_chunks(df: DataFrame, hot: DataFrame, keys: list[str], ts: str, how: str) -> DataFrame:
+    """Numbers the chunks of hot keys; an ordinary key has chunk 0 only.
+
+    "left" keeps all rows, "inner" those of hot keys. When there are no hot keys, adaptive execution
+    finds the broadcast side empty and drops an inner branch without reading its input.
+    """
     micros = F.unix_micros(F.col(f"d.`{ts}`").cast("timestamp"))
     chunk = F.floor((micros - F.col("h.lo")) / F.col("h.width"))
-    return d.join(h, _same_keys(keys, "d", "h"), "left").select(
-        "d.*",
-        F.coalesce(chunk, F.lit(0)).cast("bigint").alias(_CHUNK),
-        F.col("h.width").isNotNull().alias(_HOT),
+    return (
+        df.alias("d")
+        .join(F.broadcast(hot).alias("h"), _same_keys(keys, "d", "h"), how)
+        .select("d.*", F.coalesce(chunk, F.lit(0)).cast("bigint").alias(_CHUNK))
     )
 
 
 def _with_borders(df: DataFrame, borders: DataFrame, keys: list[str]) -> DataFrame:
     """Each row next to the border row of its chunk; rows of ordinary keys have none."""
-    on = _same_keys([*keys, _CHUNK], "d", "b") & F.col(f"d.{_HOT}")
+    on = _same_keys([*keys, _CHUNK], "d", "b")
     return df.alias("d").join(F.broadcast(borders).alias("b"), on, "left")
 
 
@@ -96,26 +99,27 @@ def scd2_history(
     ``tiebreak`` is ever in force; pass ``distinct_times`` when there are none, to save a shuffle.
     """
     keys, tracking = as_list(natural_key), list(tracking_columns)
-    rows = events.select(
-        *dict.fromkeys([*keys, *tracking, ts, *as_list(tiebreak)])
-    )
+    rows = events.select(*dict.fromkeys([*keys, *tracking, ts, *as_list(tiebreak)]))
+    hot = hot_keys(rows, keys, ts, share, min_rows)
     if not distinct_times:
         rows = latest_per_key(rows, [*keys, ts], as_list(tiebreak))
-    chunked = _with_chunks(rows.select(*keys, *tracking, ts), keys, ts, share, min_rows)
 
     # Within a chunk: drop events that repeat the one before, then look ahead to the next start.
     in_chunk = Window.partitionBy(*keys, _CHUNK).orderBy(ts)
-    changes = (
-        chunked.withColumn("__row", row_struct(tracking))
-        .withColumn("__prev", F.lag("__row").over(in_chunk))
-        .filter(F.col("__prev").isNull() | ~F.col("__row").eqNullSafe(F.col("__prev")))
-        .withColumn("__next", F.lead(ts).over(in_chunk))
-    )
+
+    def changes(how: str) -> DataFrame:
+        return (
+            _with_chunks(rows, hot, keys, ts, how)
+            .select(*keys, *tracking, ts, _CHUNK, row_struct(tracking).alias("__row"))
+            .withColumn("__prev", F.lag("__row").over(in_chunk))
+            .filter(F.col("__prev").isNull() | ~F.col("__row").eqNullSafe(F.col("__prev")))
+            .withColumn("__next", F.lead(ts).over(in_chunk))
+        )
 
     # Between chunks of a hot key: does the first row repeat the last one of the chunk before, and
     # when does a later chunk first start a version?
     edge = F.struct(F.col(ts).alias("ts"), F.col("__row").alias("row"), F.col("__next").alias("next"))
-    ends = changes.filter(F.col(_HOT)).groupBy(*keys, _CHUNK).agg(
+    ends = changes("inner").groupBy(*keys, _CHUNK).agg(
         F.min(edge).alias("first"), F.max(edge).alias("last")
     )
     along = Window.partitionBy(*keys).orderBy(_CHUNK)
@@ -126,7 +130,7 @@ def scd2_history(
         .withColumn("then", F.min("opens").over(along.rowsBetween(1, Window.unboundedFollowing)))
         .select(*keys, _CHUNK, F.col("first.ts").alias("first_ts"), "repeats", "then")
     )
-    joined = _with_borders(changes, borders, keys).filter(
+    joined = _with_borders(changes("left"), borders, keys).filter(
         ~F.coalesce(F.col("b.repeats") & (F.col(f"d.`{ts}`") == F.col("b.first_ts")), F.lit(False))
     )
     versions = joined.select(
@@ -192,22 +196,23 @@ def as_of_join(
         F.lit(1).alias("__is_fact"),
         F.struct(*[F.col(f"`{c}`") for c in fact.columns]).alias("__fact"),
     )
-    line = _with_chunks(
-        starts.unionByName(rows, allowMissingColumns=True), fact_keys, "__at", share, min_rows
-    )
+    line = starts.unionByName(rows, allowMissingColumns=True)
+    hot = hot_keys(line, fact_keys, "__at", share, min_rows)
     so_far = (
         Window.partitionBy(*fact_keys, _CHUNK)
         .orderBy("__at", "__is_fact")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    filled = line.withColumn("__version", F.last("__version", ignorenulls=True).over(so_far))
+    filled = _with_chunks(line, hot, fact_keys, "__at", "left").withColumn(
+        "__version", F.last("__version", ignorenulls=True).over(so_far)
+    )
 
     # The version a chunk of a hot key inherits from the chunks before it.
     before = (
         Window.partitionBy(*fact_keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     )
     borders = (
-        line.filter(F.col(_HOT))
+        _with_chunks(line, hot, fact_keys, "__at", "inner")
         .groupBy(*fact_keys, _CHUNK)
         .agg(F.max_by("__version", F.when(F.col("__is_fact") == 0, F.col("__at"))).alias("newest"))
         .withColumn("inherited", F.last("newest", ignorenulls=True).over(before))

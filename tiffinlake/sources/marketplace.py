@@ -6,6 +6,7 @@ that knows the retail column names; everything downstream sees the warehouse's o
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -31,7 +32,7 @@ DIM_TRACKING = {
     "deliveryagent": ["name", "location_id_fk"],
 }
 
-_gold_facts: dict[tuple[str, str], str] = {}
+_stored: dict[tuple[str, str, str], str] = {}
 
 
 def money(c: str) -> Column:
@@ -49,9 +50,13 @@ def delivery_status(c: str = "o_orderstatus") -> Column:
 class Marketplace:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        # Opening a table reads file footers, so each is opened once.
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     # Entities, typed as in silver.
 
@@ -217,12 +222,15 @@ class Marketplace:
             self.order_items(), self.orders(), self.deliveries(), self.dims(), **options
         )
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A gold table as reports read it: built and written once per session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _stored or not files.exists(self.spark, _stored[key]):
+            path = files.shared_folder(self.spark, name)
+            build().write.parquet(path)
+            _stored[key] = path
+        return self.spark.read.parquet(_stored[key])
+
     @cached_property
     def fact(self) -> DataFrame:
-        """The fact table as reports read it: built and written once per session."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _gold_facts or not files.exists(self.spark, _gold_facts[key]):
-            path = files.shared_folder(self.spark, "order-item-fact")
-            self.build_fact().write.parquet(path)
-            _gold_facts[key] = path
-        return self.spark.read.parquet(_gold_facts[key])
+        return self.stored("order-item-fact", self.build_fact)
