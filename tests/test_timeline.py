@@ -1,0 +1,116 @@
+"""Ordered-per-key operators against brute force, with ordinary and with hot keys."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import rows
+from tiffinlake.operators.timeline import as_of_join, hot_keys, scd2_history
+
+START = datetime(2024, 1, 1)
+# Thresholds under which the fixtures' large key counts as hot, and those under which none does.
+HOT = {"share": 0.02, "min_rows": 5}
+NONE = {"share": 1.0, "min_rows": 10**9}
+
+
+def events(seed, n=400, days=60):
+    """Half of the rows belong to one key; some have no key, some share their instant."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        key = rng.choice([1, 1, 1, 1, 2, 3, None, rng.randint(4, 40)])
+        at = START + timedelta(hours=rng.randint(0, days * 24) if key != 2 else rng.randint(0, 6))
+        out.append((key, rng.choice(["a", "a", "b", None]), at, i))
+    return out
+
+
+def brute_history(data):
+    last = {}
+    for key, state, at, seq in data:
+        if (key, at) not in last or last[key, at][1] < seq:
+            last[key, at] = (state, seq)
+    per_key = {}
+    for (key, at), (state, _) in last.items():
+        per_key.setdefault(key, []).append((at, state))
+    out = []
+    for key, changes in per_key.items():
+        changes.sort()
+        kept = [c for i, c in enumerate(changes) if i == 0 or changes[i - 1][1] != c[1]]
+        for i, (at, state) in enumerate(kept):
+            end = kept[i + 1][0] if i + 1 < len(kept) else None
+            out.append((key, state, at, end, end is None))
+    return sorted(out, key=repr)
+
+
+SCHEMA = "k bigint, state string, at timestamp, seq int"
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("limits", [HOT, NONE], ids=["hot", "plain"])
+def test_history(spark, seed, limits):
+    data = events(seed)
+    df = spark.createDataFrame(data, SCHEMA)
+    got = scd2_history(df, "k", ["state"], "at", tiebreak="seq", **limits)
+    assert rows(got) == brute_history(data)
+
+
+def test_fixture_has_hot_keys_and_their_number_is_bounded(spark):
+    df = spark.createDataFrame(events(0), SCHEMA)
+    hot = hot_keys(df, ["k"], "at", **HOT)
+    assert 1 <= hot.count() <= 1 / HOT["share"]
+    assert hot_keys(df, ["k"], "at", **NONE).count() == 0
+
+
+def test_history_of_a_key_that_never_changes(spark):
+    data = [(1, "a", START + timedelta(days=i), i) for i in range(200)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = scd2_history(df, "k", ["state"], "at", tiebreak="seq", **HOT)
+    assert rows(got) == [(1, "a", START, None, True)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("how", ["left", "inner"])
+@pytest.mark.parametrize("method", ["lookup", "plain", "hot"])
+def test_as_of(spark, seed, how, method):
+    rng = random.Random(seed)
+    versions = [v for v in brute_history(events(seed, 150)) if v[0] is not None]
+    # Leave gaps, as a deleted and reactivated member does.
+    versions = [v for v in versions if rng.random() < 0.8]
+    facts = [
+        (i, rng.choice([1, 1, 1, 2, 3, None, 77]), START + timedelta(hours=rng.randint(-48, 1500))) for i in range(300)
+    ]
+    # Facts exactly at a start belong to that version, at an end to the next.
+    facts += [(1000 + i, v[0], v[2]) for i, v in enumerate(versions)]
+    facts += [(2000 + i, v[0], v[3]) for i, v in enumerate(versions) if v[3]]
+    expected = []
+    for i, key, at in facts:
+        hit = [v for v in versions if v[0] == key and v[2] <= at and (v[3] is None or at < v[3])]
+        if hit or how == "left":
+            expected.append((i, hit[0][1] if hit else None, hit[0][2] if hit else None))
+    fact = spark.createDataFrame(facts, "id int, k bigint, at timestamp")
+    dim = spark.createDataFrame(versions, "key bigint, state string, eff_start_date timestamp, eff_end_date timestamp, is_current boolean")
+    got = as_of_join(
+        fact, dim, {"k": "key"}, "at", columns=["state", "eff_start_date"], how=how,
+        small_dim=method == "lookup", **(HOT if method == "hot" else NONE),
+    )
+    assert rows(got, "id", "state", "eff_start_date") == sorted(expected, key=repr)
+
+
+def test_rows_of_a_hot_key_are_spread_over_tasks(spark):
+    """A key with most of the rows must not end up in one window partition."""
+    n = 20_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(-1)).alias("k"),
+        F.timestamp_seconds(F.col("id")).alias("at"),
+        (F.col("id") % 2).cast("string").alias("state"),
+        F.col("id").alias("seq"),
+    )
+    from tiffinlake.operators import timeline
+
+    hot = hot_keys(df, ["k"], "at", share=0.01, min_rows=100)
+    chunked = timeline._with_chunks(df, hot, ["k"], "at", "left")
+    largest = chunked.groupBy("k", "__chunk").count().agg(F.max("count")).collect()[0][0]
+    assert largest <= n * 0.02
+    assert chunked.count() == n

@@ -1,0 +1,140 @@
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import rows, ts
+from tiffinlake.functions.keys import change_hash, hash_key
+from tiffinlake.operators.dedup import latest_per_key
+from tiffinlake.operators.deletes import active_only, delete_where, hard_delete, soft_delete
+from tiffinlake.operators.upsert import upsert
+
+SCHEMA = "k bigint, name string, amount int"
+
+
+def table(spark, *values, schema=SCHEMA):
+    return spark.createDataFrame(list(values), schema)
+
+
+@pytest.fixture(params=["small batch", "large batch"])
+def both_shapes(request, spark):
+    if request.param == "large batch":
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_update_insert_keep(spark, both_shapes):
+    target = table(spark, (1, "a", 1), (2, "b", 2), (None, "n", 0))
+    source = table(spark, (2, "B", None), (3, "c", 3), (None, "m", 9))
+    assert rows(upsert(target, source, "k")) == sorted(
+        [(1, "a", 1), (2, "B", None), (3, "c", 3), (None, "n", 0), (None, "m", 9)], key=repr
+    )
+
+
+def test_missing_target_is_an_empty_one(spark):
+    got = upsert(None, table(spark, (1, "a", 1), (1, "b", 2)), "k", order_by="amount", batch_ts="2024-01-01 00:00:00")
+    assert rows(got) == [(1, "b", 2, ts("2024-01-01"), ts("2024-01-01"))]
+
+
+def test_partial_update_sets_all_columns_on_insert(spark, both_shapes):
+    target, source = table(spark, (1, "a", 1)), table(spark, (1, "z", 9), (2, "b", 2))
+    assert rows(upsert(target, source, "k", update_columns=["amount"])) == [(1, "a", 9), (2, "b", 2)]
+
+
+def test_delete_wins_over_update(spark, both_shapes):
+    target = table(spark, (1, "a", 1), (2, "b", 2), (3, "c", 3))
+    source = table(spark, (1, "drop", 9), (2, "keep", 9), (4, "drop", 9), (3, None, 9))
+    got = upsert(target, source, "k", delete_condition=F.col("source.name") == "drop")
+    assert rows(got) == sorted([(2, "keep", 9), (3, None, 9), (4, "drop", 9)], key=repr)
+
+
+def test_only_if_changed_leaves_stamps_alone(spark, both_shapes):
+    old, new = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
+    target = upsert(None, table(spark, (1, "a", 1), (2, None, 2), (3, None, 3)), "k", batch_ts=old)
+    source = table(spark, (1, "a", 1), (2, "x", 2), (3, None, 3), (4, "d", 4))
+    got = upsert(target, source, "k", only_if_changed=True, batch_ts=new)
+    assert rows(got, "k", "name", "_updated_at", "_inserted_at") == sorted(
+        [
+            (1, "a", ts(old), ts(old)), (2, "x", ts(new), ts(old)), (3, None, ts(old), ts(old)),
+            (4, "d", ts(new), ts(new)),
+        ],
+        key=repr,
+    )
+
+
+def test_compare_columns_narrow_the_change_test(spark):
+    target, source = table(spark, (1, "a", 1), (2, "b", 2)), table(spark, (1, "a", 9), (2, "B", 9))
+    got = upsert(target, source, "k", only_if_changed=True, compare_columns=["name"])
+    assert rows(got) == [(1, "a", 1), (2, "B", 9)]
+
+
+def test_schema_evolution(spark, both_shapes):
+    target = table(spark, (1, "a", 1), (2, "b", 2))
+    source = table(spark, (2, "x"), (3, "y"), schema="k bigint, extra string")
+    assert rows(upsert(target, source, "k")) == sorted(
+        [(1, "a", 1, None), (2, "b", 2, "x"), (3, None, None, "y")], key=repr
+    )
+
+
+def test_self_derived_source(spark, both_shapes):
+    target = table(spark, (1, "a", 1), (2, "b", 2))
+    got = upsert(target, target.filter("k = 2").withColumn("amount", F.lit(7)), "k")
+    assert rows(got) == [(1, "a", 1), (2, "b", 7)]
+
+
+def test_upsert_twice_is_upsert_once(spark):
+    target, source = table(spark, (1, "a", 1)), table(spark, (1, "b", 2), (2, "c", 3))
+    once = upsert(target, source, "k")
+    assert rows(upsert(once, source, "k")) == rows(once)
+
+
+def test_latest_per_key_breaks_ties_by_all_columns(spark):
+    df = table(spark, (1, "a", 5), (1, "b", 5), (1, None, 5), (1, "z", None), (2, "q", None), (None, "n", 1), (None, "m", 2))
+    expected = [(1, "b", 5), (2, "q", None), (None, "m", 2)]
+    assert rows(latest_per_key(df, "k", "amount")) == sorted(expected, key=repr)
+    assert rows(latest_per_key(df.orderBy(F.desc("name")), "k", "amount")) == sorted(expected, key=repr)
+    assert df.columns == latest_per_key(df, "k", "amount").columns
+
+
+def test_hash_keys_see_nulls(spark):
+    df = spark.createDataFrame([(None, "a"), ("a", None), (None, None)], "x string, y string")
+    assert df.select(hash_key("x", "y")).distinct().count() == 3
+    assert df.select(change_hash(["x", "y"]).alias("h"), hash_key("x", "y").alias("k")).filter("h = k").count() == 3
+    typed = spark.createDataFrame([(1, Decimal("1.50"))], "a int, b decimal(10,2)")
+    assert len(typed.select(hash_key("a", "b")).collect()[0][0]) == 64
+
+
+DELETES = "k bigint, delete_reason string, delete_timestamp timestamp"
+
+
+def test_fact_logical_delete_example(spark):
+    fact = spark.createDataFrame([(2001, 1001, "Delivered"), (2002, 1002, "Delivered")],
+                                 "order_item_id bigint, order_id bigint, delivery_status string")
+    request = spark.createDataFrame([(2001, "Order returned and refunded", ts("2023-03-25T15:10:00"))],
+                                    DELETES.replace("k ", "order_item_id ", 1))
+    got = soft_delete(fact, request, "order_item_id", "delivery_status", "Returned")
+    assert rows(got) == sorted(
+        [
+            (2001, 1001, "Returned", True, "Order returned and refunded", ts("2023-03-25T15:10:00")),
+            (2002, 1002, "Delivered", False, None, None),
+        ],
+        key=repr,
+    )
+    assert rows(active_only(got), "order_item_id") == [(2002,)]
+    later = request.withColumn("delete_reason", F.lit("again")).withColumn("delete_timestamp", F.lit(ts("2024-01-01")))
+    assert rows(soft_delete(got, later, "order_item_id", "delivery_status", "Lost")) == rows(got)
+
+
+def test_hard_delete_example(spark):
+    df = table(spark, (8001, "x", 1), (8001, "y", 2), (8002, "z", 3), (None, "n", 4))
+    requests = table(spark, (8001, "GDPR Request", ts("2023-03-25T15:10:00")), (9, "unknown key", ts("2023-01-01")), schema=DELETES)
+    kept, audit = hard_delete(df, requests, "k", "ORDER_ITEM_FACT")
+    assert rows(kept) == sorted([(8002, "z", 3), (None, "n", 4)], key=repr)
+    assert rows(audit, "table_name", "primary_key_value", "delete_reason", "delete_timestamp", "deleted_by") == [
+        ("ORDER_ITEM_FACT", "8001", "GDPR Request", ts("2023-03-25T15:10:00"), "System")
+    ]
+
+
+def test_delete_where_keeps_unknown(spark):
+    assert rows(delete_where(table(spark, (1, "a", 1), (2, None, 2)), F.col("name") == "a"), "k") == [(2,)]
