@@ -86,3 +86,32 @@ def test_clustered_files_have_disjoint_ranges(spark, tmp_path):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert files.shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_merge_touches_only_affected_partitions(spark, tmp_path):
+    from tiffinlake.operators.upsert import upsert
+
+    path = str(tmp_path / "m")
+    schema = "k bigint, v string, month int"
+    merge = lambda current, batch: upsert(current, batch, "k", ["v"])
+
+    def run(*values):
+        tables.merge_partitions(spark, path, spark.createDataFrame(list(values), schema), ["k"], "month", merge)
+        return rows(tables.read_table(spark, path), "k", "v", "month")
+
+    run((1, "a", 202301), (2, "b", 202302), (3, "c", 202303))
+    untouched = sorted(p.name for p in (tmp_path / "m" / "month=202303").iterdir())
+    # Key 1 comes again under another month: it stays where it is stored.
+    assert run((1, "A", 202302), (4, "d", 202304)) == [
+        (1, "A", 202301), (2, "b", 202302), (3, "c", 202303), (4, "d", 202304),
+    ]
+    assert sorted(p.name for p in (tmp_path / "m" / "month=202303").iterdir()) == untouched
+    assert run((1, "A", 202302), (4, "d", 202304))[0] == (1, "A", 202301), "again: no change"
+
+
+def test_partitioned_writes_are_few_files(spark, tmp_path):
+    path = str(tmp_path / "p")
+    df = spark.range(0, 8000, 1, 8).select("id", (F.col("id") % 10).cast("int").alias("part"))
+    tables.write_table(df, path, "overwrite", ["part"])
+    assert len(list((tmp_path / "p").glob("part=*/*.parquet"))) <= 20
+    assert spark.read.parquet(path).count() == 8000

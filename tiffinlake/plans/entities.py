@@ -35,6 +35,8 @@ class Entity:
     required: tuple[str, ...] = ()
     foreign_keys: tuple[ForeignKey, ...] = ()
     raw_aliases: dict = field(default_factory=dict, hash=False)
+    # Creation time of a table that grows with sales and is stored by month; None for master data.
+    created: str | None = None
     start: str = "eff_start_date"
     end: str = "eff_end_date"
     flag: str = "is_current"
@@ -224,6 +226,7 @@ DELIVERY = Entity(
         Field("modified_date", "modifieddate", TS),
     ),
     keys=("delivery_id", "order_id_fk", "delivery_agent_id_fk"),
+    created="created_date",
     modified="modified_date",
     required=("delivery_id", "order_id_fk"),
     foreign_keys=(
@@ -247,6 +250,7 @@ ORDERS = Entity(
         Field("modified_dt", "modifieddate", TS),
     ),
     keys=("order_id",),
+    created="created_dt",
     modified="modified_dt",
     # Later deliveries of an order may only change these.
     update_columns=("total_amount", "status", "payment_method", "modified_dt"),
@@ -270,6 +274,7 @@ ORDER_ITEM = Entity(
         Field("modified_dt", "modifieddate", TS),
     ),
     keys=("order_item_id", "order_id_fk", "menu_id_fk"),
+    created="created_dt",
     modified="modified_dt",
     required=("order_item_id", "order_id_fk", "menu_id_fk"),
     foreign_keys=(

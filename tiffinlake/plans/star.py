@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -160,9 +160,12 @@ def build_order_item_fact(
     lookup: str = "current",
     batch_ts=None,
     execution_date: str | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """The fact at order-item grain; measures come from the order item.
 
+    Columns of the order items named in ``carry`` are passed on.
+
     ``how``: "left" keeps items whose orders, deliveries or dimensions are missing (NULL keys),
     "inner" drops them. ``lookup``: "current" dimension versions, or those valid at order time.
     Of several deliveries of an order the latest counts, so the grain never fans out.
@@ -173,7 +176,7 @@ def build_order_item_fact(
     execution splits skewed order, customer or restaurant keys where it does not.
     """
     headers = _order_headers(orders, delivery, dims, how, lookup)
-    items = order_items.select("order_item_id", "order_id_fk", "menu_id_fk", *MEASURES)
+    items = order_items.select("order_item_id", "order_id_fk", "menu_id_fk", *MEASURES, *carry)
     fact = (
         items.alias("i")
         .join(headers.alias("h"), F.expr("i.order_id_fk = h.header_order_id"), how)
@@ -190,6 +193,7 @@ def build_order_item_fact(
         *[F.col(c) for c in MEASURES],
         F.col("delivery_status"),
         F.col("estimated_time"),
+        *[F.col(c) for c in carry],
     ]
     if batch_ts is not None:
         columns.append(as_timestamp(batch_ts).alias("_processing_time"))
@@ -198,9 +202,15 @@ def build_order_item_fact(
     return fact.select(*columns)
 
 
-def upsert_fact(target: DataFrame | None, source: DataFrame, batch_ts=None) -> DataFrame:
-    """Keyed upsert, so loading a batch again changes nothing and late dimensions fill NULL keys."""
-    return upsert(target, source, FACT_KEYS, batch_ts=batch_ts)
+def upsert_fact(
+    target: DataFrame | None, source: DataFrame, batch_ts=None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Keyed upsert, so loading a batch again changes nothing and late dimensions fill NULL keys.
+
+    Columns in ``keep`` stay as first stored.
+    """
+    updated = [c for c in source.columns if c not in FACT_KEYS and c not in keep]
+    return upsert(target, source, FACT_KEYS, updated, batch_ts=batch_ts)
 
 
 def unresolved(required: tuple[str, ...] = ("customer_dim_key", "restaurant_dim_key", "menu_dim_key")) -> Column:

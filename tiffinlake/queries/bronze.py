@@ -75,9 +75,7 @@ def batch_slice(m):
     """One batch date out of a partitioned table: only its partition is read."""
     folder = files.shared_folder(m.spark, "events-by-day")
     events = m.table("events").withColumn(tables.BATCH_COLUMN, F.to_date("ts"))
-    # All rows of a day go to a few files: one shuffle key per day would leave one task per day.
-    spread = events.repartition(tables.BATCH_COLUMN, F.pmod(F.hash("event_id"), F.lit(4)))
-    tables.write_table(spread, folder, partition_by=[tables.BATCH_COLUMN])
+    tables.write_table(events, folder, partition_by=[tables.BATCH_COLUMN])
     return tables.read_batch(m.spark, folder, "2024-01-15").select("event_id", "user_id", "event_type", "value")
 
 

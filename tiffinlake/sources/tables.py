@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,10 +25,16 @@ def write_table(
 
     ``cluster_by`` range-partitions and sorts, so files cover narrow value ranges and their
     min/max statistics skip most of them; it also compacts many small files into few.
+
+    A partitioned write is rebalanced first: rows of a partition come together, so not every task
+    writes a file into every partition, and adaptive execution splits the large partitions again,
+    so none is written by a single task.
     """
     if cluster_by:
         n = (clusters,) if clusters else ()
         df = df.repartitionByRange(*n, *cluster_by).sortWithinPartitions(*cluster_by)
+    elif partition_by:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -46,8 +52,9 @@ def write_batch(df: DataFrame, path: str, execution_date: str) -> None:
     )
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(path)
+def read_table(spark: SparkSession, path: str, merge_schema: bool = True) -> DataFrame:
+    """``merge_schema`` shows columns that only later files have; it opens every file's footer."""
+    return spark.read.option("mergeSchema", merge_schema).parquet(path)
 
 
 def read_batch(spark: SparkSession, path: str, execution_date: str) -> DataFrame:
@@ -91,3 +98,41 @@ def read_snapshot(spark: SparkSession, path: str, version: int | None = None) ->
     elif version not in published:
         raise ValueError(f"no version {version} under {path}")
     return spark.read.parquet(f"{path}/v={version}")
+
+
+def merge_partitions(
+    spark: SparkSession,
+    path: str,
+    source: DataFrame,
+    keys: Sequence[str],
+    partition_by: str,
+    merge: Callable[[DataFrame | None, DataFrame], DataFrame],
+) -> None:
+    """Applies ``merge(current rows, source)`` to the partitions that ``source`` affects, only.
+
+    A daily batch touches a few partitions of a table that may hold years. Affected are those where
+    one of its keys is already stored, found by reading keys and nothing else, and those its own
+    rows belong to. ``merge`` must leave the partition column of stored rows alone and must not
+    empty a partition.
+
+    The result is written to the shared folder before it replaces anything, so a job that reads the
+    table while a task is retried never reads its own output, and a copy exists until the end.
+    """
+    if not files.exists(spark, path):
+        write_table(merge(None, source), path, "overwrite", [partition_by])
+        return
+    stored = read_table(spark, path)
+    own = source.select(partition_by)
+    hit = stored.select(*keys, partition_by).join(source.select(*keys), list(keys), "left_semi")
+    # At most one row per partition of the table reaches the driver.
+    affected = [r[0] for r in hit.select(partition_by).unionByName(own).distinct().collect()]
+    current = stored.filter(F.col(partition_by).isin(affected))
+    staging = files.shared_folder(spark, "merge")
+    write_table(merge(current, source), staging, "overwrite", [partition_by])
+    (
+        read_table(spark, staging)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(partition_by)
+        .parquet(path)
+    )
