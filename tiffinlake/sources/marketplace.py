@@ -136,7 +136,7 @@ class Marketplace:
     def _order_supplier(self) -> DataFrame:
         return self.table("lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("supplier"))
 
-    def orders(self) -> DataFrame:
+    def build_orders(self) -> DataFrame:
         """An order is placed at the first supplier among its lines."""
         ordered = F.col("o_orderdate").cast("timestamp")
         return (
@@ -154,7 +154,7 @@ class Marketplace:
             )
         )
 
-    def deliveries(self) -> DataFrame:
+    def build_deliveries(self) -> DataFrame:
         ordered = F.col("o_orderdate").cast("timestamp")
         return (
             self.table("orders")
@@ -185,10 +185,21 @@ class Marketplace:
             F.col("l_shipdate").cast("timestamp").alias("modified_dt"),
         )
 
-    def order_items(self) -> DataFrame:
+    def build_order_items(self) -> DataFrame:
         """The latest delivery of each line."""
         return latest_per_key(self.order_lines(), ["order_item_id", "order_id_fk"], "modified_dt")
 
+    # The sales tables as stored in silver.
+
+    def orders(self) -> DataFrame:
+        return self.stored("orders", self.build_orders)
+
+    def deliveries(self) -> DataFrame:
+        return self.stored("deliveries", self.build_deliveries)
+
+    def order_items(self) -> DataFrame:
+        return self.stored("order-items", self.build_order_items)
+
     # Gold.
 
     def dimension(self, entity: en.Entity, rows: DataFrame) -> DataFrame:
@@ -223,7 +234,7 @@ class Marketplace:
         )
 
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A gold table as reports read it: built and written once per session."""
+        """A derived table as its readers find it: built and written once per session."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _stored or not files.exists(self.spark, _stored[key]):
             path = files.shared_folder(self.spark, name)
