@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows
-from tiffinlake.operators.timeline import as_of_join, hot_keys, scd2_history
+from tiffinlake.operators import timeline
+from tiffinlake.operators.timeline import as_of_join, hot_cells, scd2_history
 
 START = datetime(2024, 1, 1)
 # Thresholds under which the fixtures' large key counts as hot, and those under which none does.
@@ -21,7 +22,12 @@ def events(seed, n=400, days=60):
     out = []
     for i in range(n):
         key = rng.choice([1, 1, 1, 1, 2, 3, None, rng.randint(4, 40)])
-        at = START + timedelta(hours=rng.randint(0, days * 24) if key != 2 else rng.randint(0, 6))
+        # Key 2 changes within hours; most rows of key 1 come in one burst.
+        hour = rng.randint(0, days * 24)
+        if key == 2 or (key == 1 and rng.random() < 0.7):
+            hour = rng.randint(500, 506) + rng.random()
+        at = START + timedelta(hours=hour)
+        at = at.replace(microsecond=0)
         out.append((key, rng.choice(["a", "a", "b", None]), at, i))
     return out
 
@@ -58,9 +64,10 @@ def test_history(spark, seed, limits):
 
 def test_fixture_has_hot_keys_and_their_number_is_bounded(spark):
     df = spark.createDataFrame(events(0), SCHEMA)
-    hot = hot_keys(df, ["k"], "at", **HOT)
+    hot, chunks = hot_cells(df, ["k"], "at", **HOT)
     assert 1 <= hot.count() <= 1 / HOT["share"]
-    assert hot_keys(df, ["k"], "at", **NONE).count() == 0
+    assert 1 <= chunks.count() <= 1 / HOT["share"]
+    assert [c.count() for c in hot_cells(df, ["k"], "at", **NONE)] == [0, 0]
 
 
 def test_history_of_a_key_that_never_changes(spark):
@@ -98,19 +105,21 @@ def test_as_of(spark, seed, how, method):
     assert rows(got, "id", "state", "eff_start_date") == sorted(expected, key=repr)
 
 
-def test_rows_of_a_hot_key_are_spread_over_tasks(spark):
-    """A key with most of the rows must not end up in one window partition."""
+@pytest.mark.parametrize("burst", [False, True], ids=["steady", "burst"])
+def test_rows_of_a_hot_key_are_spread_over_tasks(spark, burst):
+    """A key with most of the rows must not end up in one window partition, burst or not."""
     n = 20_000
+    second = F.when(F.col("id") == 2, F.lit(10**9)).otherwise(F.col("id")) if burst else F.col("id")
     df = spark.range(n).select(
         F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(-1)).alias("k"),
-        F.timestamp_seconds(F.col("id")).alias("at"),
-        (F.col("id") % 2).cast("string").alias("state"),
-        F.col("id").alias("seq"),
+        F.timestamp_micros(second * (1_000 if burst else 1_000_000)).alias("at"),
     )
-    from tiffinlake.operators import timeline
-
-    hot = hot_keys(df, ["k"], "at", share=0.01, min_rows=100)
+    hot = hot_cells(df, ["k"], "at", share=0.01, min_rows=100)
     chunked = timeline._with_chunks(df, hot, ["k"], "at", "left")
-    largest = chunked.groupBy("k", "__chunk").count().agg(F.max("count")).collect()[0][0]
-    assert largest <= n * 0.02
+    sizes = chunked.groupBy("k", "__chunk").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    assert sizes.agg(F.max("n")).collect()[0][0] <= n * 0.02
     assert chunked.count() == n
+    # Chunk numbers follow time.
+    ordered = sizes.filter("k = -1").orderBy("__chunk").collect()
+    assert all(a.hi < b.lo for a, b in zip(ordered, ordered[1:]))
+    assert len(ordered) <= 4 / 0.01

@@ -1,12 +1,13 @@
 """Ordered-per-key operators that stay parallel when one key owns a large part of the rows.
 
 A window over a key runs in one task, however large the key. Keys with more than their share of the
-rows are therefore cut along time into chunks, each an own window partition. What has to cross a
-chunk border is one small row per chunk; these are combined separately and sent back.
+rows are therefore cut along time into chunks, each an own window partition; a chunk that a burst
+leaves above the share is cut once more within its own time range. What has to cross a chunk border
+is one small row per chunk; these are combined separately and sent back.
 
-The bound that makes this safe: at most ``1 / share`` keys can each hold more than ``share`` of the
-rows, and a key is cut into about (its rows) / (share of all rows) chunks. So there are never more
-than ``2 / share`` border rows, whatever the data, and broadcasting them is safe.
+The bound that makes this safe: at most ``1 / share`` keys, or chunks, can each hold more than
+``share`` of the rows, and one is cut into about (its rows) / (share of all rows) pieces. So there are
+never more than ``4 / share`` border rows, whatever the data, and broadcasting them is safe.
 """
 
 from __future__ import annotations
@@ -26,26 +27,37 @@ HOT_SHARE = 1.0 / 5_000
 HOT_ROWS = 1_000_000
 
 _CHUNK = "__chunk"
+# Room for the pieces of one chunk when chunks are renumbered: more than any cut can make.
+_FAN = 1_000_000_000
 
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], ts: str, share: float = HOT_SHARE, min_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Keys above the share, with the start of their time range and the length of one chunk.
-
-    At most ``1 / share`` rows by construction. Reads key and time only and combines map-side.
-    """
+def _counts(df: DataFrame, by: Sequence[str], ts: str) -> DataFrame:
+    """Rows and time range per group. Reads the group and the time only and combines map-side."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    counts = df.groupBy(*keys).agg(
+    return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.min(micros).alias("lo"), F.max(micros).alias("hi")
     )
+
+
+def _too_large(counts: DataFrame, by: Sequence[str], limit: Column) -> DataFrame:
+    """Groups above the limit, with the start of their time range and the length of one piece."""
+    pieces = F.ceil(F.col("n") / limit)
+    width = ((F.col("hi") - F.col("lo")) / pieces + 1).cast("bigint")
+    return counts.filter(F.col("n") > limit).select(*by, "lo", width.alias("width"))
+
+
+def hot_cells(
+    df: DataFrame, keys: Sequence[str], ts: str, share: float = HOT_SHARE, min_rows: int = HOT_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """(keys above the share, their chunks still above it). Each at most ``1 / share`` rows."""
+    counts = _counts(df, keys, ts)
     # The total is taken over the same columns, so that Spark reuses the shuffle of the counts.
     overall = counts.agg(F.struct(F.sum("n").alias("n"), F.min("lo"), F.max("hi")).alias("all"))
     limit = F.greatest(F.lit(float(min_rows)), overall.scalar().getField("n") * F.lit(share))
-    chunks = F.ceil(F.col("n") / limit)
-    return counts.filter(F.col("n") > limit).select(
-        *keys, F.col("lo"), ((F.col("hi") - F.col("lo")) / chunks + 1).cast("bigint").alias("width")
-    )
+    hot = _too_large(counts, keys, limit)
+    first_cut = _cut(df.withColumn(_CHUNK, F.lit(0).cast("bigint")), hot, keys, ts, "inner")
+    cell = [*keys, _CHUNK]
+    return hot, _too_large(_counts(first_cut, cell, ts), cell, limit)
 
 
 def _same_keys(keys: Sequence[str], left: str, right: str) -> Column:
@@ -57,19 +69,29 @@ def _same_keys(keys: Sequence[str], left: str, right: str) -> Column:
     return condition
 
 
-def _with_chunks(df: DataFrame, hot: DataFrame, keys: list[str], ts: str, how: str) -> DataFrame:
+def _cut(df: DataFrame, cells: DataFrame, on: Sequence[str], ts: str, how: str) -> DataFrame:
+    """Renumbers chunks so that those inside a cell become several, in time order."""
+    micros = F.unix_micros(F.col(f"d.`{ts}`").cast("timestamp"))
+    piece = F.coalesce(F.floor((micros - F.col("c.lo")) / F.col("c.width")), F.lit(0))
+    columns = [F.col(f"d.`{c}`") for c in df.columns if c != _CHUNK]
+    return (
+        df.alias("d")
+        .join(F.broadcast(cells).alias("c"), _same_keys(on, "d", "c"), how)
+        .select(*columns, (F.col(f"d.{_CHUNK}") * _FAN + piece).cast("bigint").alias(_CHUNK))
+    )
+
+
+def _with_chunks(
+    df: DataFrame, hot: tuple[DataFrame, DataFrame], keys: list[str], ts: str, how: str
+) -> DataFrame:
     """Numbers the chunks of hot keys; an ordinary key has chunk 0 only.
 
     "left" keeps all rows, "inner" those of hot keys. When there are no hot keys, adaptive execution
     finds the broadcast side empty and drops an inner branch without reading its input.
     """
-    micros = F.unix_micros(F.col(f"d.`{ts}`").cast("timestamp"))
-    chunk = F.floor((micros - F.col("h.lo")) / F.col("h.width"))
-    return (
-        df.alias("d")
-        .join(F.broadcast(hot).alias("h"), _same_keys(keys, "d", "h"), how)
-        .select("d.*", F.coalesce(chunk, F.lit(0)).cast("bigint").alias(_CHUNK))
-    )
+    by_key, by_chunk = hot
+    once = _cut(df.withColumn(_CHUNK, F.lit(0).cast("bigint")), by_key, keys, ts, how)
+    return _cut(once, by_chunk, [*keys, _CHUNK], ts, "left")
 
 
 def _with_borders(df: DataFrame, borders: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,7 +122,7 @@ def scd2_history(
     """
     keys, tracking = as_list(natural_key), list(tracking_columns)
     rows = events.select(*dict.fromkeys([*keys, *tracking, ts, *as_list(tiebreak)]))
-    hot = hot_keys(rows, keys, ts, share, min_rows)
+    hot = hot_cells(rows, keys, ts, share, min_rows)
     if not distinct_times:
         rows = latest_per_key(rows, [*keys, ts], as_list(tiebreak))
 
@@ -197,7 +219,7 @@ def as_of_join(
         F.struct(*[F.col(f"`{c}`") for c in fact.columns]).alias("__fact"),
     )
     line = starts.unionByName(rows, allowMissingColumns=True)
-    hot = hot_keys(line, fact_keys, "__at", share, min_rows)
+    hot = hot_cells(line, fact_keys, "__at", share, min_rows)
     so_far = (
         Window.partitionBy(*fact_keys, _CHUNK)
         .orderBy("__at", "__is_fact")
