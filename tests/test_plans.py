@@ -142,3 +142,18 @@ def test_history_passes_by_the_dimension_join(spark, tmp_path):
     assert plan.lstrip().startswith(("AdaptiveSparkPlan", "Union")) and "Union" in plan
     assert plan.count("SortMergeJoin") == 1
     assert "EqualTo(is_current,true)" in plan
+
+
+def test_without_hot_keys_a_replay_is_one_scan_and_no_join(spark, tmp_path):
+    """The branches for hot keys disappear at run time when there are none."""
+    from tiffinlake.operators.timeline import scd2_history
+
+    path = str(tmp_path / "events")
+    spark.range(0, 2_000, 1, 4).select(
+        (F.col("id") % 50).alias("k"), F.timestamp_seconds("id").alias("at"), (F.col("id") % 3).alias("v")
+    ).write.parquet(path)
+    history = scd2_history(spark.read.parquet(path), "k", ["v"], "at", distinct_times=True)
+    history.collect()
+    final = plan_of(history).split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final
+    assert final.count("FileScan") == 1 and "HashJoin" not in final and final.count("Exchange hashpartitioning") == 1

@@ -105,6 +105,17 @@ def test_delivery_without_its_order_still_counts(example):
     assert row.delivery_status == "Delivered" and row.delivery_agent_dim_key and row.customer_dim_key is None
 
 
+def test_late_dimension_fills_the_fact(example):
+    """The customer arrives a day after the order: the fact waits with a NULL key, then gets it."""
+    typed, dims = example
+    parts = [typed(n, CSV[n]) for n in ("order_item", "orders", "delivery")]
+    known = dims(False)
+    early = star.build_order_item_fact(*parts, known | {"customer": known["customer"].filter("false")})
+    assert rows(early.filter(star.unresolved()), "order_item_id") == [(2001,)]
+    filled = star.upsert_fact(early, star.build_order_item_fact(*parts, known))
+    assert filled.filter(star.unresolved()).count() == 0 and filled.count() == 1
+
+
 def test_several_deliveries_do_not_fan_out(example):
     typed, dims = example
     late = "3002,1001,301,Refunded,30 minutes,201,2023-01-15T20:15:00,2023-01-15T19:30:00,2023-01-20T11:20:00"

@@ -107,7 +107,7 @@ def label_months(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "month_label": month_label(F.col("month")),
-            "total_revenue": F.col("total_revenue").cast("decimal(10,0)"),
+            "total_revenue": F.col("total_revenue").cast("decimal(38,0)"),
         }
     )
 

@@ -51,7 +51,7 @@ def _silver(entity: en.Entity, raw, **options):
 
 def raw_customer(m):
     df = m.table("customer")
-    opened = F.date_add(F.lit("1990-01-01").cast("date"), F.col("c_custkey").cast("int") % 9000)
+    opened = F.date_add(F.lit("1990-01-01").cast("date"), (F.col("c_custkey") % 9000).cast("int"))
     return _raw(
         en.CUSTOMER,
         df,

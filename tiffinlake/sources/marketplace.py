@@ -20,8 +20,8 @@ from . import files
 
 # The two batch times of the examples: before all orders, and after them.
 FIRST_LOAD, SECOND_LOAD = "1995-01-01 00:00:00", "2002-01-01 00:00:00"
-# Keys of customers that first appear in the second batch start here.
-NEW_CUSTOMER_BASE = 1_000_000_000
+# Keys of customers that first appear in the second batch start here, above any customer key.
+NEW_CUSTOMER_BASE = 1_000_000_000_000_000
 
 DIM_TRACKING = {
     "location": ["city", "state", "zip_code"],
