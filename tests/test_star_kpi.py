@@ -195,7 +195,8 @@ def test_warehouse_over_two_days(spark, tmp_path):
     first["location"] = first["location"] + ["junk", "6|Pune|Maharashtra"]
     day("2023-01-16", first)
     assert jobs.gate(spark, lake, everything, "2023-01-16").count() == 0
-    assert spark.read.parquet(lake.quarantine(en.LOCATION)).count() == 2
+    assert jobs.quarantined(spark, lake, en.LOCATION, "2023-01-16").count() == 2
+    assert jobs.bronze_batch(spark, lake, en.LOCATION, "2023-01-16").count() == 1
     jobs.build_date_dimension(spark, lake, end="2023-12-31")
     jobs.build_fact(spark, lake, "2023-01-16")
     before = rows(tables.read_table(spark, lake.fact))

@@ -54,6 +54,8 @@ def test_batches_replace_only_their_date(spark, tmp_path):
     assert tables.read_batch(spark, path, "2024-01-01").count() == 2
     assert tables.read_batch(spark, path, "2024-01-02").count() == 5
     assert "extra" in tables.read_table(spark, path).columns
+    assert tables.read_batch(spark, path, "2024-01-03").count() == 0
+    assert all("_execution_date=2024-01-02" in f for f in tables.read_batch(spark, path, "2024-01-02").inputFiles())
     plan = tables.read_batch(spark, path, "2024-01-02")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(_execution_date" in plan
 

@@ -9,16 +9,30 @@ from pyspark.sql import Column, DataFrame, functions as F
 FAILED_RULES = "_failed_rules"
 
 
-def split_valid(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """(good, quarantine) by named predicates that are true for a bad row.
+def flag_invalid(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    """Adds the names of the rules a row breaks, empty for a good row.
 
-    A predicate that is NULL does not condemn its row. Quarantined rows list the rules they broke.
-    Both outputs are narrow filters over the same scan.
+    Rules are predicates that are true for a bad row; NULL does not condemn it.
     """
     broken = F.concat_ws(",", *[F.when(bad, F.lit(name)) for name, bad in rules.items()])
-    flagged = df.withColumn(FAILED_RULES, broken)
-    good = flagged.filter(F.col(FAILED_RULES) == "").drop(FAILED_RULES)
-    return good, flagged.filter(F.col(FAILED_RULES) != "")
+    return df.withColumn(FAILED_RULES, broken)
+
+
+def good_rows(flagged: DataFrame) -> DataFrame:
+    return flagged.filter(F.col(FAILED_RULES) == "").drop(FAILED_RULES)
+
+
+def bad_rows(flagged: DataFrame) -> DataFrame:
+    return flagged.filter(F.col(FAILED_RULES) != "")
+
+
+def split_valid(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(good, quarantine): two narrow filters over the same scan.
+
+    Writing both reads ``df`` twice; to read a costly source once, store it flagged and filter that.
+    """
+    flagged = flag_invalid(df, rules)
+    return good_rows(flagged), bad_rows(flagged)
 
 
 def bad_key_rules(key: str) -> dict[str, Column]:
