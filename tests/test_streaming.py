@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from helpers import rows, ts
 from tiffinlake.plans import entities as en
 from tiffinlake.plans.silver import to_silver
@@ -63,3 +65,27 @@ def test_repeating_a_batch_rewrites_the_same_version(spark, tmp_path):
     assert versions == [1, 2]
     assert upsert_run(spark, tmp_path, "cp2", max_files=1) == first
     assert tables.snapshot_versions(spark, str(tmp_path / "orders")) == versions
+
+
+def test_partitioned_target(spark, tmp_path):
+    """A micro-batch rewrites the months it affects; a replay changes nothing."""
+    (tmp_path / "in").mkdir()
+    target = tmp_path / "orders"
+
+    def run(checkpoint):
+        stream_upsert(
+            spark, str(tmp_path / "in"), text_schema(en.ORDERS.raw_columns), str(target), "order_id",
+            str(tmp_path / checkpoint), order_by="modified_dt", partition_by="month",
+            transform=lambda b: to_silver(b, en.ORDERS).withColumn("month", F.month("modified_dt")),
+        ).awaitTermination()
+        return rows(tables.read_table(spark, str(target)), "order_id", "status", "month")
+
+    (tmp_path / "in" / "1.csv").write_text(
+        HEADER + order(1, "Placed", "2024-01-01T10:00:00") + order(2, "Placed", "2024-02-01T10:00:00")
+    )
+    assert run("cp") == [(1, "Placed", 1), (2, "Placed", 2)]
+    february = sorted(p.name for p in (target / "month=2").iterdir())
+    (tmp_path / "in" / "2.csv").write_text(HEADER + order(1, "Delivered", "2024-01-02T10:00:00"))
+    assert run("cp") == [(1, "Delivered", 1), (2, "Placed", 2)]
+    assert sorted(p.name for p in (target / "month=2").iterdir()) == february
+    assert run("other") == [(1, "Delivered", 1), (2, "Placed", 2)]

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.keys import as_list
+from ..operators.dedup import latest_per_key
 from ..operators.upsert import upsert
 from ..sources import tables
 from ..sources.raw import CSV_DIALECT
@@ -53,15 +54,26 @@ def stream_upsert(
     transform: Callable[[DataFrame], DataFrame] | None = None,
     only_if_changed: bool = False,
     max_files: int = MAX_FILES,
+    partition_by: str | None = None,
 ) -> StreamingQuery:
-    """Upserts what is new into the snapshot table at ``target``.
+    """Upserts what is new into the table at ``target``.
 
-    Micro-batch n reads version n and writes version n + 1. A batch that is repeated after a failure
-    therefore rewrites the same version from the same input: the effect happens once.
+    By default that is a snapshot table: micro-batch n reads version n and writes version n + 1, so
+    a batch repeated after a failure rewrites the same version from the same input. For large
+    targets name a ``partition_by`` column: a micro-batch then rewrites only the partitions it
+    affects, and repeating it upserts the same rows again. Either way the effect happens once.
     """
     keys = as_list(keys)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
+    def merge_affected(batch: DataFrame, _: int) -> None:
+        rows = latest_per_key(transform(batch) if transform else batch, keys, order_by)
+        updated = [c for c in rows.columns if c not in keys and c != partition_by]
+        tables.merge_partitions(
+            batch.sparkSession, target, rows, keys, partition_by,
+            lambda current, new: upsert(current, new, keys, updated, only_if_changed=only_if_changed),
+        )
+
+    def merge_snapshot(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         published = [v for v in tables.snapshot_versions(session, target) if v <= batch_id]
         current = tables.read_snapshot(session, target, published[-1]) if published else None
@@ -71,7 +83,7 @@ def stream_upsert(
 
     return (
         append_feed(spark, src_dir, schema, max_files)
-        .writeStream.foreachBatch(merge)
+        .writeStream.foreachBatch(merge_affected if partition_by else merge_snapshot)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
