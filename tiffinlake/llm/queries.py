@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, pii
+from . import chat, mixing, packing, pii
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +35,17 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     hostile = spark.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], rows.schema)
     return chat.digest(rows.unionByName(hostile))
+
+
+@query
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a mix of all sources to their target weights takes."""
+    docs = mixing.with_row(read(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op10_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` packed into windows of 2048 tokens."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
