@@ -14,6 +14,7 @@ anyway, so the ids are those of the whole text.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -28,21 +29,56 @@ from pyspark.sql import DataFrame, functions as F
 from .common import stored
 
 WINDOW, END_ID, GROUP = 2048, 1, 16384
-#: Characters tokenized at once, and per stretch of a long text.
-BATCH_CHARS, STRETCH = 1 << 19, 1 << 17
+#: Characters of a long text that are tokenized at once.
+STRETCH = 1 << 17
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A run this long goes to the slower library, which takes n log n steps for it.
+_RUN = re.compile(r"\S{2000}|\s{2000}")
 _LOADED: dict = {}
 
 
-def tokenizer(path: str):
-    """The tokenizer of a file, loaded once per worker and kept to one thread, as tasks share the machine."""
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The bytes of each id, if the file is plain byte-level BPE whose ids are in the order of its merges."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, before = told["model"], told["pre_tokenizer"]
+    if told["normalizer"] or not before or before.get("type") != "ByteLevel" or before.get("add_prefix_space"):
+        return None
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    shown = {chr(b): b for b in printable}  # the other bytes are shown as characters from 256 on
+    shown |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
+    added = {t["content"] for t in told["added_tokens"]}
+    ranks = {bytes(shown[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    in_order = all(model["vocab"].get(t) == 256 + i for i, t in enumerate(merged))
+    return ranks if in_order and len(ranks) == 256 + len(merged) else None
+
+
+def encoder(path: str):
+    """A function from texts to lists of ids; loaded once per worker, one thread, as tasks share the machine.
+
+    The ids are those of the ``tokenizers`` library for this file, control strings as ordinary text.
+    Where the file allows it, ``tiktoken`` merges its vocabulary, to the same ids in a fifth of the time.
+    """
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
-        loaded = Tokenizer.from_file(path)
-        loaded.encode_special_tokens = True
-        _LOADED[path] = loaded
+        slow = Tokenizer.from_file(path)
+        slow.encode_special_tokens = True
+        ranks = byte_ranks(path)
+        fast = ranks and tiktoken.Encoding(
+            "file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        )
+
+        def encode(text: str) -> list[int]:
+            if fast and not (len(text) >= 2000 and _RUN.search(text)):
+                return fast.encode_ordinary(text)
+            return slow.encode(text, add_special_tokens=False).ids
+
+        _LOADED[path] = encode
     return _LOADED[path]
 
 
@@ -55,35 +91,14 @@ def stretches(text: str) -> list[str]:
     return [*out, text[start:]]
 
 
-def token_ids(path: str, texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The ids of each text and the end id, unsigned 32 bits."""
-    encode = tokenizer(path).encode_batch_fast
-    parts, owners, chars = [], [], 0
-
-    def flush() -> Iterator[np.ndarray]:
-        ids: list[list[np.ndarray]] = []
-        for owner, e in zip(owners, encode(parts, add_special_tokens=False), strict=True):
-            if owner:
-                ids.append([])
-            ids[-1].append(np.array(e.ids, "<u4"))
-        for own in ids:
-            yield np.concatenate([*own, np.array([END_ID], "<u4")])
-
-    for text in texts:
-        for i, part in enumerate(stretches(text or "")):
-            if i == 0 and chars >= BATCH_CHARS:
-                yield from flush()
-                parts, owners, chars = [], [], 0
-            parts.append(part)
-            owners.append(i == 0)
-            chars += len(part) + 64
-    if parts:
-        yield from flush()
+def token_ids(path: str, text: str | None) -> np.ndarray:
+    """The ids of the text and the end id, unsigned 32 bits."""
+    encode = encoder(path)
+    parts = [np.array(encode(part), "<u4") for part in stretches(text or "")]
+    return np.concatenate([*parts, np.array([END_ID], "<u4")])
 
 
-PIECE = (
-    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, row long"
-)
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, row long"
 
 
 def cut(docs: DataFrame, path: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
@@ -95,7 +110,8 @@ def cut(docs: DataFrame, path: str, window: int = WINDOW, keep_ids: bool = False
         for batch in batches:
             rows, ids_out = [], []
             doc_ids = batch.column(0).to_pylist()
-            for doc_id, ids in zip(doc_ids, token_ids(path, batch.column(1).to_pylist()), strict=True):
+            for doc_id, text in zip(doc_ids, batch.column(1).to_pylist(), strict=True):
+                ids = token_ids(path, text)
                 for start in range(0, len(ids), window):
                     part = ids[start : start + window].tobytes()
                     rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), len(ids), task, row))
