@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, pii
+from . import chat, mixing, ngram, packing, pii
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(rows.unionByName(hostile))
 
 
+@query
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of ``documents`` that share 90 % of their 3-word shingles."""
+    return ngram.join_near(read(spark, sf_dir, "documents", "doc_id", "text"), n=3, percent=90)
+
+
 @query
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that a mix of all sources to their target weights takes."""
