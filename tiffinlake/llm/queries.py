@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, ngram, packing, pii
+from . import chat, mih, mixing, ngram, packing, pii, pivots
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,19 @@ def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query
+def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest whole-number inner products of every 50th row of ``embeddings`` with all others."""
+    found = pivots.top_k(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), every=50, k=5)
+    return found.withColumn("score", found["score"].cast("long"))
+
+
+@query
+def op5_mih_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every 20th row of ``embeddings``."""
+    return mih.nearest(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), every=20, k=20)
+
+
 #: A conversation whose texts hold control strings.
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
