@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mih, mixing, ngram, packing, pii, pivots
+from . import chat, mih, mixing, ngram, packing, pii, pivots, warc, wrapper
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,21 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of ``pages``."""
+    found = wrapper.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op2_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``pages`` as a record of normalised archives, read back from them."""
+    archives, folder = warc.archive_pages(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return warc.read_archives(archives, folder).select(*columns)
+
+
 @query
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text of ``documents``."""
