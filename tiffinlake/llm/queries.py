@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mih, mixing, ngram, packing, pii, pivots, warc, wrapper
+from . import chat, mih, mixing, ngram, packing, pii, pivots, rules, warc, wrapper
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,15 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(rows.unionByName(hostile))
 
 
+@query
+def op7_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every row of ``documents``, learned from the labels that aren't held out."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = rules.fit(rules.labelled(docs, read(spark, sf_dir, "labels", "doc_id", "quality")))
+    found = rules.scored(docs, model).withColumn("held_out", rules.held_out())
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of ``documents`` that share 90 % of their 3-word shingles."""
