@@ -1,11 +1,87 @@
-"""Corpus pipeline (stages follow)."""
+"""The corpus pipeline: documents to packed token windows in five stages.
+
+Each stage takes the documents that its predecessor kept and returns documents (the last one pieces of
+windows). Between stages they are written as Parquet to the shared folder and read again, so a stage
+that loses executors starts from a table. Columns beyond those of ``documents`` are left behind.
+
+=============  ==================================================================================
+quality        documents that the rule ensemble scores below 0.5 go
+near_copies    of documents linked by 5-word shingles with a similarity of 0.8 or more one stays,
+               that with the smallest doc_id; documents without words are linked with nothing
+private        personal data is replaced by its kind in brackets
+mixture        documents are repeated, cut or left out as the mix of sources takes them: a whole copy
+               for each full pass, then as many words from the start as the last pass takes
+windows        the texts are packed into windows of 2048 tokens
+=============  ==================================================================================
+
+Null texts count as empty, repeated rows as copies; an empty table stays empty through all stages.
+Documents without words leave with the mixture, as there is nothing of them to take.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tiffinlake.llm import mixing, ngram, packing, pii, rules
+from tiffinlake.llm.common import SPACE, WORD, read, stored, text_of
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    labels = read(spark, sf_dir, "labels", "doc_id", "quality")
+    model = rules.fit(rules.labelled(docs, labels))
+    return rules.scored(docs, model).where("predicted = 1").select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = mixing.with_row(docs.select(*COLUMNS))
+    found = ngram.join_near(rows.select(F.col("row").alias("doc_id"), "text"), n=5, percent=80)
+    found = found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "row"))
+    kept = found.groupBy("component_id").agg(first["row"].alias("row")).select("row")
+    return rows.join(stored(kept, "kept"), "row", "left_semi").select(*COLUMNS)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = pii.with_spans(docs.select(*COLUMNS), redacted="clean")
+    clean = clean.withColumn("text", F.col("clean")).withColumn("n_chars", F.length("text").cast("long"))
+    return clean.select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = mixing.with_row(docs.select(*COLUMNS))
+    taken = stored(mixing.mix(rows).where("taken > 0").select("row", "size", "taken"), "taken")
+    words = F.regexp_extract_all(text_of(), F.lit(f"{SPACE}*{WORD}"), F.lit(0))
+    rest = (F.col("taken") % F.col("size")).cast("int")
+    whole = F.array_repeat("text", F.expr("taken div size").cast("int"))
+    start = F.when(rest > 0, F.array(F.array_join(F.slice(words, F.lit(1), rest), "")))
+    copies = rows.join(taken, "row").select(
+        "doc_id", "lang", "source", F.explode(F.concat(whole, F.coalesce(start, F.array().cast("array<string>")))).alias("text")
+    )
+    return copies.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_copies", near_copies),
+    ("private", private),
+    ("mixture", mixture),
+    ("windows", windows),
+]
+#: The classifier's fit and the tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the whole table ``documents``."""
+    docs = read(spark, sf_dir, "documents", *COLUMNS)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
