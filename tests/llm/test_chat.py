@@ -1,0 +1,50 @@
+import random
+
+from brute import sha
+from tiffinlake.llm import chat
+
+SCHEMA = "conv_id long, turn long, role string, text string, formatted string, loss int"
+
+
+def expected(rows):
+    out = {}
+    for conv in {r[0] for r in rows}:
+        turns = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+        told = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in turns)
+        loss = "".join(r[3] or "" for r in turns if r[2] == "assistant")
+        out[conv] = (len(turns), sha(told), len(loss), sha(loss))
+    return out
+
+
+def check(spark, rows):
+    got = chat.digest(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == expected(rows)
+    assert len(got) == len({r[0] for r in rows})
+
+
+def test_random_hostile_texts_come_back(spark):
+    rng = random.Random(5)
+    parts = ["<|im_end|>", "<|im_start|>", "<|im_sep|>", "<\\|", "<\\\\|", "<", "|", "\\", "\n", "é😀", "assistant\n", "%25", "%0A", "%3C|", " "]
+    rows = []
+    for conv in range(150):
+        for turn in range(rng.randrange(1, 7)):
+            text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+            role = rng.choice(["user", "assistant", "assistant", "system", "<|im_end|>\n%0A", ""])
+            rows.append((conv, turn, role, rng.choice([text, text, None]), "x", 1))
+    check(spark, rows)
+
+
+def test_odd_rows(spark):
+    rows = [
+        (1, 1, "user", "b", None, None), (1, 1, "user", "a", None, None), (1, 1, "user", "a", None, None),
+        (1, None, None, None, None, None), (None, 0, "assistant", "x", None, None), (2, 5, "assistant", "y" * 200_000, None, None),
+    ]
+    check(spark, rows)
+    assert chat.digest(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_adjacent_turns_share_a_block(spark):
+    rows = [(1, 0, "user", "a", "", 0), (1, 1, "assistant", "b", "", 0), (1, 2, "assistant", "c", "", 0)]
+    row = chat.format_conversations(spark.createDataFrame(rows, SCHEMA)).first()
+    assert row.formatted == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_sep|>c<|im_end|>\n"
+    assert [row.formatted[s.start : s.start + s.length] for s in row.loss] == ["b", "c"]

@@ -1,0 +1,66 @@
+import gzip
+import io
+import random
+
+from tiffinlake.llm import warc
+
+SCHEMA = "page_id long, url string, html string, sha string, archive int"
+
+
+def expected(rows):
+    out, first = [], {}
+    for page_id, _, html, *_ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        payload = (html or "").encode()
+        sha = warc.digest(payload)
+        again = sha in first
+        out.append((page_id, len(payload), sha, "revisit" if again else "response", first.get(sha)))
+        first.setdefault(sha, page_id)
+    return sorted(out, key=str)
+
+
+def run(spark, rows, tmp_path, parts=4):
+    folder = f"file://{tmp_path}/w"
+    names, where = warc.archive_pages(spark.createDataFrame(rows, SCHEMA).repartition(parts), folder)
+    return names, where, warc.read_archives(names, where, keep_payload=True)
+
+
+def test_records_come_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 7)
+    rng = random.Random(1)
+    rows = [(i, f"http://x/{i}\r\nEvil: 1", rng.choice(["", None, "é" * 9, "same", f"own {i}\r\n\r\nWARC/1.1\r\n", "x" * 50_000]), "s", 1) for i in range(120)]
+    rows += [(5, "http://x/5", "same", "s", 1), (None, None, "same", "s", 1), (None, None, "only", "s", 1)]
+    names, where, read = run(spark, rows, tmp_path)
+    got = read.collect()
+    told = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got]
+    assert sorted(told, key=str) == expected(rows)
+    texts = {(i, (h or "").encode()) for i, _, h, *_ in rows}
+    assert all((r.page_id, bytes(r.payload)) in texts for r in got if r.record_type == "response")
+    assert all(bytes(r.payload) == b"" for r in got if r.record_type == "revisit")
+    assert next(r.url for r in got if r.page_id == 7) == "http://x/7%0D%0AEvil: 1"
+    # The archive is plain gzip of as many members as records; any reader inflates it whole.
+    folder = where.removeprefix("file://")
+    for name in {r.archive for r in names.collect()}:
+        with open(f"{folder}/{name}", "rb") as f:
+            whole = gzip.decompress(f.read())
+        assert len(list(warc.records(iter([whole])))) == sum(1 for _ in open(f"{folder}/{name}.idx"))
+
+
+def test_inflates_one_member_or_many_in_any_chunks(monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 5)
+    parts = [warc.response(i, "u", b"x" * i, warc.digest(b"x" * i)) for i in range(30)]
+    for packed in (gzip.compress(b"".join(parts)), b"".join(map(gzip.compress, parts))):
+        assert [whole for _, _, whole in warc.records(warc.inflate(io.BytesIO(packed)))] == parts
+
+
+def test_odd_tables(spark, tmp_path):
+    _, _, read = run(spark, [], tmp_path)
+    assert read.count() == 0
+    rows = [(1, None, None, None, None), (1, None, None, None, None)]
+    assert sorted(r.record_type for r in run(spark, rows, tmp_path / "b")[2].collect()) == ["response", "revisit"]
+
+
+def test_threshold_leaves_small_payloads(spark, tmp_path):
+    table = spark.createDataFrame([(1, "", "ab", "", 0), (2, "", "ab", "", 0), (3, "", "abcd", "", 0), (4, "", "abcd", "", 0)], SCHEMA)
+    names, where = warc.archive_pages(table, f"file://{tmp_path}/t", least_bytes=3)
+    got = {r.page_id: r.refers_to for r in warc.read_archives(names, where).collect()}
+    assert got == {1: None, 2: None, 3: None, 4: 3}

@@ -6,7 +6,8 @@ first, by a count of all documents' n-grams, so common passages hardly ever coun
 first n-gram form a tile, in order of size. Within a tile only nodes of one size band (sizes within
 ``percent`` %) are compared, by signatures: bitmaps of 128 bits with a bit for whether an odd number of
 n-grams hashes there. Bits that differ bound the n-grams that differ from below, hence the overlap from
-above. Pairs that the bound allows are checked on the exact sorted arrays.
+above. Pairs that the bound allows are tested again with signatures of half a bit per n-gram, and what
+these allow is checked on the exact sorted arrays.
 
 Large groups of near copies would give every pair. So a tile of more than ``SMALL`` nodes first gives
 each node's closest earlier partner alone and sets its nodes aside. Once those pairs are checked and
@@ -33,84 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stored
+from .words import BASE, STRETCH, U64, buffers, mix, strings, word_hashes
 
-#: Text bytes hashed at once.
-STRETCH = 1 << 21
 #: The count of all n-grams has this many cells; it is the only thing sent to all tasks.
 CELLS, SLICES = 1 << 20, 64
 #: Tiles up to SMALL nodes give all their pairs at once; n-grams beyond TILE nodes are dealt over several.
 SMALL, TILE = 4, 4096
 SEEN = 200_000
-U64 = np.uint64
 
 
 # --- texts to sorted arrays of hashes
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240117)
-    values = rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-    values[65:91] = values[97:123]
-    space = np.zeros(256, bool)
-    space[[32, *range(9, 14)]] = True
-    return values, space
-
-
-VALUES, IS_SPACE = _tables()
-BASE = U64(0x9E3779B97F4A7C15)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit over all others."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
-
-
-def powers(n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, U64), np.full(max(n - 1, 0), BASE)]), dtype=U64)
-
-
-def hash_words(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, its first byte's place); ``first`` marks where documents begin."""
-    inside = ~IS_SPACE[data]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1] | first[1:]
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return np.zeros(0, U64), at
-    starts = np.flatnonzero(begins[at])
-    lengths = np.diff(np.append(starts, len(at)))
-    place = np.arange(len(at)) - np.repeat(starts, lengths)
-    values = VALUES[data[at]] * powers(int(lengths.max()))[place]
-    return mix(np.add.reduceat(values, starts) + lengths.astype(U64)), at[starts]
-
-
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, number of words per document), a stretch of bytes at a time."""
-    first = np.zeros(len(data) + 1, bool)
-    first[offsets] = True
-    hashes, places, low = [], [], 0
-    while low < len(data):
-        high = min(len(data), low + STRETCH)
-        while high < len(data) and not (first[high] or IS_SPACE[data[high]]):
-            high += 1
-        h, p = hash_words(data[low:high], first[low:high])
-        hashes.append(h)
-        places.append(p + low)
-        low = high
-    if not hashes:
-        return np.zeros(0, U64), np.zeros(len(offsets) - 1, np.int64)
-    bounds = np.searchsorted(np.concatenate(places), offsets)
-    return np.concatenate(hashes), np.diff(bounds)
-
-
 def gram_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     """Per text: the sorted distinct hashes of its word n-grams."""
-    if not len(texts):
-        return
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    data, offsets = buffers(texts)
     factors = mix(np.arange(1, n + 1, dtype=U64) * BASE) | U64(1)
     low = 0
     while low < len(texts):
@@ -140,25 +78,21 @@ def digest(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def strings(column: pa.Array) -> pa.Array:
-    """The column as strings with 32-bit offsets, nulls empty."""
-    return column.cast(pa.string()).fill_null("")
-
-
 # --- nodes and the count of n-grams
 
 
 def nodes_and_counts(docs: DataFrame, n: int) -> DataFrame:
-    """Per document: doc_id, n_shingles, node (null for the empty set); per task: slices of its count."""
+    """Per document: doc_id, n_shingles, node (null for the empty set), wide signature; per task: slices of its count."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "node", "slice", "counts"]
+        names = ["doc_id", "n_shingles", "node", "wide", "slice", "counts"]
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            sizes, nodes, pending, grams_pending = [], [], [], 0
+            sizes, nodes, wide, pending, grams_pending = [], [], [], [], 0
             for grams in gram_sets(strings(batch.column(1)), n):
                 sizes.append(len(grams))
                 nodes.append(digest(grams) if len(grams) else None)
+                wide.append(parity(grams, max(128, 1 << (len(grams) // 2).bit_length())))
                 pending.append(grams)
                 grams_pending += len(grams)
                 if grams_pending > CELLS:
@@ -169,19 +103,19 @@ def nodes_and_counts(docs: DataFrame, n: int) -> DataFrame:
             none = pa.nulls(len(sizes))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
-                 none.cast(pa.int32()), none.cast(pa.binary())],
+                 pa.array(wide, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())],
                 names=names,
             )
         if total.any():
             parts = [p.astype("<i8").tobytes() for p in np.split(total, SLICES)]
             none = pa.nulls(SLICES)
             yield pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()),
+                [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()),
                  pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())],
                 names=names,
             )
 
-    ddl = "doc_id long, n_shingles long, node binary, slice int, counts binary"
+    ddl = "doc_id long, n_shingles long, node binary, wide binary, slice int, counts binary"
     return docs.select("doc_id", "text").mapInArrow(scan, ddl)
 
 
@@ -221,8 +155,25 @@ def prefix_sizes(size: int, percent: int) -> tuple[int, int]:
     return as_larger, as_smaller
 
 
-def parity(grams: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((grams & U64(127)).astype(np.int64), minlength=128) & 1).astype(np.uint8)).tobytes()
+def parity(grams: np.ndarray, bits: int = 128) -> bytes:
+    """Whether an odd number of n-grams hashes to each bit; ``bits`` is a power of 2."""
+    counts = np.bincount((grams & U64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """A lower bound of the n-grams in one set only; the longer signature is folded to the other's length."""
+    a, b = (np.frombuffer(z, U64) for z in (x, y))
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def within(x: bytes, y: bytes, m: int, n: int, percent: int) -> bool:
+    """Whether sets of m and n n-grams with these signatures may be similar enough."""
+    return differing(x, y) <= m + n - 2 * -(-percent * (m + n) // (100 + percent))
 
 
 def fixed_binary(rows: np.ndarray) -> pa.Array:
@@ -354,6 +305,7 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], least: int = 100_000) -> Iter
 
 
 PAIR = "a binary, b binary"
+SIDES = (("a", "rep_a", "size_a", "wide_a"), ("b", "rep_b", "size_b", "wide_b"))
 
 
 def first_look(percent: int):
@@ -439,12 +391,12 @@ def closest(r: Rows, start: int, n: int, percent: int) -> tuple[np.ndarray, np.n
 
 
 def second_look(percent: int):
-    """All allowed pairs of rows with different labels; a guest row is compared with hosts only."""
+    """All pairs of rows with different labels that both signatures allow; of two guests none."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches):
             r = Rows(table)
-            host = table.column("host").to_numpy()
+            host, wide = table.column("host").to_numpy(), table.column("wide")
             for s, n in zip(*(x.tolist() for x in runs_of(r.tile)), strict=True):
                 if (r.label[s : s + n] == r.label[s]).all():
                     continue
@@ -456,6 +408,9 @@ def second_look(percent: int):
                     jj, ii = np.nonzero(ok)
                     i, j = before[ii], block[jj]
                     keep = allowed(r, i, j, percent)
+                    for x in np.flatnonzero(keep).tolist():
+                        a, b = i[x], j[x]
+                        keep[x] = within(wide[a].as_py(), wide[b].as_py(), int(r.size[a]), int(r.size[b]), percent)
                     if keep.any():
                         a, b = r.node[i[keep]], r.node[j[keep]]
                         swap = np.array([x.tobytes() > y.tobytes() for x, y in zip(a, b, strict=True)])[:, None]
@@ -471,20 +426,32 @@ def second_look(percent: int):
 
 def check(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b), as representatives' ids, of the pairs of nodes whose sets are as similar as asked."""
-    pairs = stored(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = reps.join(wanted, "node").select(F.col("rep").alias("doc_id"), "node")
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, *rest = (c.to_pylist() for c in batch.columns[4:])
+            keep = [within(*pair, percent) for pair in zip(a, b, *rest, strict=True)]
+            kept = pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "rep_a", "rep_b"])
+            yield kept.filter(pa.array(keep, pa.bool_()))
+
+    a, b = (reps.select(*[F.col(c).alias(c2) for c, c2 in zip(reps.columns, names, strict=True)]) for names in SIDES)
+    sized = pairs.distinct().join(a, "a").join(b, "b")
+    sized = sized.select("a", "b", "rep_a", "rep_b", "wide_a", "wide_b", "size_a", "size_b")
+    pairs = stored(sized.mapInArrow(prune, PAIR + ", rep_a long, rep_b long"), "pairs")
+    ids = pairs.select(F.col("rep_a").alias("doc_id"), F.col("a").alias("node")).union(pairs.select("rep_b", "b"))
+    # Kept as a table, its size is known, and while it is small the texts need no shuffle.
+    ids = stored(ids.distinct(), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = list(gram_sets(strings(batch.column(2)), n))
+            grams = list(gram_sets(strings(batch.column(1)), n))
             own = [digest(g) == node.as_py() for g, node in zip(grams, batch.column(0), strict=True)]
-            rows = [batch.column(0), batch.column(1), pa.array([g.tobytes() for g in grams], pa.binary())]
+            rows = [batch.column(0), pa.array([g.tobytes() for g in grams], pa.binary())]
             # A repeated id may have another text too, whose set is not the node's.
-            yield pa.RecordBatch.from_arrays(rows, names=["node", "rep", "grams"]).filter(pa.array(own, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(rows, names=["node", "grams"]).filter(pa.array(own, pa.bool_()))
 
-    texts = docs.select("doc_id", "text").join(ids, "doc_id").select("node", "doc_id", "text")
-    arrays = stored(texts.mapInArrow(sets, "node binary, rep long, grams binary"), "sets")
+    texts = docs.select("doc_id", "text").join(ids, "doc_id").select("node", "text")
+    arrays = stored(texts.mapInArrow(sets, "node binary, grams binary"), "sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -496,8 +463,8 @@ def check(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: i
             kept = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"])
             yield kept.filter(pa.array(keep, pa.bool_()))
 
-    left = arrays.select(F.col("node").alias("a"), F.col("rep").alias("rep_a"), F.col("grams").alias("grams_a"))
-    right = arrays.select(F.col("node").alias("b"), F.col("rep").alias("rep_b"), F.col("grams").alias("grams_b"))
+    left = arrays.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
+    right = arrays.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"))
     both = pairs.join(left, "a").join(right, "b").select("rep_a", "rep_b", "grams_a", "grams_b")
     return both.mapInArrow(verify, "a long, b long")
 
@@ -533,7 +500,10 @@ def join_near(docs: DataFrame, n: int, percent: int) -> DataFrame:
     counted = stored(nodes_and_counts(docs, n), "nodes")
     members = counted.where("slice is null").select("doc_id", "n_shingles", "node")
     classes = spark.sparkContext.broadcast(gram_classes(counted))
-    reps = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    reps = counted.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("size"), F.any_value("wide").alias("wide")
+    )
+    reps = stored(reps, "nodes")
 
     shown = postings(docs, n, percent, classes).repartition("tile").sortWithinPartitions("tile", "size", "node")
     looked = stored(shown.mapInArrow(first_look(percent), LOOKED), "looked")
@@ -541,7 +511,7 @@ def join_near(docs: DataFrame, n: int, percent: int) -> DataFrame:
     labels = components(links)
 
     aside = looked.where("b is null").select("gram", "size", "shown", F.col("a").alias("node"), "sig").distinct()
-    aside = aside.join(reps, "node").join(labels, F.col("rep") == F.col("id"), "left")
+    aside = aside.join(reps.select("node", "rep"), "node").join(labels, F.col("rep") == F.col("id"), "left")
     aside = stored(aside.select("gram", "size", "shown", "node", "sig", F.coalesce("label", "rep").alias("label")), "aside")
     mixed = aside.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram")
     # A set of band k is host there and a guest of band k - 1, whose sets are smaller by up to a band.
@@ -549,10 +519,11 @@ def join_near(docs: DataFrame, n: int, percent: int) -> DataFrame:
     banded = aside.join(mixed, "gram", "left_semi").withColumn("band", F.explode(F.array(band, band - 1)))
     banded = banded.withColumn("host", F.col("band") == band).withColumn("dealt", F.lit(False))
     banded = banded.withColumn("tile", F.xxhash64("gram", "band"))
-    again = banded.select(*POSTING_NAMES, "label", "host").repartition("tile").sortWithinPartitions("tile", "size")
+    banded = banded.join(reps.select("node", "wide"), "node")
+    again = banded.select(*POSTING_NAMES, "label", "host", "wide").repartition("tile").sortWithinPartitions("tile", "size")
     more = again.mapInArrow(second_look(percent), PAIR)
     more = check(more, docs, reps, n, percent)
     labels = components(links.union(more))
 
-    found = members.join(reps, "node", "left").join(labels, F.col("rep") == F.col("id"), "left")
+    found = members.join(reps.select("node", "rep"), "node", "left").join(labels, F.col("rep") == F.col("id"), "left")
     return found.select("doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("component_id"))

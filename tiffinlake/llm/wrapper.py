@@ -3,8 +3,8 @@
 A page becomes a tree in which neighbouring siblings of one kind (tag, class, id) are one node, so its
 size is that of the layout and not of the text. Trees of a host are aligned by simple tree matching
 (equal roots, then the best ordered matching of children) and merged into its wrapper, which counts
-for every node the pages that have it and the texts it has there. A text found in the same node of
-nearly all pages of a host is template; what varies is content. A page's content is looked for in its
+for every node the pages that have it and the texts it has there. A text found in nearly all
+pages that have its node is template; what varies is content. A page's content is looked for in its
 article (else main part, else body), and never in nodes whose tag, role or class names page furniture.
 
 Wrappers are built where the pages lie, a partial one per task and host, and merged in two steps, so a
