@@ -70,5 +70,5 @@ def test_signature_bounds_hold():
         pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
         a, b = (np.unique(pool[rng.random(3000) < rng.random()]) for _ in range(2))
         apart = len(np.setxor1d(a, b))
-        wide = [ngram.parity(x, max(128, 1 << (len(x) // 2).bit_length())) for x in (a, b)]
+        wide = [ngram.parity(x, max(128, 1 << (2 * len(x)).bit_length())) for x in (a, b)]
         assert ngram.differing(ngram.parity(a), ngram.parity(b)) <= apart and ngram.differing(*wide) <= apart

@@ -31,7 +31,7 @@ def validity(dim):
 
 
 @pytest.mark.parametrize("entity", en.DIMENSIONS, ids=lambda e: e.name)
-def test_update_example(spark, tmp_path, entity):
+def test_update(spark, tmp_path, entity):
     """First line opens a version, second one closes it at its modification time and opens the next."""
     versions = []
     for day, line in enumerate(CSV[entity.name]):
@@ -101,21 +101,21 @@ def test_large_batches_take_the_full_join(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_delete_example_and_reactivation(spark):
-    dim = apply(customers(spark, (101, "Rahul", "x"), (102, "Asha", "y")), None, T[0])
+def test_delete_and_reactivation(spark):
+    dim = apply(customers(spark, (7, "Anneli", "x"), (8, "Odd", "y")), None, T[0])
     request = spark.createDataFrame(
-        [(101, "Account closed at customer request", ts("2024-03-10 14:30:00")), (101, "again", ts("2024-03-11 00:00:00"))],
+        [(7, "moved away", ts("2024-03-04 08:15:00")), (7, "again", ts("2024-03-05 00:00:00"))],
         "customer_id bigint, delete_reason string, delete_timestamp timestamp",
     )
     gone = scd2.scd2_delete(dim, request, "customer_id")
     columns = ["customer_id", "eff_end_date", "is_current", "is_deleted", "delete_reason"]
     assert rows(gone, *columns) == [
-        (101, ts("2024-03-10 14:30:00"), False, True, "Account closed at customer request"),
-        (102, None, True, False, None),
+        (7, ts("2024-03-04 08:15:00"), False, True, "moved away"),
+        (8, None, True, False, None),
     ]
-    back = apply(customers(spark, (101, "Rahul", "x"), (102, "Asha", "y")), gone, T[3])
+    back = apply(customers(spark, (7, "Anneli", "x"), (8, "Odd", "y")), gone, T[3])
     assert rows(back, *columns) == sorted(
-        rows(gone, *columns) + [(101, None, True, False, None)], key=repr
+        rows(gone, *columns) + [(7, None, True, False, None)], key=repr
     )
 
 

@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import CSV, drop_file, rows, ts
+from helpers import CSV, OPENED, ORDERED, drop_file, rows, ts
 from tiffinlake.functions import casting, geography, rules
 from tiffinlake.functions.fixed_values import STATE_CODES
 from tiffinlake.operators.masking import mask, tags_of, with_tags
@@ -24,68 +24,66 @@ def one(df, entity):
     return df.select(*entity.columns).collect()[0].asDict()
 
 
-def test_customer_example(spark, tmp_path):
+def test_customer(spark, tmp_path):
     row = one(silver(spark, tmp_path, "customer"), en.CUSTOMER)
     assert row == {
-        "customer_id": 101,
-        "name": "Rahul Sharma",
-        "mobile": "9876543210",
-        "email": "rahul.sharma@gmail.com",
-        "login_by_using": "Google",
-        "gender": "Male",
-        "dob": date(1992, 5, 15),
-        "anniversary": date(2018, 9, 22),
-        "preferences": '{"preferences":["North Indian","Chinese"]}',
-        "created_dt": ts("2023-01-10T09:30:45"),
-        "modified_dt": ts("2023-01-10T09:30:45"),
+        "customer_id": 7,
+        "name": "Koskinen, Anneli",
+        "mobile": "0401112223",
+        "email": "anneli@example.org",
+        "login_by_using": "OTP",
+        "gender": "Female",
+        "dob": date(1988, 11, 30),
+        "anniversary": None,
+        "preferences": '{"diet":"vegan","spice":2}',
+        "created_dt": ts(OPENED),
+        "modified_dt": ts(OPENED),
     }
 
 
-def test_address_example_keeps_null_and_coordinates(spark, tmp_path):
+def test_address_keeps_null_and_coordinates(spark, tmp_path):
     row = one(silver(spark, tmp_path, "customeraddress"), en.CUSTOMER_ADDRESS)
-    assert (row["address_id"], row["customer_id_fk"], row["house_no"]) == (201, 101, None)
-    assert (row["coordinates"], row["state"], row["pincode"]) == ("12.9352|77.6245", "Karnataka", "560034")
+    assert (row["address_id"], row["customer_id_fk"], row["house_no"]) == (70, 7, None)
+    assert (row["coordinates"], row["state"], row["pincode"]) == ("13.0067|80.2206", "Tamil Nadu", "600020")
 
 
-def test_location_example_is_enriched(spark, tmp_path):
+def test_location_is_enriched(spark, tmp_path):
     row = silver(spark, tmp_path, "location").collect()[0]
     assert (row.location_id, row.state_code, row.is_union_territory, row.capital_city_flag, row.city_tier) == (
-        5, "MH", False, True, "Tier-1",
+        12, "TN", False, True, "Tier-1",
     )
-    assert (row.zip_code, row.active_flag, row.created_ts) == ("400001", "Y", ts("2023-01-05T10:00:00"))
+    assert (row.zip_code, row.active_flag, row.created_ts) == ("600001", "Y", ts(OPENED))
 
 
-def test_restaurant_menu_agent_examples(spark, tmp_path):
+def test_restaurant_menu_agent(spark, tmp_path):
     restaurant = one(silver(spark, tmp_path, "restaurant"), en.RESTAURANT)
-    assert restaurant["pricing_for_two"] == Decimal("800.00")
-    assert (restaurant["latitude"], restaurant["longitude"]) == (Decimal("19.059600"), Decimal("72.829500"))
-    assert restaurant["cuisine_type"] == "North Indian|Chinese"
+    assert restaurant["pricing_for_two"] == Decimal("450.00")
+    assert (restaurant["latitude"], restaurant["longitude"]) == (Decimal("13.033900"), Decimal("80.261900"))
+    assert restaurant["cuisine_type"] == "South Indian|Vegan"
     menu = one(silver(spark, tmp_path, "menu"), en.MENU)
-    assert (menu["price"], menu["availability"], menu["restaurant_id_fk"]) == (Decimal("350.00"), True, 401)
+    assert (menu["price"], menu["availability"], menu["restaurant_id_fk"]) == (Decimal("89.50"), True, 5)
     agent = one(silver(spark, tmp_path, "deliveryagent"), en.DELIVERY_AGENT)
-    assert (agent["rating"], agent["location_id_fk"]) == (Decimal("4.80"), 5)
+    assert (agent["rating"], agent["location_id_fk"]) == (Decimal("4.25"), 12)
 
 
-def test_transaction_examples(spark, tmp_path):
+def test_transactions(spark, tmp_path):
     order = one(silver(spark, tmp_path, "orders"), en.ORDERS)
-    assert (order["order_id"], order["total_amount"], order["order_date"]) == (
-        1001, Decimal("700.00"), ts("2023-01-15T19:30:00"),
-    )
+    assert (order["order_id"], order["total_amount"], order["order_date"]) == (900, Decimal("268.50"), ts(ORDERED))
     item = one(silver(spark, tmp_path, "order_item"), en.ORDER_ITEM)
-    assert (item["quantity"], item["price"], item["subtotal"]) == (Decimal("2.00"), Decimal("350.00"), Decimal("700.00"))
+    assert (item["quantity"], item["price"], item["subtotal"]) == (Decimal("3.00"), Decimal("89.50"), Decimal("268.50"))
     delivery = one(silver(spark, tmp_path, "delivery"), en.DELIVERY)
-    assert (delivery["delivery_status"], delivery["estimated_time"]) == ("Delivered", "30 minutes")
+    assert (delivery["delivery_status"], delivery["estimated_time"]) == ("Delivered", "35 minutes")
 
 
 def test_fractions_survive(spark, tmp_path):
-    line = "1,2,3,2023-01-15T19:30:00,99.95,Completed,UPI,2023-01-15T19:30:00,2023-01-15T20:30:00"
+    line = f"1,2,3,{ORDERED},99.95,Completed,Cash,{ORDERED},{ORDERED}"
     assert one(silver(spark, tmp_path, "orders", [line]), en.ORDERS)["total_amount"] == Decimal("99.95")
 
 
 def test_strict_mode_fails_on_bad_text(spark):
     entity = en.ORDER_ITEM
     raw = spark.createDataFrame(
-        [("x", "1", "1", "1", "1", "1", "2023-01-15T19:30:00", "2023-01-15T19:30:00")], entity.raw_columns
+        [("x", "1", "1", "1", "1", "1", ORDERED, ORDERED)], entity.raw_columns
     )
     assert to_silver(raw, entity).collect()[0].order_item_id is None
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
@@ -94,11 +92,11 @@ def test_strict_mode_fails_on_bad_text(spark):
 
 def test_alternative_raw_name_and_processing_time(spark):
     raw = spark.createDataFrame(
-        [("5", "Mumbai", "Maharashtra", "1", "inactive", "2023-01-05T10:00:00", None)],
+        [("12", "Chennai", "Tamil Nadu", "1", "inactive", OPENED, None)],
         "locationid string, city string, state string, zipcode string, activeflag string, createdate string, modifieddate string",
     )
     row = to_silver(raw, en.LOCATION, batch_ts="2024-01-01 00:00:00").collect()[0]
-    assert row.created_ts == ts("2023-01-05T10:00:00") and row.active_flag == "N"
+    assert row.created_ts == ts(OPENED) and row.active_flag == "N"
     assert row._silver_processed_dt == ts("2024-01-01")
 
 
@@ -189,7 +187,7 @@ def test_masking_by_schema_tags(spark, tmp_path):
     assert tags_of(df) == {"mobile": "PII", "email": "EMAIL", "gender": "PII", "dob": "PII"}
     row = mask(df).collect()[0]
     assert (row.mobile, row.email, row.gender, row.dob, row.name) == (
-        "** PII **", "** EMAIL **", "** PII **", "** PII **", "Rahul Sharma",
+        "** PII **", "** EMAIL **", "** PII **", "** PII **", "Koskinen, Anneli",
     )
     phones = with_tags(spark.createDataFrame([("1", None)], "a string, b string"), {"a": "SENSITIVE", "b": "PHONE"})
     assert tuple(mask(phones).collect()[0]) == ("1", "** Phone **")

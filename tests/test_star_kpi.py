@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import CSV, drop_file, rows, ts
+from helpers import CHANGED, CSV, DELIVERED, ORDERED, drop_file, rows, ts
 from tiffinlake.operators.scd2 import apply_scd2
 from tiffinlake.plans import entities as en
 from tiffinlake.plans import jobs, kpi, star
@@ -15,7 +15,7 @@ from tiffinlake.sources.raw import read_raw
 
 @pytest.fixture()
 def example(spark, tmp_path):
-    """Typed tables and dimensions of the worked example; ``version`` 1 is after the updates."""
+    """Typed tables and dimensions of the sample rows; ``version`` 1 is after the updates."""
 
     def typed(name, lines):
         entity = en.ENTITIES[name]
@@ -60,16 +60,16 @@ def test_fact_example(example):
     )
     row = fact.collect()[0]
     assert (row.order_item_id, row.order_id, row.quantity, row.price, row.subtotal) == (
-        2001, 1001, Decimal("2.00"), Decimal("350.00"), Decimal("700.00"),
+        9001, 900, Decimal("3.00"), Decimal("89.50"), Decimal("268.50"),
     )
-    assert (row.delivery_status, row.estimated_time) == ("Delivered", "30 minutes")
+    assert (row.delivery_status, row.estimated_time) == ("Delivered", "35 minutes")
     assert all(row[k] is not None for k in star.DIM_KEYS)
     assert fact.filter(star.unresolved()).count() == 0
-    assert tuple(star.fact_metrics(fact).collect()[0]) == (1, 0, Decimal("700.00"), 1, Decimal("700.00"))
+    assert tuple(star.fact_metrics(fact).collect()[0]) == (1, 0, Decimal("268.50"), 1, Decimal("268.50"))
 
 
 def test_lookup_as_of_and_current(example):
-    """The order of January points at the versions then in force, or at today's."""
+    """The order points at the versions then in force, or at today's."""
     typed, dims = example
     parts = [typed(n, CSV[n]) for n in ("order_item", "orders", "delivery")]
     all_dims = dims(True)
@@ -87,12 +87,12 @@ def test_lookup_as_of_and_current(example):
 
 def test_missing_parents_left_and_inner(example, spark):
     typed, dims = example
-    items = typed("order_item", CSV["order_item"] + ["2002,9999,777,1,10,10,2023-01-15T19:30:00,2023-01-15T19:30:00"])
+    items = typed("order_item", CSV["order_item"] + [f"9002,9999,777,1,10,10,{ORDERED},{ORDERED}"])
     orders, delivery = typed("orders", CSV["orders"]), typed("delivery", CSV["delivery"])
     left = star.build_order_item_fact(items, orders, delivery, dims(False))
-    assert rows(left.filter(star.unresolved()), "order_item_id", "customer_dim_key") == [(2002, None)]
+    assert rows(left.filter(star.unresolved()), "order_item_id", "customer_dim_key") == [(9002, None)]
     inner = star.build_order_item_fact(items, orders, delivery, dims(False), how="inner")
-    assert rows(inner, "order_item_id") == [(2001,)]
+    assert rows(inner, "order_item_id") == [(9001,)]
 
 
 def test_delivery_without_its_order_still_counts(example):
@@ -111,18 +111,18 @@ def test_late_dimension_fills_the_fact(example):
     parts = [typed(n, CSV[n]) for n in ("order_item", "orders", "delivery")]
     known = dims(False)
     early = star.build_order_item_fact(*parts, known | {"customer": known["customer"].filter("false")})
-    assert rows(early.filter(star.unresolved()), "order_item_id") == [(2001,)]
+    assert rows(early.filter(star.unresolved()), "order_item_id") == [(9001,)]
     filled = star.upsert_fact(early, star.build_order_item_fact(*parts, known))
     assert filled.filter(star.unresolved()).count() == 0 and filled.count() == 1
 
 
 def test_several_deliveries_do_not_fan_out(example):
     typed, dims = example
-    late = "3002,1001,301,Refunded,30 minutes,201,2023-01-15T20:15:00,2023-01-15T19:30:00,2023-01-20T11:20:00"
+    late = f"91,900,3,Refunded,35 minutes,70,{DELIVERED},{ORDERED},{CHANGED}"
     fact = star.build_order_item_fact(
         typed("order_item", CSV["order_item"]), typed("orders", CSV["orders"]), typed("delivery", CSV["delivery"] + [late]), dims(False)
     )
-    assert rows(fact, "order_item_id", "delivery_status") == [(2001, "Refunded")]
+    assert rows(fact, "order_item_id", "delivery_status") == [(9001, "Refunded")]
 
 
 @pytest.fixture()
@@ -192,7 +192,7 @@ def test_warehouse_over_two_days(spark, tmp_path):
     everything = list(en.ENTITIES.values())
     assert jobs.gate(spark, lake, everything, "2023-01-16").count() == 9
     first = {n: CSV[n][:1] for n in en.ENTITIES}
-    first["location"] = first["location"] + ["junk", "6|Pune|Maharashtra"]
+    first["location"] = first["location"] + ["junk", "13|Madurai|Tamil Nadu"]
     day("2023-01-16", first)
     assert jobs.gate(spark, lake, everything, "2023-01-16").count() == 0
     assert jobs.quarantined(spark, lake, en.LOCATION, "2023-01-16").count() == 2
@@ -203,23 +203,23 @@ def test_warehouse_over_two_days(spark, tmp_path):
     jobs.build_fact(spark, lake, "2023-01-16")
     assert rows(tables.read_table(spark, lake.fact)) == before, "a rerun changes nothing"
 
-    late = {"delivery": [CSV["delivery"][0].replace("Delivered", "Refunded").replace("2023-01-15T20:15:00", "2023-01-20T11:20:00")]}
+    late = {"delivery": [CSV["delivery"][0].replace("Delivered", "Refunded").replace(DELIVERED, CHANGED)]}
     day("2023-03-06", {n: CSV[n][1:2] for n in dimensional} | late)
     for entity in en.DIMENSIONS:
         dim = tables.read_snapshot(spark, lake.dimension(entity.name))
         assert dim.count() == 2 and dim.filter(F.col(entity.flag)).count() == 1
     jobs.build_fact(spark, lake, "2023-03-06", lookup="as_of")
     fact = tables.read_table(spark, lake.fact)
-    assert rows(fact, "order_item_id", "delivery_status") == [(2001, "Refunded")]
-    assert rows(fact, *star.DIM_KEYS) == [tuple(before[0][3:10])], "the order keeps the versions of January"
+    assert rows(fact, "order_item_id", "delivery_status") == [(9001, "Refunded")]
+    assert rows(fact, *star.DIM_KEYS) == [tuple(before[0][3:10])], "the order keeps the versions of its day"
 
     jobs.publish_kpis(spark, lake)
     assert spark.table("revenue_by_restaurant").select("delivery_status", "restaurant_name").collect() == [
-        ("Refunded", "Spice Garden")
+        ("Refunded", "Dosa Corner")
     ]
     assert spark.table("revenue_by_year").count() == 0, "nothing delivered any more"
 
-    gone = spark.createDataFrame([(101, "Account closed", ts("2023-03-10T14:30:00"))],
+    gone = spark.createDataFrame([(7, "moved away", ts("2023-03-21T09:00:00"))],
                                  "customer_id bigint, delete_reason string, delete_timestamp timestamp")
     jobs.build_dimension(spark, lake, en.CUSTOMER, "2023-03-06", deletes=gone)
     assert tables.read_snapshot(spark, lake.dimension("customer")).filter("is_current").count() == 0

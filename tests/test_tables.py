@@ -16,7 +16,7 @@ def test_lineage_and_digest(spark, tmp_path):
     assert row._stg_file_name.endswith("/in/customer.csv")
     assert row._stg_file_md5 == hashlib.md5(path.read_bytes()).hexdigest()
     assert str(row._execution_date) == "2023-01-15" and str(row._copy_data_ts) == "2023-01-16 00:00:00"
-    assert df.count() == 2 and row.customerid == "101"
+    assert df.count() == 2 and row.customerid == "7"
 
 
 def test_large_files_are_digested_in_splits(spark, tmp_path):
