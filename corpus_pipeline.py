@@ -32,7 +32,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     labels = read(spark, sf_dir, "labels", "doc_id", "quality")
-    model = rules.fit(rules.labelled(docs, labels))
+    model = rules.fit(docs, labels)
     return rules.scored(docs, model).where("predicted = 1").select(*COLUMNS)
 
 

@@ -26,8 +26,8 @@ def test_held_out_accuracy_and_reruns(spark):
     rows, labels = corpus()
     docs = spark.createDataFrame([*rows, (9001, None, "", "", ""), (9002, "", "", "", ""), (9003, "x " * 300_000, "", "", ""), (1, rows[1][1], "", "", "")], SCHEMA)
     table = spark.createDataFrame([*labels, (1, 1), (2, None), (3, 7), (None, 1)], "doc_id long, quality int")
-    model = rules.fit(rules.labelled(docs, table))
-    again = rules.fit(rules.labelled(docs.repartition(5), table))
+    model = rules.fit(docs, table)
+    again = rules.fit(docs.repartition(5), table)
     assert model == again and 0 < len(model.weights) < 120
     got = rules.scored(docs, model).collect()
     assert len(got) == len(rows) + 4 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
@@ -39,7 +39,7 @@ def test_held_out_accuracy_and_reruns(spark):
 def test_without_two_kinds_of_labels(spark):
     docs = spark.createDataFrame([(i, "a b", "", "", "") for i in range(9)], SCHEMA)
     for labels in ([], [(i, 1) for i in range(9)]):
-        model = rules.fit(rules.labelled(docs, spark.createDataFrame(labels, "doc_id long, quality int")))
+        model = rules.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
         scores = {r.score for r in rules.scored(docs, model).collect()}
         assert len(scores) == 1 and (scores.pop() > 0.5) == bool(labels) or not labels
     assert rules.scored(docs.limit(0), model).count() == 0

@@ -69,7 +69,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score of every row of ``documents``, learned from the labels that aren't held out."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    model = rules.fit(rules.labelled(docs, read(spark, sf_dir, "labels", "doc_id", "quality")))
+    model = rules.fit(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
     found = rules.scored(docs, model).withColumn("held_out", rules.held_out())
     return found.select("doc_id", "held_out", "score", "predicted")
 

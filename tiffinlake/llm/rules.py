@@ -154,14 +154,19 @@ def tree_rules(tree, names: Sequence[str]) -> list[Rule]:
     return found
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO) -> RuleModel:
-    """The model of rows of doc_id, text, quality (0 or 1)."""
-    order = [F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id", "text", "quality"]
-    picked = labelled.select("doc_id", "text", "quality").orderBy(*order).limit(sample)
-    rows, names = with_statistics(picked)
-    rows = rows.withColumn("label", F.col("quality").cast("double")).select("doc_id", "label", *names)
-    # Labelled rows move once; from here on there are numbers of a bounded sample only.
-    rows = stored(rows, "sample").repartition(PARTS, "doc_id").sortWithinPartitions("doc_id", "label", *names).cache()
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO) -> RuleModel:
+    """The model of documents (doc_id, text) and labels (doc_id, quality: 0 or 1) that aren't held out.
+
+    The sample is chosen on ids alone. It has at most ``sample`` of them, so it may be sent to all tasks
+    whatever the size of the tables, and the texts are read where they lie.
+    """
+    known = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("double").alias("label"))
+    known = known.where(~held_out()).distinct().join(docs.select("doc_id").distinct(), "doc_id")
+    picked = stored(known.orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id", "label").limit(sample), "picked")
+    rows, names = with_statistics(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"))
+    # Of rows with one id the one with the least statistics counts.
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(*names)).alias("s")).select("doc_id", "label", "s.*")
+    rows = stored(rows, "sample").repartition(PARTS, "doc_id").sortWithinPartitions("doc_id", "label").cache()
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
         share = (counts.get(1.0, 0) + 0.5) / (sum(counts.values()) + 1)
@@ -186,12 +191,6 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: in
     return RuleModel(float(fitted.intercept), weights)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that may be learned from: labelled 0 or 1, and not held out."""
-    known = labels.where("quality in (0, 1)").select("doc_id", "quality").distinct().where(~held_out())
-    return docs.select("doc_id", "text").where(~held_out()).join(known, "doc_id")
-
-
 def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
 
