@@ -123,3 +123,53 @@ def test_rows_of_a_hot_key_are_spread_over_tasks(spark, burst):
     ordered = sizes.filter("k = -1").orderBy("__chunk").collect()
     assert all(a.hi < b.lo for a, b in zip(ordered, ordered[1:]))
     assert len(ordered) <= 4 / 0.01
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_overlapping_versions_give_one_result_on_every_path(spark, seed):
+    """The version started last counts, ties go to the later end; with it ended, none does."""
+    rng = random.Random(seed)
+    hours = lambda n: START + timedelta(hours=n)
+    versions = [(rng.randrange(4), f"s{i}", hours(a := rng.randrange(40)), rng.choice([None, hours(a + rng.randrange(30))])) for i in range(60)]
+    facts = [(i, rng.choice([0, 0, 1, 2, 3, 9, None]), rng.choice([hours(rng.randrange(80)), None])) for i in range(400)]
+    expected = []
+    for i, key, at in facts:
+        begun = [v for v in versions if None not in (key, at) and v[0] == key and v[2] <= at and (v[3] is None or v[3] > v[2])]
+        last = max(begun, key=lambda v: (v[2], v[3] or hours(9999), v[1]), default=None)
+        expected.append((i, last[1] if last and (last[3] is None or at < last[3]) else None))
+    fact = spark.createDataFrame(facts, "id int, k bigint, at timestamp")
+    dim = spark.createDataFrame(versions, "k bigint, state string, eff_start_date timestamp, eff_end_date timestamp")
+    for limits in (dict(small_dim=True), dict(small_dim=False, **NONE), dict(small_dim=False, **HOT)):
+        got = as_of_join(fact, dim, "k", "at", columns=["state"], **limits)
+        assert rows(got, "id", "state") == sorted(expected, key=repr)
+
+
+def test_chained_lookups_plan_linearly(spark):
+    """Six lookups in a row on the large path: the plan grows by as much with each."""
+    at = F.timestamp_micros(F.col("id") * 1_000_000)
+    fact = spark.range(100).select("id", *[(F.col("id") % 7).alias(f"k{i}") for i in range(6)], at.alias("at"))
+    scans = []
+    for i in range(6):
+        dim = spark.range(7).select(F.col("id").alias(f"k{i}"), F.concat(F.lit("v"), "id").alias(f"n{i}"),
+                                    F.timestamp_micros(F.lit(0)).alias("eff_start_date"), F.lit(None).cast("timestamp").alias("eff_end_date"))
+        fact = as_of_join(fact, dim, f"k{i}", "at", columns=[f"n{i}"], small_dim=False)
+        scans.append(fact._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+    steps = [b - a for a, b in zip(scans, scans[1:])]
+    assert max(steps) == min(steps) <= 24 and fact.filter("n5 = concat('v', k5)").count() == 100
+
+
+def test_facts_of_one_instant_or_without_key_are_spread(spark):
+    n = 20_000
+    fact = spark.range(n).select("id", F.when(F.col("id") % 2 == 0, F.lit(5)).alias("k"), F.timestamp_micros(F.lit(10**9)).alias("at"))
+    dim = spark.createDataFrame([(5, "x", START, None)], "k bigint, state string, eff_start_date timestamp, eff_end_date timestamp")
+    seen = []
+    real = timeline.hot_cells
+    timeline.hot_cells = lambda line, *a: seen.append(line.count()) or real(line, *a)
+    try:
+        got = as_of_join(fact, dim, "k", "at", columns=["state"], small_dim=False)
+    finally:
+        timeline.hot_cells = real
+    assert seen == [2], "one point and one version, whatever the number of facts"
+    assert got.count() == n
+    spread = F.pmod(F.xxhash64("id", "k", "at"), F.lit(timeline._SPREAD))
+    assert fact.filter("k is null").groupBy(spread).count().agg(F.max("count")).first()[0] < 20

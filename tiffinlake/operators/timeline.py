@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keys import as_list, row_struct
+from ..sources.files import shared_folder
 from .dedup import latest_per_key
 from .planning import is_small
 from .scd2 import CURRENT, END, START, version_key
@@ -29,6 +30,9 @@ HOT_ROWS = 1_000_000
 _CHUNK = "__chunk"
 # Room for the pieces of one chunk when chunks are renumbered: more than any cut can make.
 _FAN = 1_000_000_000
+# The end of a version in force, in microseconds; and over how many groups unmatchable facts go.
+_FOREVER = 253402300799999999
+_SPREAD = 10_000
 
 
 def _counts(df: DataFrame, by: Sequence[str], ts: str) -> DataFrame:
@@ -181,12 +185,17 @@ def as_of_join(
     """Each fact row with the dimension version valid at its time: ``start <= ts < end``.
 
     ``key`` maps fact columns to dimension columns where the names differ; ``columns`` are the
-    dimension columns to attach. Versions of a key must not overlap.
+    dimension columns to attach. If versions of a key overlap, the one started last counts; of
+    those started together the one that ends last, then the one with the largest columns; once that
+    one has ended, none is in force. A fact without key or time has no version.
 
     A dimension that Spark would broadcast anyway is joined map-side, on the key with the time range
-    as residual: the facts do not move. For larger ones both sides are laid out on one time line per
-    key and each fact takes the last version started before it. That is a sort, so it never
-    compares all facts of a key with all its versions, and hot keys are cut as described above.
+    as residual: the facts do not move. For larger ones each distinct key and time of the facts is
+    laid out with the versions on one time line per key and takes the last version started before
+    it. That is a sort, so it never compares all times of a key with all its versions, and hot keys
+    are cut as described above; many facts of one key at one instant are one point of the line. The
+    line is kept in the shared folder, so lookups can follow each other: each one reads its facts
+    once more and no plan contains another's. Both ways give the same rows.
     """
     pairs = key if isinstance(key, dict) else {k: k for k in as_list(key)}
     fact_keys, dim_keys = list(pairs), list(pairs.values())
@@ -195,34 +204,28 @@ def as_of_join(
     columns = [c for c in columns if c not in fact.columns]
     needed = dim.select(*dict.fromkeys([*dim_keys, *columns, start, end]))
     # A version of zero length is never in force.
-    needed = needed.filter(F.col(end).isNull() | (F.col(end) > F.col(start)))
+    needed = needed.filter(F.col(end).isNull() | (F.col(end) > F.col(start))).dropna(subset=[*dim_keys, start])
     if small_dim is None:
         small_dim = is_small(needed)
     if small_dim:
         return _as_of_lookup(fact, needed, pairs, ts, columns, start, end, how)
 
-    version = F.struct(
-        *[F.col(f"`{c}`").alias(c) for c in columns],
-        F.col(start).cast("timestamp").alias("__start"),
-        F.col(end).cast("timestamp").alias("__end"),
-    )
-    starts = needed.dropna(subset=dim_keys).select(
+    starts = needed.select(
         *[F.col(f"`{d}`").alias(f) for f, d in pairs.items()],
         F.col(start).cast("timestamp").alias("__at"),
         F.lit(0).alias("__is_fact"),
-        version.alias("__version"),
+        _version(columns, start, end).alias("__version"),
     )
-    rows = fact.select(
-        *fact_keys,
-        F.col(ts).cast("timestamp").alias("__at"),
-        F.lit(1).alias("__is_fact"),
-        F.struct(*[F.col(f"`{c}`") for c in fact.columns]).alias("__fact"),
-    )
-    line = starts.unionByName(rows, allowMissingColumns=True)
+    at = F.col(f"`{ts}`").cast("timestamp")
+    asked = fact.select(*fact_keys, at.alias("__at")).dropna().distinct().withColumn("__is_fact", F.lit(1))
+    line = starts.unionByName(asked, allowMissingColumns=True)
+    path = shared_folder(line.sparkSession, "time-line")
+    line.write.parquet(path)
+    line = line.sparkSession.read.schema(line.schema).parquet(path)
     hot = hot_cells(line, fact_keys, "__at", share, min_rows)
     so_far = (
         Window.partitionBy(*fact_keys, _CHUNK)
-        .orderBy("__at", "__is_fact")
+        .orderBy("__at", "__is_fact", "__version")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     filled = _with_chunks(line, hot, fact_keys, "__at", "left").withColumn(
@@ -236,22 +239,38 @@ def as_of_join(
     borders = (
         _with_chunks(line, hot, fact_keys, "__at", "inner")
         .groupBy(*fact_keys, _CHUNK)
-        .agg(F.max_by("__version", F.when(F.col("__is_fact") == 0, F.col("__at"))).alias("newest"))
+        .agg(F.max(F.when(F.col("__is_fact") == 0, F.col("__version"))).alias("newest"))
         .withColumn("inherited", F.last("newest", ignorenulls=True).over(before))
         .select(*fact_keys, _CHUNK, "inherited")
     )
     joined = _with_borders(filled.filter(F.col("__is_fact") == 1), borders, fact_keys)
     found = joined.select(
-        F.col("d.__fact").alias("f"),
-        F.coalesce(F.col("d.__version"), F.col("b.inherited")).alias("v"),
-    )
-    in_force = F.col("v").isNotNull() & (
-        F.col("v.__end").isNull() | (F.col(f"f.`{ts}`").cast("timestamp") < F.col("v.__end"))
+        *[F.col(f"d.`{k}`") for k in fact_keys],
+        F.col("d.__at").alias("__at"),
+        F.coalesce(F.col("d.__version"), F.col("b.inherited")).alias("__v"),
+    ).filter(F.col("__v").isNotNull() & (F.col("__at") < F.col("__v.__end")))
+
+    # Facts that can match nothing get a number each that no version has, so they are spread out.
+    known = at.isNotNull()
+    for k in fact_keys:
+        known = known & F.col(f"`{k}`").isNotNull()
+    spread = F.when(known, F.lit(0)).otherwise(F.pmod(F.xxhash64(*fact.columns), F.lit(_SPREAD)).cast("int") + 1)
+    condition = (F.col("f.__at") == F.col("v.__at")) & (F.col("f.__spread") == F.col("v.__spread"))
+    for k in fact_keys:
+        condition = condition & (F.col(f"f.`{k}`") == F.col(f"v.`{k}`"))
+    return (
+        fact.withColumn("__at", at).withColumn("__spread", spread).alias("f")
+        .join(found.withColumn("__spread", F.lit(0)).alias("v"), condition, how)
+        .select(*[F.col(f"f.`{c}`") for c in fact.columns], *[F.col(f"v.__v.`{c}`").alias(c) for c in columns])
     )
-    if how == "inner":
-        found = found.filter(in_force)
-    return found.select(
-        "f.*", *[F.when(in_force, F.col(f"v.`{c}`")).alias(c) for c in columns]
+
+
+def _version(columns: Sequence[str], start: str, end: str) -> Column:
+    """A version as a struct whose order decides between versions started together."""
+    return F.struct(
+        F.col(start).cast("timestamp").alias("__start"),
+        F.coalesce(F.col(end).cast("timestamp"), F.timestamp_micros(F.lit(_FOREVER))).alias("__end"),
+        *[F.col(f"`{c}`").alias(c) for c in columns],
     )
 
 
@@ -265,13 +284,17 @@ def _as_of_lookup(
     end: str,
     how: str,
 ) -> DataFrame:
-    condition = (F.col(f"f.`{ts}`") >= F.col(f"v.{start}")) & (
-        F.col(f"v.{end}").isNull() | (F.col(f"f.`{ts}`") < F.col(f"v.{end}"))
-    )
+    """The small table's versions are first made to end where the next one starts."""
+    keys = list(pairs.values())
+    once = dim.groupBy(*keys, start).agg(F.max(_version(columns, start, end)).alias("__v"))
+    next_start = F.lead("__v.__start").over(Window.partitionBy(*keys).orderBy("__v.__start"))
+    versions = once.select(*keys, "__v", F.least(F.col("__v.__end"), next_start).alias("__until"))
+    at = F.col(f"f.`{ts}`").cast("timestamp")
+    condition = (at >= F.col("v.__v.__start")) & (at < F.col("v.__until"))
     for f, d in pairs.items():
         condition = (F.col(f"f.`{f}`") == F.col(f"v.`{d}`")) & condition
     return (
         fact.alias("f")
-        .join(dim.alias("v"), condition, how)
-        .select(*[F.col(f"f.`{c}`") for c in fact.columns], *[F.col(f"v.`{c}`") for c in columns])
+        .join(versions.alias("v"), condition, how)
+        .select(*[F.col(f"f.`{c}`") for c in fact.columns], *[F.col(f"v.__v.`{c}`").alias(c) for c in columns])
     )
