@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry_points
+from tiffinlake.queries import ORACLES, QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -18,7 +19,6 @@ TYPES = {
     "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
     "timestamp_ntz": "TIMESTAMP",
 }
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the generated tables")
 
@@ -34,6 +34,7 @@ def duck():
 
 def test_every_query_has_its_sql():
     assert set(ORACLES) == set(QUERIES)
+    assert QUERIES.items() <= entry_points.queries().items() and ORACLES.items() <= entry_points.oracle_sql().items()
 
 
 def test_entry_runs(spark):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows, ts
-from tiffinlake.functions.keys import change_hash, hash_key
+from tiffinlake.functions.keys import change_hash, hash_key, instant
 from tiffinlake.operators.dedup import latest_per_key
 from tiffinlake.operators.deletes import active_only, delete_where, hard_delete, soft_delete
 from tiffinlake.operators.upsert import upsert
@@ -105,6 +105,19 @@ def test_hash_keys_see_nulls(spark):
     assert len(typed.select(hash_key("a", "b")).collect()[0][0]) == 64
 
 
+def test_keys_are_unambiguous_and_free_of_the_session_zone(spark):
+    rows_ = [("x|", "y"), ("x", "|y"), ("1:x", ""), ("", "1:x"), ("<null>", "-"), (None, "-"), ("-", None)]
+    df = spark.createDataFrame(rows_, "x string, y string")
+    assert df.select(hash_key("x", "y")).distinct().count() == len(rows_)
+    at = spark.range(1).select(F.timestamp_micros(F.lit(1_700_000_000_000_000)).alias("at"))
+    seen, before = set(), spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("UTC", "Asia/Kolkata"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        seen.add(at.select(hash_key(instant("at"))).first()[0])
+    spark.conf.set("spark.sql.session.timeZone", before)
+    assert len(seen) == 1
+
+
 DELETES = "k bigint, delete_reason string, delete_timestamp timestamp"
 
 

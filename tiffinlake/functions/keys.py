@@ -6,8 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-_SEPARATOR = "||"
-_NULL_TEXT = "<null>"
+_NULL = "-"
 
 
 def _as_column(c: Column | str) -> Column:
@@ -15,13 +14,19 @@ def _as_column(c: Column | str) -> Column:
 
 
 def hash_key(*cols: Column | str) -> Column:
-    """SHA-256 over the values in order.
+    """SHA-256 over the values in order, each as its length, a colon and its text, NULL as a dash.
 
-    ``concat_ws`` skips NULLs, so each NULL becomes a marker first: (NULL, 'a') and
-    ('a', NULL) must not share a key.
+    So no two lists of values share a text: ('x|', 'y') and ('x', '|y') differ, and NULL differs
+    from every text. Pass instants as ``instant(c)``; as text they depend on the session's time zone.
     """
-    parts = [F.coalesce(_as_column(c).cast("string"), F.lit(_NULL_TEXT)) for c in cols]
-    return F.sha2(F.concat_ws(_SEPARATOR, *parts), 256)
+    texts = [_as_column(c).cast("string") for c in cols]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit(_NULL)) for t in texts]
+    return F.sha2(F.concat(*parts), 256)
+
+
+def instant(c: Column | str) -> Column:
+    """A timestamp as microseconds since 1970 in UTC, whatever the session's time zone."""
+    return F.unix_micros(_as_column(c).cast("timestamp"))
 
 
 def change_hash(tracking_columns: Sequence[str]) -> Column:

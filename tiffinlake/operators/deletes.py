@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.keys import as_list, hash_key, keys_equal
+from ..functions.keys import as_list, hash_key, instant, keys_equal
 
 IS_DELETED, REASON, DELETED_AT = "is_deleted", "delete_reason", "delete_timestamp"
 
@@ -79,7 +79,7 @@ def hard_delete(
     removed = requests.alias("d").join(present.alias("p"), keys_equal(keys, "d", "p"), "left_semi")
     key_text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     audit = removed.select(
-        hash_key(F.lit(table_name), key_text, F.col(DELETED_AT)).alias("deletion_audit_id"),
+        hash_key(F.lit(table_name), key_text, instant(DELETED_AT)).alias("deletion_audit_id"),
         F.lit(table_name).alias("table_name"),
         key_text.alias("primary_key_value"),
         F.col(REASON),

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.keys import as_list, as_timestamp, hash_key, keys_equal, same_values
+from ..functions.keys import as_list, as_timestamp, hash_key, instant, keys_equal, same_values
 from .change_feed import ACTION
 from .dedup import latest_per_key
 from .deletes import DELETED_AT, IS_DELETED, REASON, first_request
@@ -21,7 +21,7 @@ NEW, CHANGED, UNCHANGED, MISSING = "NEW", "CHANGED", "UNCHANGED", "MISSING"
 
 def version_key(natural_key: Sequence[str], tracking: Sequence[str], start: str) -> Column:
     """Surrogate key of a version: who, with what attributes, since when."""
-    return hash_key(*natural_key, *tracking, start)
+    return hash_key(*natural_key, *tracking, instant(start))
 
 
 def _current(dim: DataFrame, flag: str) -> DataFrame:
@@ -103,7 +103,7 @@ def apply_scd2(
 
     def opened(c: str, data_type) -> Column:
         if c == surrogate_key:
-            return hash_key(*[F.col(f"s.`{k}`") for k in [*keys, *tracking]], F.col("s.__ts"))
+            return hash_key(*[F.col(f"s.`{k}`") for k in [*keys, *tracking]], instant("s.__ts"))
         if c in keys or c in tracking:
             return F.col(f"s.`{c}`")
         if c == start:

@@ -16,9 +16,9 @@ from .registry import query
 KEY, HK, TRACKING = "customer_id", "customer_hk", DIM_TRACKING["customer"]
 REACTIVATED = "2003-01-01 00:00:00"
 
-_HK1 = q.hk("customer_id", "name", "preferences", f"'{FIRST_LOAD}'")
-_HK2 = q.hk("customer_id", "name", "preferences", f"'{SECOND_LOAD}'")
-_HK3 = q.hk("customer_id", "name", "preferences", f"'{REACTIVATED}'")
+_HK1 = q.hk("customer_id", "name", "preferences", q.instant(FIRST_LOAD))
+_HK2 = q.hk("customer_id", "name", "preferences", q.instant(SECOND_LOAD))
+_HK3 = q.hk("customer_id", "name", "preferences", q.instant(REACTIVATED))
 _OPEN_END = "CAST(NULL AS TIMESTAMP)"
 _CHANGED = "b.preferences <> a.preferences OR b.name <> a.name"
 
@@ -35,8 +35,8 @@ _EXPIRED_OR_CURRENT = f"""SELECT {_HK1} AS customer_hk, b.*, {q.T1} AS eff_start
   CASE WHEN {_CHANGED} THEN {q.T2} END AS eff_end_date,
   NOT coalesce({_CHANGED}, false) AS is_current
   FROM (SELECT customer_id AS k, name, preferences FROM after) a RIGHT JOIN before b ON a.k = b.customer_id"""
-_EXPIRED_OR_CURRENT = _EXPIRED_OR_CURRENT.replace(_HK1, q.hk("b.customer_id", "b.name", "b.preferences", f"'{FIRST_LOAD}'"))
-_OPENED = f"""SELECT {q.hk("a.customer_id", "a.name", "a.preferences", f"'{SECOND_LOAD}'")}, a.*, {q.T2}, {_OPEN_END}, true
+_EXPIRED_OR_CURRENT = _EXPIRED_OR_CURRENT.replace(_HK1, q.hk("b.customer_id", "b.name", "b.preferences", q.instant(FIRST_LOAD)))
+_OPENED = f"""SELECT {q.hk("a.customer_id", "a.name", "a.preferences", q.instant(SECOND_LOAD))}, a.*, {q.T2}, {_OPEN_END}, true
   FROM after a LEFT JOIN (SELECT customer_id AS k, name, preferences FROM before) b ON a.customer_id = b.k
   WHERE b.k IS NULL OR {_CHANGED}"""
 _BATCH = f"{_EXPIRED_OR_CURRENT} UNION ALL {_OPENED}"
@@ -133,7 +133,7 @@ def scd2_reactivate(m):
     f"""WITH kept AS (SELECT * FROM (SELECT user_id, event_type, ts,
           lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)
           WHERE prev IS NULL OR prev <> event_type)
-        SELECT {q.hk("user_id", "event_type", "ts")} AS user_hk, user_id, event_type, ts AS eff_start_date,
+        SELECT {q.hk("user_id", "event_type", "epoch_us(ts)")} AS user_hk, user_id, event_type, ts AS eff_start_date,
           lead(ts) OVER w AS eff_end_date, lead(ts) OVER w IS NULL AS is_current
         FROM kept WINDOW w AS (PARTITION BY user_id ORDER BY ts)""",
 )
@@ -166,7 +166,7 @@ def scd2_history_hot(m):
 @query(
     "scd2_from_cdc",
     f"""WITH {q.BEFORE_AFTER}
-        SELECT {q.hk("b.customer_id", "b.name", "b.preferences", f"'{FIRST_LOAD}'")} AS customer_hk, b.*, {q.T1} AS eff_start_date,
+        SELECT {q.hk("b.customer_id", "b.name", "b.preferences", q.instant(FIRST_LOAD))} AS customer_hk, b.*, {q.T1} AS eff_start_date,
           CASE WHEN a.k IS NULL OR {_CHANGED} THEN {q.T2} END AS eff_end_date, NOT (a.k IS NULL OR {_CHANGED}) AS is_current
         FROM (SELECT customer_id AS k, name, preferences FROM after) a RIGHT JOIN before b ON a.k = b.customer_id
         UNION ALL {_OPENED}""",
@@ -212,11 +212,12 @@ def latest_per_key(m):
 @query(
     "hash_keys",
     f"""SELECT o_orderkey, {q.hk("o_orderkey")} AS natural_hk, {q.hk("o_orderkey", "o_custkey")} AS pair_hk,
-        {q.hk("CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END", "CAST(o_totalprice AS DECIMAL(12,2))", "o_orderdate")} AS attributes_hk
+        {q.hk("CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END", "CAST(o_totalprice AS DECIMAL(12,2))", "o_orderdate")} AS attributes_hk,
+        {q.hk("o_orderpriority || '|'", "CASE WHEN o_orderstatus = 'F' THEN '<null>' WHEN o_orderstatus = 'P' THEN '|-' END")} AS text_hk
         FROM orders""",
 )
 def hash_keys(m):
-    """Natural, composite and attribute keys; NULL attributes count."""
+    """Natural, composite and attribute keys; NULL attributes count, and so do pipes and marker texts."""
     rows = m.table("orders").withColumns(
         {
             "priority": F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")),
@@ -228,4 +229,8 @@ def hash_keys(m):
         hash_key("o_orderkey").alias("natural_hk"),
         hash_key("o_orderkey", "o_custkey").alias("pair_hk"),
         change_hash(["priority", "total", "o_orderdate"]).alias("attributes_hk"),
+        hash_key(
+            F.concat("o_orderpriority", F.lit("|")),
+            F.when(F.col("o_orderstatus") == "F", "<null>").when(F.col("o_orderstatus") == "P", "|-"),
+        ).alias("text_hk"),
     )

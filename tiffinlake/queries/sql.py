@@ -13,8 +13,13 @@ def text_list(values) -> str:
 
 
 def hk(*parts: str) -> str:
-    """Surrogate key over SQL expressions, NULL-safe."""
-    return "sha256(concat_ws('||', " + ", ".join(f"coalesce(CAST({p} AS VARCHAR), '<null>')" for p in parts) + "))"
+    """Surrogate key over SQL expressions: length, colon and text of each, a dash for NULL."""
+    texts = [f"CAST({p} AS VARCHAR)" for p in parts]
+    return "sha256(" + " || ".join(f"coalesce(length({t}) || ':' || {t}, '-')" for t in texts) + ")"
+
+
+def instant(text: str) -> str:
+    return f"epoch_us(TIMESTAMP '{text}')"
 
 
 def money(c: str) -> str:
@@ -53,12 +58,12 @@ heads AS (
     ON o_orderkey = s.l_orderkey
 )"""
 
-CUSTOMER_HK = hk("c_custkey", "c_name", "c_mktsegment", f"'{FIRST_LOAD}'")
-ADDRESS_HK = hk("c_custkey", "c_custkey", "c_nationkey", f"'{FIRST_LOAD}'")
-RESTAURANT_HK = hk("s_suppkey", "s_name", "s_nationkey", money("s_acctbal"), f"'{FIRST_LOAD}'")
-AGENT_HK = hk("s_suppkey", "s_name", "s_nationkey", f"'{FIRST_LOAD}'")
-MENU_HK = hk("p_partkey", "p_name", "p_type", money("p_retailprice"), f"'{FIRST_LOAD}'")
-LOCATION_HK = hk("n_nationkey", "n_name", "r_name", "n_nationkey + 560000", f"'{FIRST_LOAD}'")
+CUSTOMER_HK = hk("c_custkey", "c_name", "c_mktsegment", instant(FIRST_LOAD))
+ADDRESS_HK = hk("c_custkey", "c_custkey", "c_nationkey", instant(FIRST_LOAD))
+RESTAURANT_HK = hk("s_suppkey", "s_name", "s_nationkey", money("s_acctbal"), instant(FIRST_LOAD))
+AGENT_HK = hk("s_suppkey", "s_name", "s_nationkey", instant(FIRST_LOAD))
+MENU_HK = hk("p_partkey", "p_name", "p_type", money("p_retailprice"), instant(FIRST_LOAD))
+LOCATION_HK = hk("n_nationkey", "n_name", "r_name", "n_nationkey + 560000", instant(FIRST_LOAD))
 
 
 def fact_cte(join: str = "LEFT JOIN", restaurant_filter: str = "true", menu_filter: str = "true") -> str:
