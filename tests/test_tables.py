@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from helpers import CSV, drop_file, rows
 from tiffinlake.plans import entities as en
+from tiffinlake.operators.quarantine import bad_rows, flag_invalid, good_rows, load_rules
 from tiffinlake.sources import files, raw, tables
 
 
@@ -19,14 +20,25 @@ def test_lineage_and_digest(spark, tmp_path):
     assert df.count() == 2 and row.customerid == "7"
 
 
-def test_large_files_are_digested_in_splits(spark, tmp_path):
-    for name, body in {"a": "h\n1\n2\n", "b": "h\n2\n1\n", "c": "h\n1\n3\n"}.items():
-        (tmp_path / f"{name}.csv").write_text(body)
-    big = {r[0][-5:]: r[1] for r in raw.file_digests(spark, str(tmp_path), exact_bytes=0).collect()}
-    assert len(big) == 3 and all(len(v) == 32 for v in big.values())
-    assert big["a.csv"] != big["c.csv"]
-    again = {r[0][-5:]: r[1] for r in raw.file_digests(spark, str(tmp_path), exact_bytes=0).collect()}
-    assert again == big
+def test_digest_is_the_md5_of_any_file_name(spark, tmp_path):
+    for name in ("a b.csv", "ü%20.csv"):
+        (tmp_path / name).write_text(f"h\n{name}\n")
+    df = raw.read_raw(spark, str(tmp_path), ["v"], "2023-01-15", with_md5=True)
+    assert {r.v: r._stg_file_md5 for r in df.collect()} == {
+        n: hashlib.md5((tmp_path / n).read_bytes()).hexdigest() for n in ("a b.csv", "ü%20.csv")
+    }
+    listed = {r.path for r in raw.list_files(spark, str(tmp_path)).collect()}
+    assert listed == {r._stg_file_name for r in df.collect()}
+
+
+def test_malformed_lines_are_kept_apart(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('a,b\n1,x\n4,5,6\n3\n7,"two\nlines"\nkey,y\n')
+    df = raw.read_raw(spark, str(tmp_path), ["k", "v"], "2023-01-15", malformed=raw.MALFORMED, multi_line=True)
+    flagged = flag_invalid(df, load_rules({"k": "bigint"}, raw.MALFORMED)).cache()
+    assert flagged.count() == 5, "rows in are rows out"
+    assert rows(good_rows(flagged), "k", "v") == [("1", "x"), ("7", "two\nlines")]
+    bad = {r._malformed or r.k: r._failed_rules for r in bad_rows(flagged).collect()}
+    assert bad["4,5,6"] == bad["3"] == "malformed" and bad["key"] == "no_k"
 
 
 def test_dialect_null_quotes_and_modes(spark, tmp_path):
@@ -117,3 +129,61 @@ def test_partitioned_writes_are_few_files(spark, tmp_path):
     tables.write_table(df, path, "overwrite", ["part"])
     assert len(list((tmp_path / "p").glob("part=*/*.parquet"))) <= 20
     assert spark.read.parquet(path).count() == 8000
+
+
+def _merger(spark, path, schema):
+    from tiffinlake.operators.upsert import upsert
+
+    def run(*values):
+        source = spark.createDataFrame(list(values), schema)
+        tables.merge_partitions(spark, path, source, ["k"], "p", lambda c, b: upsert(c, b, "k", ["v"]))
+        return rows(tables._read_partitioned(spark, path, source.schema["p"]), "k", "v", "p")
+
+    return run
+
+
+def test_merge_keeps_the_null_partition_and_declared_types(spark, tmp_path):
+    run = _merger(spark, str(tmp_path / "n"), "k bigint, v string, p string")
+    run((1, "a", None), (2, "b", None), (3, "c", "01"), (4, "d", "02"))
+    assert run((9, "n", None), (3, "C", "01")) == [(1, "a", None), (2, "b", None), (3, "C", "01"), (4, "d", "02"), (9, "n", None)]
+    assert run((1, "A", None)) == [(1, "A", None), (2, "b", None), (3, "C", "01"), (4, "d", "02"), (9, "n", None)]
+
+
+def test_a_broken_replacement_is_finished(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "b")
+    run = _merger(spark, path, "k bigint, v string, p int")
+    run((1, "a", 1), (2, "b", 2))
+    real = tables._finish_replacement
+    calls = []
+
+    def dies(spark, path, partition):
+        calls.append(1)
+        if len(calls) == 2:  # staged completely; then half of the table is gone
+            files.delete(spark, f"{path}/p=1")
+            raise RuntimeError("lost")
+        real(spark, path, partition)
+
+    monkeypatch.setattr(tables, "_finish_replacement", dies)
+    with pytest.raises(RuntimeError):
+        run((1, "A", 1), (2, "B", 2))
+    monkeypatch.setattr(tables, "_finish_replacement", real)
+    assert run((1, "A", 1), (2, "B", 2)) == [(1, "A", 1), (2, "B", 2)]
+    assert not (tmp_path / "b" / tables.STAGING).exists()
+
+
+def test_compaction_and_retention(spark, tmp_path):
+    path = str(tmp_path / "c")
+    for i in range(10):
+        spark.createDataFrame([(i, 1), (i, None if i < 3 else 2)], "k int, p int").coalesce(1).write.mode("append").partitionBy("p").parquet(path)
+    before = rows(tables.read_table(spark, path))
+    partition = spark.createDataFrame([], "p int").schema["p"]
+    assert tables.compact_partitions(spark, path, partition, more_than=8) == [1]
+    assert rows(tables.read_table(spark, path)) == before
+    assert len(list((tmp_path / "c" / "p=1").glob("*.parquet"))) == 1
+    snapshots = str(tmp_path / "s")
+    for i in range(4):
+        tables.write_snapshot(spark.range(i), snapshots)
+    assert tables.expire_snapshots(spark, snapshots) == []
+    assert tables.expire_snapshots(spark, snapshots, older_than_hours=-1, keep=2) == [0, 1]
+    assert tables.expire_snapshots(spark, snapshots, older_than_hours=-1, keep=0) == [2]
+    assert tables.read_snapshot(spark, snapshots).count() == 3

@@ -6,6 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.casting import cast_text
+
 FAILED_RULES = "_failed_rules"
 
 
@@ -35,6 +37,15 @@ def split_valid(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame,
     return good_rows(flagged), bad_rows(flagged)
 
 
+def load_rules(keys: Mapping[str, str], malformed: str | None = None) -> dict[str, Column]:
+    """What keeps a raw row out of the typed tables: a malformed line, or a key that has no value.
+
+    ``keys`` maps raw key columns to their types.
+    """
+    rules = {f"no_{k}": cast_text(F.col(f"`{k}`"), kind).isNull() for k, kind in keys.items()}
+    return ({"malformed": F.col(malformed).isNotNull()} if malformed else {}) | rules
+
+
 def bad_key_rules(key: str) -> dict[str, Column]:
     """The two ways a staged file is known to go wrong: another delimiter, junk content."""
     text = F.col(key).cast("string")

@@ -20,6 +20,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return _fs(spark, path).exists(_path(spark, path))
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder and what is in it; a missing one is no error."""
+    _fs(spark, path).delete(_path(spark, path), True)
+
+
+def modified_millis(spark: SparkSession, path: str) -> int:
+    return _fs(spark, path).getFileStatus(_path(spark, path)).getModificationTime()
+
+
 def child_names(spark: SparkSession, path: str) -> list[str]:
     if not exists(spark, path):
         return []

@@ -19,10 +19,8 @@ CSV_DIALECT = {
     "enforceSchema": "true",
 }
 
-# Above this many files the digest table is joined by shuffle, not broadcast (about 200 bytes each).
-BROADCAST_FILE_LIMIT = 50_000
-# Files up to this size are read whole to get their exact MD5; larger ones are digested in splits.
-EXACT_MD5_BYTES = 64 * 1024 * 1024
+# Text of a line that does not have the expected number of fields, else NULL.
+MALFORMED = "_malformed"
 
 
 def text_schema(columns: Sequence[str]) -> T.StructType:
@@ -30,13 +28,25 @@ def text_schema(columns: Sequence[str]) -> T.StructType:
 
 
 def scan_csv(
-    spark: SparkSession, path: str | Sequence[str], columns: Sequence[str], mode: str = "PERMISSIVE"
+    spark: SparkSession,
+    path: str | Sequence[str],
+    columns: Sequence[str],
+    mode: str = "PERMISSIVE",
+    multi_line: bool = False,
+    malformed: str | None = None,
 ) -> DataFrame:
     """Files in place, n-th field bound to the n-th name whatever the header says.
 
     ``mode``: PERMISSIVE keeps bad lines, DROPMALFORMED skips them, FAILFAST aborts the load.
+    ``malformed`` names a column for the text of lines with missing or surplus fields. With
+    ``multi_line`` quoted fields may hold line breaks, but a file is then one task's work; without it
+    such a field ends with its line, so leave it out only for files known to have none.
     """
-    return spark.read.schema(text_schema(columns)).options(**CSV_DIALECT).option("mode", mode).csv(path)
+    names = [*columns, malformed] if malformed else columns
+    reader = spark.read.schema(text_schema(names)).options(**CSV_DIALECT)
+    if malformed:
+        reader = reader.option("columnNameOfCorruptRecord", malformed)
+    return reader.option("mode", mode).option("multiLine", multi_line).csv(path)
 
 
 def read_raw(
@@ -47,11 +57,14 @@ def read_raw(
     mode: str = "PERMISSIVE",
     batch_ts=None,
     with_md5: bool = False,
+    malformed: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV scan plus file name, file time, load time and batch date per row."""
-    lines = scan_csv(spark, path, columns, mode)
+    lines = scan_csv(spark, path, columns, mode, multi_line, malformed)
     raw = lines.select(
         *[F.col(f"`{c}`") for c in columns],
+        *([malformed] if malformed else []),
         F.col("_metadata.file_path").alias("_stg_file_name"),
         F.col("_metadata.file_modification_time").alias("_stg_file_load_ts"),
         as_timestamp(batch_ts).alias("_copy_data_ts"),
@@ -59,10 +72,7 @@ def read_raw(
     )
     if not with_md5:
         return raw
-    digests = file_digests(spark, path)
-    if len(lines.inputFiles()) <= BROADCAST_FILE_LIMIT:
-        digests = F.broadcast(digests)
-    return raw.join(digests, "_stg_file_name", "left").select(*raw.columns, "_stg_file_md5")
+    return raw.join(file_digests(spark, path), "_stg_file_name", "left").select(*raw.columns, "_stg_file_md5")
 
 
 def list_files(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
@@ -70,41 +80,15 @@ def list_files(spark: SparkSession, path: str | Sequence[str], glob: str | None
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select("path", "length", "modificationTime")
+    return reader.load(path).select(F.col("_metadata.file_path").alias("path"), "length", "modificationTime")
 
 
-def file_digests(
-    spark: SparkSession, path: str | Sequence[str], exact_bytes: int = EXACT_MD5_BYTES
-) -> DataFrame:
-    """One content digest per file: (_stg_file_name, _stg_file_md5).
+def file_digests(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """One content digest per file, its MD5, whatever its size: (_stg_file_name, _stg_file_md5).
 
-    The MD5 of a file needs its bytes in order, in one task, so it is computed for files up to
-    ``exact_bytes`` only (the size filter reaches the scan). A larger file is read in splits and
-    gets the MD5 of its line count and two commutative sums over its line hashes, which any number
-    of tasks can build and merge.
+    A file's bytes have to pass in order, so a file is one task's work. Spark reads a file whole only
+    up to its own limit (``spark.sql.sources.binaryFile.maxLength``, 2 GB at most); a larger one fails
+    the load rather than getting another kind of digest.
     """
-    small = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .filter(F.col("length") <= exact_bytes)
-        .select(F.col("path").alias("_stg_file_name"), F.md5("content").alias("_stg_file_md5"))
-    )
-    lines = (
-        spark.read.option("recursiveFileLookup", "true")
-        .text(path)
-        .select("value", "_metadata.file_path", "_metadata.file_size")
-        .filter(F.col("file_size") > exact_bytes)
-    )
-    line_hash = F.xxhash64("value").cast("decimal(38,0)")
-    large = lines.groupBy(F.col("file_path").alias("_stg_file_name")).agg(
-        F.md5(
-            F.concat_ws(
-                ":",
-                F.count(F.lit(1)).cast("string"),
-                F.sum(line_hash).cast("string"),
-                F.bit_xor(F.xxhash64(F.reverse("value"))).cast("string"),
-            ).cast("binary")
-        ).alias("_stg_file_md5")
-    )
-    return small.unionByName(large)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.select(F.col("_metadata.file_path").alias("_stg_file_name"), F.md5("content").alias("_stg_file_md5"))

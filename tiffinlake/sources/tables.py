@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import files
 
@@ -119,24 +121,83 @@ def merge_partitions(
     rows belong to. ``merge`` must leave the partition column of stored rows alone and must not
     empty a partition.
 
-    The result is written to the shared folder before it replaces anything, so a job that reads the
-    table while a task is retried never reads its own output, and a copy exists until the end.
+    The result is staged inside the table's folder, where readers don't see it, before it replaces
+    anything. A complete staging found at the start is what an earlier job did not finish: it is put
+    in place first, so a job that died half-way through the replacement has lost nothing, and running
+    its batch again finds all rows. An incomplete one is dropped.
+
+    Partition values have the type they have in ``source``; NULL is a partition like any other.
     """
     if not files.exists(spark, path):
         write_table(merge(None, source), path, "overwrite", [partition_by])
         return
-    stored = read_table(spark, path)
+    partition = source.schema[partition_by]
+    _finish_replacement(spark, path, partition)
+    stored = _read_partitioned(spark, path, partition)
     own = source.select(partition_by)
     hit = stored.select(*keys, partition_by).join(source.select(*keys), list(keys), "left_semi")
     # At most one row per partition of the table reaches the driver.
     affected = [r[0] for r in hit.select(partition_by).unionByName(own).distinct().collect()]
-    current = stored.filter(F.col(partition_by).isin(affected))
-    staging = files.shared_folder(spark, "merge")
-    write_table(merge(current, source), staging, "overwrite", [partition_by])
-    (
-        read_table(spark, staging)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition_by)
-        .parquet(path)
-    )
+    current = stored.filter(_one_of(partition_by, affected))
+    replace_partitions(spark, path, merge(current, source), partition)
+
+
+STAGING = "_replacement"
+
+
+def _one_of(name: str, values: Sequence) -> Column:
+    """Whether a column has one of the values, which may include NULL."""
+    found = F.col(name).isin([v for v in values if v is not None])
+    return found | F.col(name).isNull() if None in values else found
+
+
+def _read_partitioned(spark: SparkSession, path: str, partition: StructField) -> DataFrame:
+    """The table with its partition column as declared, not as its values look."""
+    found = read_table(spark, path).schema
+    fields = [partition if f.name == partition.name else f for f in found]
+    return spark.read.schema(StructType(fields)).parquet(path)
+
+
+def replace_partitions(spark: SparkSession, path: str, df: DataFrame, partition: StructField) -> None:
+    """Replaces the partitions that ``df`` has rows for, so that a broken replacement can be finished."""
+    write_table(df, f"{path}/{STAGING}", "overwrite", [partition.name])
+    _finish_replacement(spark, path, partition)
+
+
+def _finish_replacement(spark: SparkSession, path: str, partition: StructField) -> None:
+    staging = f"{path}/{STAGING}"
+    if not files.exists(spark, staging):
+        return
+    if files.exists(spark, f"{staging}/_SUCCESS"):
+        (
+            _read_partitioned(spark, staging, partition)
+            .hint("rebalance", F.col(partition.name))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(partition.name)
+            .parquet(path)
+        )
+    files.delete(spark, staging)
+
+
+def compact_partitions(spark: SparkSession, path: str, partition: StructField, more_than: int = 8) -> list:
+    """Rewrites the partitions that have more than so many files into few; returns their values."""
+    table = _read_partitioned(spark, path, partition)
+    names = table.select(partition.name, F.col("_metadata.file_path").alias("file")).distinct()
+    many = names.groupBy(partition.name).count().filter(F.col("count") > more_than)
+    values = [r[0] for r in many.select(partition.name).collect()]
+    if values:
+        replace_partitions(spark, path, table.filter(_one_of(partition.name, values)), partition)
+    return values
+
+
+def expire_snapshots(
+    spark: SparkSession, path: str, older_than_hours: float = 168, keep: int = 1, now_millis: int | None = None
+) -> list[int]:
+    """Deletes versions committed so long ago, but never the last ``keep`` (at least the latest)."""
+    limit = (int(time.time() * 1000) if now_millis is None else now_millis) - older_than_hours * 3_600_000
+    candidates = snapshot_versions(spark, path)[: -max(keep, 1)]
+    gone = [v for v in candidates if files.modified_millis(spark, f"{path}/v={v}/_SUCCESS") < limit]
+    for v in gone:
+        files.delete(spark, f"{path}/v={v}")
+    return gone
