@@ -39,10 +39,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = mixing.with_row(docs.select(*COLUMNS))
     found = ngram.join_near(rows.select(F.col("row").alias("doc_id"), "text"), n=5, percent=80)
-    found = found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
+    found = stored(found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row"), "found")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "row"))
-    kept = found.groupBy("component_id").agg(first["row"].alias("row")).select("row")
-    return rows.join(stored(kept, "kept"), "row", "left_semi").select(*COLUMNS)
+    kept = found.groupBy("component_id").agg(first["row"].alias("kept"))
+    # The documents to leave out are few as a rule; kept as a table, Spark sees whether they are.
+    gone = stored(found.join(kept, "component_id").where("row <> kept").select("row"), "gone")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
