@@ -68,7 +68,7 @@ def source_targets(sized: DataFrame) -> DataFrame:
     part = F.round((F.col("target") - full * F.col("source_size")) / F.col("block_words"))
     s = s.withColumn("slots", (full * F.col("blocks") + F.least(part, F.col("blocks"))).cast("long"))
     upto = F.sum("slots").over(by_name.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("slots").over(everything)
+    total = F.greatest(F.sum("slots").over(everything), F.lit(1))
     return s.withColumn("high", upto / total).withColumn("low", (upto - F.col("slots")) / total)
 
 
