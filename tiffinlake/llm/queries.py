@@ -92,3 +92,36 @@ def op10_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` packed into windows of 2048 tokens."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+ORACLES["op4_pivot_topk"] = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS whole
+  FROM embeddings WHERE embedding IS NOT NULL
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.whole, c.whole) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id, score
+  FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 5"""
+
+ORACLES["op6_chat_format"] = f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{HOSTILE}' UNION ALL SELECT -1, 1, 'assistant', '{HOSTILE}'
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+    length(regexp_replace(text, '<(\\\\*)\\|', '<|\\1|', 'g')) AS chars
+  FROM said
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(11 + sum(chars + CASE WHEN i = 1 THEN 13 + length(role) WHEN before = role THEN 10
+    ELSE 24 + length(role) END) AS BIGINT) AS formatted_chars
+FROM numbered GROUP BY conv_id"""
