@@ -196,3 +196,13 @@ def test_match_all_attributes_is_null_safe(spark):
     left = customers(spark, (1, "A", None), (2, "B", "x"))
     right = customers(spark, (1, "A", None), (1, "A", None), (2, "B", "y"))
     assert rows(scd2.match_all_attributes(left, right, left.columns)) == [(1, "A", None)]
+
+
+def test_late_and_repeated_batches_change_nothing(spark):
+    first = apply(customers(spark, (1, "new", "x"), (2, "b", "y")), None, T[1])
+    late = apply(customers(spark, (1, "old", "x"), (2, "b", "y"), (3, "c", "z")), first, T[0])
+    got = rows(late, "customer_id", "name", "eff_end_date", "is_current")
+    assert got == [(1, "new", None, True), (2, "b", None, True), (3, "c", None, True)]
+    again = apply(customers(spark, (1, "other", "x")), first, T[1])
+    assert rows(again) == rows(first)
+    assert late.filter("eff_end_date < eff_start_date").count() == 0

@@ -74,7 +74,9 @@ def apply_scd2(
     New keys open a version, changed keys close theirs at ``batch_ts`` and open the next, all other
     rows stay. A current key absent from the batch stays current: deletes come as deletes. A key
     whose last version was closed counts as new again. ``batch_ts`` may be a column of the batch,
-    such as its modification time. With ``order_by`` the latest row per key is taken first;
+    such as its modification time. A row that is not newer than the start of its key's current version
+    changes nothing, so late and repeated batches never turn an interval round; to put late rows in
+    their place replay all of them (``scd2_history``). With ``order_by`` the latest row per key is taken first;
     without it the batch must have unique keys.
 
     Only current rows meet the batch, in one full outer join; expired history passes through, and
@@ -92,7 +94,8 @@ def apply_scd2(
     s = batch.withColumn("__in", F.lit(True)).alias("s")
     joined = d.join(s, keys_equal(keys, "d", "s"), "full_outer")
     in_dim, in_batch = F.col("d.__in").isNotNull(), F.col("s.__in").isNotNull()
-    changed = in_dim & in_batch & ~same_values(tracking, "d", "s")
+    newer = F.coalesce(F.col("s.__ts") > F.col(f"d.`{start}`"), F.lit(True))
+    changed = in_dim & in_batch & newer & ~same_values(tracking, "d", "s")
 
     def closed(c: str) -> Column:
         if c == end:
