@@ -6,7 +6,7 @@ first, by a count of all documents' n-grams, so common passages hardly ever coun
 first n-gram form a tile, in order of size. Within a tile only nodes of one size band (sizes within
 ``percent`` %) are compared, by signatures: bitmaps of 128 bits with a bit for whether an odd number of
 n-grams hashes there. Bits that differ bound the n-grams that differ from below, hence the overlap from
-above. Pairs that the bound allows are tested again with signatures of half a bit per n-gram, and what
+above. Pairs that the bound allows are tested again with signatures of 2 to 4 bits per n-gram, and what
 these allow is checked on the exact sorted arrays.
 
 Large groups of near copies would give every pair. So a tile of more than ``SMALL`` nodes first gives
@@ -41,6 +41,8 @@ CELLS, SLICES = 1 << 20, 64
 #: Tiles up to SMALL nodes give all their pairs at once; n-grams beyond TILE nodes are dealt over several.
 SMALL, TILE = 4, 4096
 SEEN = 200_000
+#: Bits of a signature that rows of a tile carry at most, and of the filter of wanted documents.
+TILE_BITS, FILTER_BITS = 1024, 1 << 23
 
 
 # --- texts to sorted arrays of hashes
@@ -92,7 +94,7 @@ def nodes_and_counts(docs: DataFrame, n: int) -> DataFrame:
             for grams in gram_sets(strings(batch.column(1)), n):
                 sizes.append(len(grams))
                 nodes.append(digest(grams) if len(grams) else None)
-                wide.append(parity(grams, max(128, 1 << (len(grams) // 2).bit_length())))
+                wide.append(parity(grams, max(128, 1 << (2 * len(grams)).bit_length())))
                 pending.append(grams)
                 grams_pending += len(grams)
                 if grams_pending > CELLS:
@@ -149,10 +151,19 @@ def gram_classes(counted: DataFrame) -> np.ndarray:
 
 
 def prefix_sizes(size: int, percent: int) -> tuple[int, int]:
-    """How many first n-grams a set shows to partners of its size or less, and to larger ones."""
-    as_larger = size - -(-percent * size // 100) + 1
-    as_smaller = size - -(-2 * percent * size // (100 + percent)) + 1
-    return as_larger, as_smaller
+    """How many first n-grams a set shows to partners of its size or less, and to larger ones.
+
+    So many that a linked pair has ``common_least`` of the smaller set's size in common among them.
+    """
+    more = common_least(size)
+    as_larger = size - -(-percent * size // 100) + more
+    as_smaller = size - -(-2 * percent * size // (100 + percent)) + more
+    return min(as_larger, size), min(as_smaller, size)
+
+
+def common_least(size):
+    """First n-grams that a pair must share; long sets share some by chance, their like share many."""
+    return 1 + size // 400
 
 
 def parity(grams: np.ndarray, bits: int = 128) -> bytes:
@@ -171,6 +182,13 @@ def differing(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def fold(x: bytes, bits: int) -> bytes:
+    a = np.frombuffer(x, U64)
+    while 64 * len(a) > bits:
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return a.tobytes()
+
+
 def within(x: bytes, y: bytes, m: int, n: int, percent: int) -> bool:
     """Whether sets of m and n n-grams with these signatures may be similar enough."""
     return differing(x, y) <= m + n - 2 * -(-percent * (m + n) // (100 + percent))
@@ -343,17 +361,19 @@ def first_look(percent: int):
         a, b = r.node[i], r.node[j]
         swap = (r.who[i] > r.who[j])[:, 0] | ((r.who[i] == r.who[j])[:, 0] & (r.who[i] > r.who[j])[:, 1])
         a, b = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
-        both = np.unique(np.concatenate([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 32), np.uint8)
-        if len(both):
+        if len(a):
+            both, at, times = np.unique(np.concatenate([a, b], axis=1), axis=0, return_index=True, return_counts=True)
+            least = common_least(np.minimum(r.size[i], r.size[j])[at])
             none = pa.nulls(len(both))
             yield pa.RecordBatch.from_arrays(
-                [fixed_binary(both[:, :16]), fixed_binary(both[:, 16:]), none.cast(pa.int64()),
+                [fixed_binary(both[:, :16]), fixed_binary(both[:, 16:]), pa.array(times), pa.array(least), none.cast(pa.int64()),
                  none.cast(pa.int32()), none.cast(pa.bool_()), none.cast(pa.binary())],
                 names=LOOKED_NAMES,
             )
         if len(aside):
             yield pa.RecordBatch.from_arrays(
-                [fixed_binary(r.node[aside]), pa.nulls(len(aside)).cast(pa.binary()), pa.array(r.gram[aside]),
+                [fixed_binary(r.node[aside]), pa.nulls(len(aside)).cast(pa.binary()),
+                 *[pa.nulls(len(aside)).cast(pa.int64())] * 2, pa.array(r.gram[aside]),
                  pa.array(r.size[aside].astype(np.int32)), pa.array(r.shown[aside]), fixed_binary(r.sig_bytes[aside])],
                 names=LOOKED_NAMES,
             )
@@ -361,7 +381,8 @@ def first_look(percent: int):
     return scan
 
 
-LOOKED = "a binary, b binary, gram long, size int, shown boolean, sig binary"
+#: A pair with how often it met and how often it must, or (b null) a row set aside.
+LOOKED = "a binary, b binary, times long, least long, gram long, size int, shown boolean, sig binary"
 LOOKED_NAMES = [f.split()[0] for f in LOOKED.split(", ")]
 
 
@@ -394,8 +415,12 @@ def second_look(percent: int):
     """All pairs of rows with different labels that both signatures allow; of two guests none."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tested: set[tuple[bytes, bytes]] = set()  # pairs meet in many tiles; one test is enough
         for table in sorted_runs(batches):
+            if len(tested) > SEEN:
+                tested.clear()
             r = Rows(table)
+            pairs: list[tuple[bytes, bytes]] = []
             host, wide = table.column("host").to_numpy(), table.column("wide")
             for s, n in zip(*(x.tolist() for x in runs_of(r.tile)), strict=True):
                 if (r.label[s : s + n] == r.label[s]).all():
@@ -410,13 +435,16 @@ def second_look(percent: int):
                     keep = allowed(r, i, j, percent)
                     for x in np.flatnonzero(keep).tolist():
                         a, b = i[x], j[x]
-                        keep[x] = within(wide[a].as_py(), wide[b].as_py(), int(r.size[a]), int(r.size[b]), percent)
-                    if keep.any():
-                        a, b = r.node[i[keep]], r.node[j[keep]]
-                        swap = np.array([x.tobytes() > y.tobytes() for x, y in zip(a, b, strict=True)])[:, None]
-                        yield pa.RecordBatch.from_arrays(
-                            [fixed_binary(np.where(swap, b, a)), fixed_binary(np.where(swap, a, b))], names=["a", "b"]
+                        pair = tuple(sorted((r.node[a].tobytes(), r.node[b].tobytes())))
+                        keep[x] = pair not in tested and within(
+                            wide[a].as_py(), wide[b].as_py(), int(r.size[a]), int(r.size[b]), percent
                         )
+                        tested.add(pair)
+                        if keep[x]:
+                            pairs.append(pair)
+            if pairs:
+                columns = [pa.array(c, pa.binary()) for c in zip(*pairs, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
     return scan
 
@@ -439,19 +467,30 @@ def check(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: i
     sized = sized.select("a", "b", "rep_a", "rep_b", "wide_a", "wide_b", "size_a", "size_b")
     pairs = stored(sized.mapInArrow(prune, PAIR + ", rep_a long, rep_b long"), "pairs")
     ids = pairs.select(F.col("rep_a").alias("doc_id"), F.col("a").alias("node")).union(pairs.select("rep_b", "b"))
-    # Kept as a table, its size is known, and while it is small the texts need no shuffle.
     ids = stored(ids.distinct(), "wanted")
+    # Texts aren't shuffled: a bitmap of fixed size lets all wanted documents through, and some others.
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = ids.select(cell.alias("cell")).groupBy(F.expr("cell div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(cell % 64 as int))")).alias("bits")
+    )
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    for row in words.collect():  # FILTER_BITS / 64 rows at most
+        bitmap[row[0]] = row[1]
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap.view(U64))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
         for batch in batches:
+            cells = batch.column(2).to_numpy().astype(np.int64)
+            batch = batch.filter(pa.array((bits[cells >> 6] >> (cells & 63).astype(U64)) & U64(1) == 1))
             grams = list(gram_sets(strings(batch.column(1)), n))
-            own = [digest(g) == node.as_py() for g, node in zip(grams, batch.column(0), strict=True)]
-            rows = [batch.column(0), pa.array([g.tobytes() for g in grams], pa.binary())]
-            # A repeated id may have another text too, whose set is not the node's.
-            yield pa.RecordBatch.from_arrays(rows, names=["node", "grams"]).filter(pa.array(own, pa.bool_()))
+            columns = [pa.array([digest(g) for g in grams], pa.binary()), pa.array([g.tobytes() for g in grams], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "node", "grams"])
 
-    texts = docs.select("doc_id", "text").join(ids, "doc_id").select("node", "text")
-    arrays = stored(texts.mapInArrow(sets, "node binary, grams binary"), "sets")
+    found = docs.where("doc_id is not null").select("doc_id", "text", cell.cast("long").alias("cell"))
+    found = found.mapInArrow(sets, "doc_id long, node binary, grams binary")
+    # The node decides too, as a repeated id may have another text.
+    arrays = stored(found.join(ids, ["doc_id", "node"]).select("node", "grams"), "sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -505,9 +544,18 @@ def join_near(docs: DataFrame, n: int, percent: int) -> DataFrame:
     )
     reps = stored(reps, "nodes")
 
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folded = [fold(x, TILE_BITS) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(folded, pa.binary())], names=["node", "rep", "wide"])
+
+
     shown = postings(docs, n, percent, classes).repartition("tile").sortWithinPartitions("tile", "size", "node")
     looked = stored(shown.mapInArrow(first_look(percent), LOOKED), "looked")
-    links = stored(check(looked.where("b is not null").select("a", "b"), docs, reps, n, percent), "links")
+    # A pair that shares fewer first n-grams than it must is none, unless a large tile hid some of them;
+    # then both its rows are set aside.
+    met = looked.where("b is not null").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("least").alias("least"))
+    links = stored(check(met.where("times >= least").select("a", "b"), docs, reps, n, percent), "links")
     labels = components(links)
 
     aside = looked.where("b is null").select("gram", "size", "shown", F.col("a").alias("node"), "sig").distinct()
@@ -519,7 +567,8 @@ def join_near(docs: DataFrame, n: int, percent: int) -> DataFrame:
     banded = aside.join(mixed, "gram", "left_semi").withColumn("band", F.explode(F.array(band, band - 1)))
     banded = banded.withColumn("host", F.col("band") == band).withColumn("dealt", F.lit(False))
     banded = banded.withColumn("tile", F.xxhash64("gram", "band"))
-    banded = banded.join(reps.select("node", "wide"), "node")
+    wide = reps.select("node", "rep", "wide").mapInArrow(narrow, "node binary, rep long, wide binary")
+    banded = banded.join(wide.select("node", "wide"), "node")
     again = banded.select(*POSTING_NAMES, "label", "host", "wide").repartition("tile").sortWithinPartitions("tile", "size")
     more = again.mapInArrow(second_look(percent), PAIR)
     more = check(more, docs, reps, n, percent)
