@@ -90,3 +90,25 @@ def test_shuffled_join_gives_the_same(spark, monkeypatch):
     rows = [(i, "http://a.example/", page(f"<article><p>Ad line</p><p>text number {i}</p></article>"), "", "", "") for i in range(30)]
     got = wrapper.extract(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.text for r in got} == {f"text number {i}" for i in range(30)}
+
+
+ARTICLE = "<article><p>the story</p><div class='share'>Share</div></article>"
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "no-sidebar", "with-sticky-header", "elementor-widget-container", "menu open"])
+def test_named_layout_wrappers_keep_the_article(name):
+    for inner in (ARTICLE, f"<main>{ARTICLE}</main>", "<main><p>the story</p></main>", "<p>the story, told without an article</p>"):
+        text = wrapper.main_text(page(f"<div class='{name}'><div id='{name}'>{inner}</div></div>"))
+        assert text.startswith("the story") and "Share" not in text and "reader" not in text
+    inside = f"<article><p>head</p><div class='{name}'><p>most of the story</p></div></article>"
+    assert wrapper.main_text(page(inside)) == "head most of the story"
+
+
+def test_boxes_with_articles_of_their_own_stay_out():
+    comments = "<div id='comments'><article><p>a comment that is longer than the story</p></article></div>"
+    for body in (ARTICLE + comments, f"<main>{ARTICLE}{comments}</main>", f"<div class='sidebar-wrap'>{comments}{ARTICLE}</div>"):
+        assert wrapper.main_text(page(body)) == "the story"
+    teaser = "<div class='widget'><article>next</article></div>"
+    assert wrapper.main_text(page(f"<main><p>the story</p>{teaser}</main>")) == "the story"
+    assert wrapper.main_text(page(f"<article>next</article><div class='content-sidebar-wrap'>{ARTICLE}</div>")) == "the story"
+    assert wrapper.main_text(page(f"<form id='aspnetForm'>{ARTICLE}</form>")) == "the story"

@@ -6,6 +6,8 @@ size is that of the layout and not of the text. Trees of a host are aligned by s
 for every node the pages that have it and the texts it has there. A text found in nearly all
 pages that have its node is template; what varies is content. A page's content is looked for in its
 article (else main part, else body), and never in nodes whose tag, role or class names page furniture.
+A class or id is weak evidence, as layout wrappers are named after what they stand beside: it marks no
+node around the page's article or main part, and none that holds most of the text there is to take.
 
 Wrappers are built where the pages lie, a partial one per task and host, and merged in two steps, so a
 host with a third of all pages costs no more than the number of tasks. A wrapper is joined back to the
@@ -58,7 +60,7 @@ ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2"
     " h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
-FURNITURE_TAGS = RAW | frozenset("head nav header footer aside form button select option dialog svg template object".split())
+FURNITURE_TAGS = RAW | frozenset("head nav header footer aside button select option dialog svg template object".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation"
@@ -66,6 +68,15 @@ FURNITURE_WORDS = frozenset(
     " notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related"
     " recommended comment comments commentlist respond reply replies disqus pagination pager search skip toolbar".split()
 )
+#: Of these, parts with texts of their own, which may be longer than the content and made up of articles.
+PART_WORDS = frozenset(
+    "cookie cookies consent gdpr newsletter subscribe subscription related recommended comment comments commentlist"
+    " respond reply replies disqus".split()
+)
+#: A class with one of these says what the layout has or lacks, or which tool made it, not what the node is.
+LAYOUT_WORDS = frozenset("no not with without has elementor".split())
+#: How sure it is that a node is furniture: by tag or role; by name, a part with texts of its own; by name.
+SURE, PART, NAMED = 3, 2, 1
 TOKEN = re.compile(
     r"<(?:(?P<comment>!--)|(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)"
     r"(?P<attributes>(?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?P<closed>>|\Z)|(?P<other>[!?/])[^>]*+>?)"
@@ -77,20 +88,23 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 class Node:
-    """A node of a page: its kind, its children in order, and whether it is furniture or an article."""
+    """A node of a page: its kind, its children in order, and whether it is furniture or an article.
+
+    ``mark`` is what its own tag, role and names say; ``furniture`` is settled by ``content_nodes``.
+    """
 
-    __slots__ = ("children", "furniture", "kind", "number", "parent", "tag", "top")
+    __slots__ = ("children", "furniture", "kind", "mark", "number", "parent", "tag", "top")
 
-    def __init__(self, tag: str, kind: str, parent: Node | None, furniture: bool, top: str):
+    def __init__(self, tag: str, kind: str, parent: Node | None, mark: int, top: str):
         self.tag, self.kind, self.parent, self.children = tag, kind, parent, []
-        self.furniture, self.top, self.number = furniture, top, 0
+        self.mark, self.furniture, self.top, self.number = mark, mark > 0, top, 0
 
 
-_KINDS: dict[tuple[str, str], tuple[str, bool, str]] = {}
+_KINDS: dict[tuple[str, str], tuple[str, int, str]] = {}
 
 
-def kind_of(tag: str, attributes: str) -> tuple[str, bool, str]:
-    """(kind, whether it is furniture, 'article' or 'main' if it holds the page's content)."""
+def kind_of(tag: str, attributes: str) -> tuple[str, int, str]:
+    """(kind, how sure it is furniture, 'article' or 'main' if it holds the page's content)."""
     if (known := _KINDS.get((tag, attributes))) is not None:
         return known
     told: dict[str, str] = {}
@@ -98,11 +112,14 @@ def kind_of(tag: str, attributes: str) -> tuple[str, bool, str]:
         told.setdefault(name.lower(), "".join(value))
     names = (told.get("class", "") + " " + told.get("id", "")).lower()
     role = told.get("role", "").lower()
-    furniture = tag in FURNITURE_TAGS or role in FURNITURE_ROLES
-    furniture = furniture or (tag not in ("html", "body", "article", "main") and bool(FURNITURE_WORDS & set(WORDS.findall(names))))
     top = "article" if tag == "article" or told.get("itemprop", "").lower() == "articlebody" or role == "article" else ""
     top = top or ("main" if tag == "main" or role == "main" else "")
-    found = (f"{tag} {DIGITS.sub('0', names).strip()}", furniture, top)
+    mark = SURE if tag in FURNITURE_TAGS or (role in FURNITURE_ROLES and role != "form") else 0
+    if not mark and not top and tag not in ("html", "body"):
+        said = [words for name in names.split() if not LAYOUT_WORDS & (words := set(WORDS.findall(name)))]
+        said = set().union(*said) & FURNITURE_WORDS
+        mark = PART if said & PART_WORDS else NAMED if said or tag == "form" or role == "form" else 0
+    found = (f"{tag} {DIGITS.sub('0', names).strip()}", mark, top)
     if len(_KINDS) < 50_000:
         _KINDS[tag, attributes] = found
     return found
@@ -110,7 +127,7 @@ def kind_of(tag: str, attributes: str) -> tuple[str, bool, str]:
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str] | None]]:
     """(nodes, texts): texts in page order with their nodes, None where a block begins or ends."""
-    root = Node("", "", None, False, "")
+    root = Node("", "", None, 0, "")
     nodes, texts, stack = [root], [], [root]
     at, size = 0, len(page)
     while at < size:
@@ -145,11 +162,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str] | None]]:
         if tag in VOID:
             continue
         parent = stack[-1]
-        kind, furniture, top = kind_of(tag, m["attributes"])
+        kind, mark, top = kind_of(tag, m["attributes"])
         if parent.children and parent.children[-1].kind == kind:
             node = parent.children[-1]
         else:
-            node = Node(tag, kind, parent, furniture or parent.furniture, top)
+            node = Node(tag, kind, parent, mark, top)
             node.number = len(nodes)
             nodes.append(node)
             parent.children.append(node)
@@ -193,20 +210,53 @@ def text_blocks(texts: list[tuple[Node, str] | None], wanted: set[int]) -> list[
 
 
 def content_nodes(nodes: list[Node], texts: list[tuple[Node, str] | None]) -> set[int]:
-    """Numbers of the nodes that may hold content: below the article with most text, else main, else all."""
-    good = [n for n in nodes if not n.furniture]
-    for top in ("article", "main"):
-        roots = [n for n in good if n.top == top]
-        if not roots:
-            continue
-        best, most = None, -1
-        for root in roots:
-            below = subtree(root)
-            size = sum(len(t[1]) for t in texts if t and t[0].number in below) if len(roots) > 1 else 0
-            if size > most:
-                best, most = below, size
-        return best
-    return {n.number for n in good}
+    """Numbers of the nodes that may hold content: below the article with most text, else main, else all.
+
+    Settles which nodes are furniture. Parents precede their children in ``nodes``, so a pass each way does.
+    """
+    sure, worst = [False] * len(nodes), [0] * len(nodes)
+    for n in nodes[1:]:
+        p = n.parent.number
+        sure[n.number] = sure[p] or n.mark == SURE
+        worst[n.number] = max(worst[p], nodes[p].mark)
+    size, plain = [0] * len(nodes), [0] * len(nodes)
+    for t in texts:
+        if t and not sure[t[0].number]:
+            size[t[0].number] += len(t[1].strip())
+    for n in nodes:
+        plain[n.number] = 0 if max(worst[n.number], n.mark) else size[n.number]
+    for n in reversed(nodes[1:]):
+        size[n.parent.number] += size[n.number]
+        plain[n.parent.number] += plain[n.number]
+
+    root = page_root(nodes, sure, worst, size, plain)
+    around, n = set(), root
+    while n is not None:
+        around.add(n.number)
+        n = n.parent
+    whole = size[root.number if root else 0]
+    for n in nodes[1:]:
+        own = n.mark == SURE
+        if not own and n.mark and n.number not in around:
+            own = size[n.number] < whole if n.mark == PART else 2 * size[n.number] <= whole
+        n.furniture = own or (n.parent.furniture and n is not root)
+    return subtree(root or nodes[0])
+
+
+def page_root(nodes: list[Node], sure: list[bool], worst: list[int], size: list[int], plain: list[int]) -> Node | None:
+    """The page's article, or else its main part; those among comments and the like come last."""
+
+    def largest(found: list[Node]) -> Node | None:
+        return max(found, key=lambda n: size[n.number], default=None)
+
+    tops = [n for n in nodes if n.top and not sure[n.number]]
+    mains = [n for n in tops if n.top == "main"]
+    articles = [n for n in tops if n.top == "article"]
+    main = largest([n for n in mains if worst[n.number] != PART] or mains)
+    article = largest([n for n in articles if worst[n.number] != PART])
+    if main and article and worst[article.number] and plain[main.number] > size[article.number]:
+        return main  # a teaser in a named box beside or in the main part
+    return article or main or largest(articles)
 
 
 def subtree(root: Node) -> set[int]:
