@@ -112,3 +112,13 @@ def test_boxes_with_articles_of_their_own_stay_out():
     assert wrapper.main_text(page(f"<main><p>the story</p>{teaser}</main>")) == "the story"
     assert wrapper.main_text(page(f"<article>next</article><div class='content-sidebar-wrap'>{ARTICLE}</div>")) == "the story"
     assert wrapper.main_text(page(f"<form id='aspnetForm'>{ARTICLE}</form>")) == "the story"
+
+
+def test_deep_pages_among_others_of_their_host(spark):
+    bodies = [f"<article><p>Ad line</p><p>text number {i}</p></article>" for i in range(20)]
+    deep = ["".join(f"<div class={'abc'[k % 3]}>" for k in range(3000)) + "<p>Ad line</p>" + f"deep {i}" for i in range(3)]
+    table = spark.createDataFrame([(i, "http://a.example/", b, "", "", "") for i, b in enumerate(bodies + deep)], SCHEMA)
+    got = {r.page_id: r.text for r in wrapper.extract(table.coalesce(2)).collect()}
+    assert got == {i: f"text number {i}" for i in range(20)} | {20 + i: f"Ad line deep {i}" for i in range(3)}
+    tree = wrapper.page_wrapper(deep[0])
+    assert wrapper.dumps(wrapper.loads(wrapper.dumps(tree))) == wrapper.dumps(tree) and wrapper.count_nodes(tree) > 3000

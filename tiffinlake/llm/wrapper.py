@@ -273,60 +273,103 @@ def fingerprint(text: str) -> str:
     return hashlib.blake2b(text.encode(), digest_size=8).hexdigest()
 
 
-# --- wrappers: [kind, pages, {fingerprint: pages}, children]
+# --- wrappers: [kind, pages, {fingerprint: pages}, children]; pages may be nested as deep as they are long,
+# so nothing here recurses
+
+
+def align(a, b, children, kind) -> dict[tuple[int, int], tuple[int, list[tuple[int, int]]]]:
+    """Simple tree matching of every two nodes that may meet, by their ids."""
+    order, todo = [], [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        x, y = children(a), children(b)
+        order.append((a, b, x, y))
+        todo += [(c, d) for c in x for d in y if kind(c) == kind(d)]
+    done: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+    for a, b, x, y in reversed(order):
+        score = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        gain: dict[tuple[int, int], int] = {}
+        for i in range(len(x)):
+            for j in range(len(y)):
+                here = max(score[i][j + 1], score[i + 1][j])
+                if kind(x[i]) == kind(y[j]):
+                    gain[i, j] = 1 + done[id(x[i]), id(y[j])][0]
+                    here = max(here, score[i][j] + gain[i, j])
+                score[i + 1][j + 1] = here
+        pairs, i, j = [], len(x), len(y)
+        while i and j:
+            if (i - 1, j - 1) in gain and score[i][j] == score[i - 1][j - 1] + gain[i - 1, j - 1]:
+                pairs.append((i - 1, j - 1))
+                i, j = i - 1, j - 1
+            elif score[i][j] == score[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        done[id(a), id(b)] = score[-1][-1], pairs[::-1]
+    return done
 
 
 def match(a, b, children, kind) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two nodes' children: its size and the pairs of places matched."""
-    x, y = children(a), children(b)
-    score = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    gain: dict[tuple[int, int], int] = {}
-    for i in range(len(x)):
-        for j in range(len(y)):
-            here = max(score[i][j + 1], score[i + 1][j])
-            if kind(x[i]) == kind(y[j]):
-                gain[i, j] = 1 + match(x[i], y[j], children, kind)[0]
-                here = max(here, score[i][j] + gain[i, j])
-            score[i + 1][j + 1] = here
-    pairs, i, j = [], len(x), len(y)
-    while i and j:
-        if (i - 1, j - 1) in gain and score[i][j] == score[i - 1][j - 1] + gain[i - 1, j - 1]:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif score[i][j] == score[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return score[-1][-1], pairs[::-1]
+    return align(a, b, children, kind)[id(a), id(b)]
 
 
 def merge(into: list, other: list) -> None:
     """Adds a wrapper to another: matched nodes add up, unmatched ones are inserted in their place."""
-    into[1] += other[1]
-    for text, count in other[2].items():
-        into[2][text] = into[2].get(text, 0) + count
-    if len(into[2]) > TEXTS:
-        into[2] = {t: c for t, c in into[2].items() if 2 * c >= into[1]}
-    pairs = match(into, other, lambda n: n[3], lambda n: n[0])[1] if into[3] and other[3] else []
-    taken, children, i = dict((j, i) for i, j in pairs), [], 0
-    for j, child in enumerate(other[3]):
-        if j in taken:
-            children += into[3][i : taken[j] + 1]
-            merge(children[-1], child)
-            i = taken[j] + 1
-        else:
-            children.append(child)
-    into[3] = children + into[3][i:]
+    found = align(into, other, lambda n: n[3], lambda n: n[0])
+    todo = [(into, other)]
+    while todo:
+        into, other = todo.pop()
+        into[1] += other[1]
+        for text, count in other[2].items():
+            into[2][text] = into[2].get(text, 0) + count
+        if len(into[2]) > TEXTS:
+            into[2] = {t: c for t, c in into[2].items() if 2 * c >= into[1]}
+        taken, children, i = {j: i for i, j in found[id(into), id(other)][1]}, [], 0
+        for j, child in enumerate(other[3]):
+            if j in taken:
+                children += into[3][i : taken[j] + 1]
+                todo.append((children[-1], child))
+                i = taken[j] + 1
+            else:
+                children.append(child)
+        into[3] = children + into[3][i:]
+
+
+def walk(wrapper: list) -> Iterator[list]:
+    """The nodes of a wrapper, parents before children, in page order."""
+    todo = [wrapper]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += reversed(node[3])
 
 
 def count_nodes(wrapper: list) -> int:
-    return 1 + sum(map(count_nodes, wrapper[3]))
+    return sum(1 for _ in walk(wrapper))
 
 
 def prune(wrapper: list, least: int) -> None:
-    wrapper[3] = [c for c in wrapper[3] if c[1] >= least]
-    for child in wrapper[3]:
-        prune(child, least)
+    for node in walk(wrapper):
+        node[3] = [c for c in node[3] if c[1] >= least]
+
+
+def dumps(wrapper: list) -> str:
+    """The nodes as a flat list, each with the number of its children."""
+    return json.dumps([[*n[:3], len(n[3])] for n in walk(wrapper)])
+
+
+def loads(text: str) -> list:
+    root: list = ["", 0, {}, []]
+    open_nodes = [(root, 1)]
+    for *node, size in json.loads(text):
+        while not open_nodes[-1][1]:
+            open_nodes.pop()
+        parent, left = open_nodes.pop()
+        open_nodes.append((parent, left - 1))
+        parent[3].append([*node, []])
+        open_nodes.append((parent[3][-1], size))
+    return root[3][0]
 
 
 def add(wrapper: list | None, other: list) -> list:
@@ -346,11 +389,13 @@ def page_wrapper(page: str) -> list:
     for number, text in text_blocks(texts, wanted):
         found.setdefault(number, {})[fingerprint(text)] = 1
 
-    def build(node: Node) -> list:
-        children = [build(c) for c in node.children if not c.furniture]
-        return [node.kind, 1, found.get(node.number, {}), children]
-
-    return build(nodes[0])
+    made: dict[int, list] = {}
+    for n in nodes:
+        if not n.number or (not n.furniture and n.parent.number in made):
+            made[n.number] = [n.kind, 1, found.get(n.number, {}), []]
+            if n.number:
+                made[n.parent.number][3].append(made[n.number])
+    return made[0]
 
 
 def template_of(wrapper: list | None, nodes: list[Node]) -> dict[int, set[str]]:
@@ -362,20 +407,19 @@ def template_of(wrapper: list | None, nodes: list[Node]) -> dict[int, set[str]]:
     def children(n):
         return n[3] if isinstance(n, list) else [c for c in n.children if not c.furniture]
 
-    def walk(w: list, node: Node) -> None:
+    found = align(wrapper, nodes[0], children, lambda n: n[0] if isinstance(n, list) else n.kind)
+    todo = [(wrapper, nodes[0])]
+    while todo:
+        w, node = todo.pop()
         if fixed := {t for t, c in w[2].items() if c >= SHARE * w[1] and w[1] >= LEAST_PAGES}:
             template[node.number] = fixed
         below = children(node)
-        for i, j in match(w, node, children, lambda n: n[0] if isinstance(n, list) else n.kind)[1]:
-            walk(w[3][i], below[j])
-
-    walk(wrapper, nodes[0])
+        todo += [(w[3][i], below[j]) for i, j in found[id(w), id(node)][1]]
     return template
 
 
 def has_template(wrapper: list) -> bool:
-    own = wrapper[1] >= LEAST_PAGES and any(c >= SHARE * wrapper[1] for c in wrapper[2].values())
-    return own or any(map(has_template, wrapper[3]))
+    return any(n[1] >= LEAST_PAGES and any(c >= SHARE * n[1] for c in n[2].values()) for n in walk(wrapper))
 
 
 def main_text(page: str | None, wrapper: list | None = None) -> str:
@@ -414,7 +458,7 @@ def induce(pages: DataFrame) -> DataFrame:
         yield told(own, group)
 
     def told(own: dict[str, list], group: int) -> pa.RecordBatch:
-        wrappers = [json.dumps(w) for w in own.values()]
+        wrappers = [dumps(w) for w in own.values()]
         columns = [pa.array(list(own), pa.string()), pa.array([group] * len(own), pa.int32()), pa.array(wrappers, pa.string())]
         return pa.RecordBatch.from_arrays(columns, names=["host", "group", "wrapper"])
 
@@ -427,7 +471,7 @@ def induce(pages: DataFrame) -> DataFrame:
                         if not last or has_template(wrapper):
                             yield told({key[0]: wrapper}, 0)
                         wrapper = None
-                    key, wrapper = (host, group), add(wrapper, json.loads(text))
+                    key, wrapper = (host, group), add(wrapper, loads(text))
             if key is not None and (not last or has_template(wrapper)):
                 yield told({key[0]: wrapper}, 0)
 
@@ -455,7 +499,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 if told and told not in loaded:
                     if len(loaded) >= HOSTS:
                         loaded.clear()
-                    loaded[told] = json.loads(told)
+                    loaded[told] = loads(told)
                 out.append(main_text(page, loaded[told] if told else None))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"]
