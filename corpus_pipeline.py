@@ -36,8 +36,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.scored(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number each, kept as a table: read anew, the same file may be cut and numbered otherwise."""
+    return stored(mixing.with_row(docs.select(*COLUMNS)), "rows")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = mixing.with_row(docs.select(*COLUMNS))
+    rows = numbered(docs)
     found = ngram.join_near(rows.select(F.col("row").alias("doc_id"), "text"), n=5, percent=80)
     found = stored(found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row"), "found")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "row"))
@@ -54,7 +59,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = mixing.with_row(docs.select(*COLUMNS))
+    rows = numbered(docs)
     taken = stored(mixing.mix(rows).where("taken > 0").select("row", "size", "taken"), "taken")
     words = F.regexp_extract_all(text_of(), F.lit(f"{SPACE}*{WORD}"), F.lit(0))
     rest = (F.col("taken") % F.col("size")).cast("int")

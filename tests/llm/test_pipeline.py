@@ -42,6 +42,29 @@ def test_stages_on_a_small_table(spark):
     assert docs.count() > 0
 
 
+def test_rows_keep_their_numbers_when_files_are_cut_otherwise(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("abcdefghij") * 3 for _ in range(40)), "en", f"s{i % 2}", 1) for i in range(40)]
+    rows += [(100 + i, rows[i][1], "en", "s1", 1) for i in range(0, 40, 4)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for part in (rows[:30], rows[30:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for stage in (corpus_pipeline.near_copies, corpus_pipeline.mixture):
+        got = []
+        for before, after in ((1, 1), (1, 50), (50, 1)):  # cut for few or many cores before and after the first jobs
+            spark.conf.set("spark.sql.files.minPartitionNum", before)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            out = stage(spark, docs, SF)
+            spark.conf.set("spark.sql.files.minPartitionNum", after)
+            got.append(texts(out))
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got[0] == got[1] == got[2]
+        if stage is corpus_pipeline.near_copies:
+            assert [i for i, _ in got[0]] == list(range(40))
+
+
 def test_odd_rows_pass_all_stages(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice("abcdefghij") * 3 for _ in range(40)), None, rng.choice(["a", None]), None, 1) for i in range(30)]

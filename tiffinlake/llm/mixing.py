@@ -36,7 +36,10 @@ def word_count(text: Column) -> Column:
 
 
 def with_row(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number per row, the same whenever the same stored table is read."""
+    """``docs`` with a number per row, which depends on how its files are cut for tasks.
+
+    Who joins on the number later keeps the result as a table; ``mix`` itself reads ``docs`` once.
+    """
     return docs.withColumn("row", F.monotonically_increasing_id())
 
 
