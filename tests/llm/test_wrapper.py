@@ -122,3 +122,21 @@ def test_deep_pages_among_others_of_their_host(spark):
     assert got == {i: f"text number {i}" for i in range(20)} | {20 + i: f"Ad line deep {i}" for i in range(3)}
     tree = wrapper.page_wrapper(deep[0])
     assert wrapper.dumps(wrapper.loads(wrapper.dumps(tree))) == wrapper.dumps(tree) and wrapper.count_nodes(tree) > 3000
+
+
+def test_no_frequent_text_is_lost_among_many(spark):
+    rows, want = [], {}
+    for i in range(300):  # one node with 20 new texts a page, and a notice that the first pages lack
+        told = " ".join(f"text {i} {k} of many" for k in range(20))
+        body = "".join(f"<p>text {i} {k} of many</p>" for k in range(20)) + ("<p>A notice</p>" if i >= 5 else "")
+        rows.append((i, "http://a.example/", f"<article>{body}</article>", "", "", ""))
+        want[i] = told
+    names = ["".join("abcdefghij"[int(d)] for d in f"{i:03}") for i in range(600)]
+    for i, name in enumerate(names):  # more nodes than a wrapper holds, one of them rare and fixed
+        box = "<section class=author><p>All about the author</p></section>" if i % 25 == 0 else ""
+        body = f"<article>{box}<div class={name}>own {i}</div><p>a story of some length, {i}</p></article>"
+        rows.append((1000 + i, "http://b.example/", body, "", "", ""))
+        want[1000 + i] = f"own {i} a story of some length, {i}"
+    table = spark.createDataFrame(rows, SCHEMA)
+    for parts in (1, 5):
+        assert {r.page_id: r.text for r in wrapper.extract(table.coalesce(parts)).collect()} == want

@@ -9,6 +9,11 @@ article (else main part, else body), and never in nodes whose tag, role or class
 A class or id is weak evidence, as layout wrappers are named after what they stand beside: it marks no
 node around the page's article or main part, and none that holds most of the text there is to take.
 
+A wrapper is a bounded summary. Per node it counts texts by Misra-Gries and knows how many pages a count may
+lack, so no text of ``SHARE`` can be missed; nodes beyond its size are left out. Where either could change
+what is template, a second pass over the host's pages counts exactly, in Spark: texts in question by their
+node of the wrapper and, if nodes were left out, all texts, by path where a page's node has no place in it.
+
 Wrappers are built where the pages lie, a partial one per task and host, and merged in two steps, so a
 host with a third of all pages costs no more than the number of tasks. A wrapper is joined back to the
 pages by broadcast while all wrappers are measured to be small, and by a shuffle beyond that.
@@ -35,8 +40,9 @@ from .common import stored
 
 #: A text is template from this share of a host's pages on, if the host has so many pages.
 SHARE, LEAST_PAGES = 0.9, 10
-#: Texts counted per node, nodes per wrapper, hosts per task before partial wrappers are passed on.
-TEXTS, NODES, HOSTS = 64, 400, 2000
+#: Texts counted per node (or ``PER_PAGE`` times those of a page, if these are more), nodes per wrapper, hosts
+#: per task before partial wrappers are passed on.
+TEXTS, PER_PAGE, NODES, HOSTS = 64, 8, 400, 2000
 BROADCAST_BYTES = 8 << 20
 FAN_IN = 64
 
@@ -273,8 +279,9 @@ def fingerprint(text: str) -> str:
     return hashlib.blake2b(text.encode(), digest_size=8).hexdigest()
 
 
-# --- wrappers: [kind, pages, {fingerprint: pages}, children]; pages may be nested as deep as they are long,
-# so nothing here recurses
+# --- wrappers: [kind, pages, {fingerprint: pages}, children, pages that a count may lack, texts of all pages,
+# whether nodes were left out (at the root), place in the wrapper once loaded]; pages may be nested as deep as
+# they are long, so nothing here recurses
 
 
 def align(a, b, children, kind) -> dict[tuple[int, int], tuple[int, list[tuple[int, int]]]]:
@@ -323,8 +330,8 @@ def merge(into: list, other: list) -> None:
         into[1] += other[1]
         for text, count in other[2].items():
             into[2][text] = into[2].get(text, 0) + count
-        if len(into[2]) > TEXTS:
-            into[2] = {t: c for t, c in into[2].items() if 2 * c >= into[1]}
+        into[4], into[5], into[6] = into[4] + other[4], into[5] + other[5], into[6] or other[6]
+        lighten(into)
         taken, children, i = {j: i for i, j in found[id(into), id(other)][1]}, [], 0
         for j, child in enumerate(other[3]):
             if j in taken:
@@ -336,6 +343,16 @@ def merge(into: list, other: list) -> None:
         into[3] = children + into[3][i:]
 
 
+def lighten(node: list) -> None:
+    """Misra-Gries: takes from all counts that of the first text too many, but never half of the pages in all."""
+    keep = max(TEXTS, PER_PAGE * node[5] // node[1])
+    if len(node[2]) > keep:
+        less = min(sorted(node[2].values(), reverse=True)[keep], node[1] // 2 - node[4])
+        if less > 0:
+            node[2] = {t: c - less for t, c in node[2].items() if c > less}
+            node[4] += less
+
+
 def walk(wrapper: list) -> Iterator[list]:
     """The nodes of a wrapper, parents before children, in page order."""
     todo = [wrapper]
@@ -356,18 +373,18 @@ def prune(wrapper: list, least: int) -> None:
 
 def dumps(wrapper: list) -> str:
     """The nodes as a flat list, each with the number of its children."""
-    return json.dumps([[*n[:3], len(n[3])] for n in walk(wrapper)])
+    return json.dumps([[*n[:3], len(n[3]), *n[4:7]] for n in walk(wrapper)])
 
 
 def loads(text: str) -> list:
     root: list = ["", 0, {}, []]
     open_nodes = [(root, 1)]
-    for *node, size in json.loads(text):
+    for place, (kind, pages, texts, size, *rest) in enumerate(json.loads(text)):
         while not open_nodes[-1][1]:
             open_nodes.pop()
         parent, left = open_nodes.pop()
         open_nodes.append((parent, left - 1))
-        parent[3].append([*node, []])
+        parent[3].append([kind, pages, texts, [], *rest, place])
         open_nodes.append((parent[3][-1], size))
     return root[3][0]
 
@@ -376,8 +393,10 @@ def add(wrapper: list | None, other: list) -> list:
     if wrapper is None:
         return other
     merge(wrapper, other)
-    if count_nodes(wrapper) > NODES:  # what is rare is no template
+    if count_nodes(wrapper) > NODES:  # what is rare is counted in the second pass
+        nodes = count_nodes(wrapper)
         prune(wrapper, -(-wrapper[1] // 20))
+        wrapper[6] = wrapper[6] or int(count_nodes(wrapper) < nodes)
     return wrapper
 
 
@@ -392,42 +411,80 @@ def page_wrapper(page: str) -> list:
     made: dict[int, list] = {}
     for n in nodes:
         if not n.number or (not n.furniture and n.parent.number in made):
-            made[n.number] = [n.kind, 1, found.get(n.number, {}), []]
+            made[n.number] = [n.kind, 1, found.get(n.number, {}), [], 0, len(found.get(n.number, ())), 0]
             if n.number:
                 made[n.parent.number][3].append(made[n.number])
     return made[0]
 
 
-def template_of(wrapper: list | None, nodes: list[Node]) -> dict[int, set[str]]:
-    """Per node number of a page, aligned with the wrapper: the texts that are template there."""
-    if wrapper is None or wrapper[1] < LEAST_PAGES:
-        return {}
-    template: dict[int, set[str]] = {}
+def frequent(node: list) -> set[str]:
+    """The texts that may be template in a wrapper's node; they are if no count lacks a page."""
+    if node[1] < LEAST_PAGES:
+        return set()
+    return {t for t, c in node[2].items() if c + node[4] >= SHARE * node[1]}
+
+
+def undecided(wrapper: list) -> bool:
+    """Whether the wrapper's counts don't settle what is template."""
+    return bool(wrapper[6]) or any(n[4] and frequent(n) for n in walk(wrapper))
+
+
+def places(wrapper: list, nodes: list[Node]) -> Iterator[tuple[Node, list | None, str]]:
+    """Per node of a page that may hold content: its node in the wrapper, and the key of exact counts."""
 
     def children(n):
         return n[3] if isinstance(n, list) else [c for c in n.children if not c.furniture]
 
     found = align(wrapper, nodes[0], children, lambda n: n[0] if isinstance(n, list) else n.kind)
-    todo = [(wrapper, nodes[0])]
+    todo: list[tuple[Node, list | None, bytes]] = [(nodes[0], wrapper, b"")]
     while todo:
-        w, node = todo.pop()
-        if fixed := {t for t, c in w[2].items() if c >= SHARE * w[1] and w[1] >= LEAST_PAGES}:
-            template[node.number] = fixed
+        node, w, above = todo.pop()
+        path = hashlib.blake2b(above + node.kind.encode(), digest_size=12).digest()
+        yield node, w, path.hex() if w is None else str(w[7]) if len(w) > 7 else ""
         below = children(node)
-        todo += [(w[3][i], below[j]) for i, j in found[id(w), id(node)][1]]
+        met = {j: w[3][i] for i, j in found[id(w), id(node)][1]} if w is not None else {}
+        todo += [(child, met.get(j), path) for j, child in enumerate(below)]
+
+
+def template_of(wrapper: list | None, nodes: list[Node], counted: dict[str, list[str]] | None = None) -> dict[int, set[str]]:
+    """Per node number of a page, aligned with the wrapper: the texts that are template there."""
+    if wrapper is None or wrapper[1] < LEAST_PAGES:
+        return {}
+    template: dict[int, set[str]] = {}
+    for node, w, key in places(wrapper, nodes):
+        exact = w is not None and not w[4] and not wrapper[6]
+        if fixed := frequent(w) if exact else set((counted or {}).get(key, ())):
+            template[node.number] = fixed
     return template
 
 
+def to_count(page: str, wrapper: list) -> Iterator[tuple[str, str]]:
+    """(key, fingerprint) of the page's texts that need exact counts, and (key, '') of their nodes, once each."""
+    nodes, texts = parse(page)
+    found: dict[int, set[str]] = {}
+    for number, text in text_blocks(texts, content_nodes(nodes, texts)):
+        found.setdefault(number, set()).add(fingerprint(text))
+    out: dict[str, set[str]] = {}
+    for node, w, key in places(wrapper, nodes):
+        if wrapper[6]:
+            out.setdefault(key, {""}).update(found.get(node.number, ()))
+        elif w is not None and w[4] and (asked := frequent(w)):
+            out.setdefault(key, {""}).update(found.get(node.number, set()) & asked)
+    for key, told in out.items():
+        for text in told:
+            yield key, text
+
+
 def has_template(wrapper: list) -> bool:
-    return any(n[1] >= LEAST_PAGES and any(c >= SHARE * n[1] for c in n[2].values()) for n in walk(wrapper))
+    return bool(wrapper[6]) or any(map(frequent, walk(wrapper)))
 
 
-def main_text(page: str | None, wrapper: list | None = None) -> str:
+def main_text(page: str | None, wrapper: list | None = None, counted: dict[str, list[str]] | None = None) -> str:
     if not page:
         return ""
     nodes, texts = parse(page)
     blocks = text_blocks(texts, content_nodes(nodes, texts))
-    if wrapper is not None and (template := template_of(wrapper, nodes)):
+    if wrapper is not None and (template := template_of(wrapper, nodes, counted)):
         kept = [(n, t) for n, t in blocks if n not in template or fingerprint(t) not in template[n]]
         if 2 * sum(len(t) for _, t in kept) >= sum(len(t) for _, t in blocks):
             blocks = kept
@@ -443,7 +500,7 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """host, wrapper (text) of the hosts that have template text among their content, from all pages."""
+    """host, wrapper (text), undecided of the hosts that may have template text among their content."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, list] = {}
@@ -460,13 +517,14 @@ def induce(pages: DataFrame) -> DataFrame:
     def told(own: dict[str, list], group: int) -> pa.RecordBatch:
         wrappers = [dumps(w) for w in own.values()]
         columns = [pa.array(list(own), pa.string()), pa.array([group] * len(own), pa.int32()), pa.array(wrappers, pa.string())]
-        return pa.RecordBatch.from_arrays(columns, names=["host", "group", "wrapper"])
+        columns.append(pa.array([undecided(w) for w in own.values()], pa.bool_()))
+        return pa.RecordBatch.from_arrays(columns, names=["host", "group", "wrapper", "undecided"])
 
     def reduce(last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, wrapper = None, None
             for batch in batches:
-                for host, group, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for host, group, text, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if (host, group) != key and key is not None:
                         if not last or has_template(wrapper):
                             yield told({key[0]: wrapper}, 0)
@@ -477,33 +535,70 @@ def induce(pages: DataFrame) -> DataFrame:
 
         return run
 
-    ddl = "host string, group int, wrapper string"
+    ddl = "host string, group int, wrapper string, undecided boolean"
     parts = pages.select("host", "html").mapInArrow(partial, ddl)
     for last in (False, True):
         parts = parts.repartition("host", "group").sortWithinPartitions("host", "group").mapInArrow(reduce(last), ddl)
-    return parts.select("host", "wrapper")
+    return parts.select("host", "wrapper", "undecided")
+
+
+def with_wrapper(pages: DataFrame, wrappers: DataFrame, how: str) -> DataFrame:
+    size = wrappers.agg(F.sum(F.length("wrapper") + F.coalesce(F.length("counted"), F.lit(0)))).first()[0] or 0
+    return pages.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", how)
+
+
+def counted_exactly(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """host, counted (text): the template texts by key, of the hosts whose wrappers leave it undecided."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded = Loaded()
+        for batch in batches:
+            out: list[tuple[str, str, str]] = []
+            for host, page, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if page:
+                    out += [(host, *row) for row in to_count(page, loaded[told])]
+            columns = [pa.array(c, pa.string()) for c in (zip(*out, strict=True) if out else ((), (), ()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "key", "text"])
+
+    rows = with_wrapper(pages, wrappers, "inner").select("host", "html", "wrapper")
+    found = rows.mapInArrow(run, "host string, key string, text string").groupBy("host", "key", "text").agg(F.count("*").alias("n"))
+    found = stored(found.where(F.col("n") >= SHARE * LEAST_PAGES), "counts")
+    pages_of = found.where(f"text = '' and n >= {LEAST_PAGES}").select("host", "key", F.col("n").alias("pages"))
+    fixed = found.where("text <> ''").join(pages_of, ["host", "key"]).where(F.col("n") >= SHARE * F.col("pages"))
+    by_key = fixed.groupBy("host", "key").agg(F.collect_list("text").alias("texts"))
+    told = F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "texts"))))
+    return by_key.groupBy("host").agg(told.alias("counted"))
+
+
+class Loaded(dict):
+    """Stored trees and counts by their text, of so many hosts at once."""
+
+    def __missing__(self, text: str):
+        if len(self) >= HOSTS:
+            self.clear()
+        self[text] = loads(text) if text.startswith("[") else json.loads(text)
+        return self[text]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text for rows of page_id, url, html."""
     pages = with_host(pages)
-    wrappers = stored(induce(pages), "wrappers")
-    size = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
-    joined = pages.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
+    wrappers = stored(induce(pages), "wrappers").withColumn("counted", F.lit(None).cast("string"))
+    open_ones = wrappers.where("undecided")
+    if not open_ones.isEmpty():
+        counted = counted_exactly(pages, open_ones)
+        wrappers = stored(wrappers.drop("counted").join(counted, "host", "left"), "counted")
+    joined = with_wrapper(pages, wrappers, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[str, list] = {}
+        loaded = Loaded()
         for batch in batches:
             out = []
-            for page, told in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if told and told not in loaded:
-                    if len(loaded) >= HOSTS:
-                        loaded.clear()
-                    loaded[told] = loads(told)
-                out.append(main_text(page, loaded[told] if told else None))
+            for page, told, counted in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                out.append(main_text(page, loaded[told] if told else None, loaded[counted] if counted else None))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"]
             )
 
-    rows = joined.select("page_id", "url", "html", "wrapper")
+    rows = joined.select("page_id", "url", "html", "wrapper", "counted")
     return rows.mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string")
