@@ -11,7 +11,8 @@ near_copies    of documents linked by 5-word shingles with a similarity of 0.8 o
 private        personal data is replaced by its kind in brackets
 mixture        documents are repeated, cut or left out as the mix of sources takes them: a whole copy
                for each full pass, then as many words from the start as the last pass takes
-windows        the texts are packed into windows of 2048 tokens
+windows        the texts are packed into windows of 2048 tokens; each piece has its ids and ``copy``, the
+               number of the row it was cut from, as copies of a document share doc_id and start
 =============  ==================================================================================
 
 Null texts count as empty, repeated rows as copies; an empty table stays empty through all stages.
@@ -72,7 +73,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True)
 
 
 STAGES = [

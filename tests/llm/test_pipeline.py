@@ -2,9 +2,10 @@ import os
 import random
 
 import corpus_pipeline
+import public_tokenizers
 import pytest
 from brute import WORDS, components
-from tiffinlake.llm import pii
+from tiffinlake.llm import packing, pii
 from tiffinlake.llm.common import read
 
 SF = "/root/testdata/sf0.001"
@@ -65,6 +66,17 @@ def test_rows_keep_their_numbers_when_files_are_cut_otherwise(spark, tmp_path):
             assert [i for i, _ in got[0]] == list(range(40))
 
 
+def test_windows_hold_the_texts_of_all_copies(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, "some words " * 900), (1, "some words " * 900), (1, "some words"), (None, "no id"), (None, "none either"), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    copies = {}
+    for r in sorted(corpus_pipeline.windows(spark, docs.repartition(2), SF).collect(), key=lambda r: r.start):
+        copies.setdefault((r.doc_id, r.copy), []).append(bytes(r.ids))
+    want = [(i, packing.token_ids(path, t).tobytes()) for i, t in rows]
+    assert sorted(((i, b"".join(parts)) for (i, _), parts in copies.items()), key=repr) == sorted(want, key=repr)
+
+
 def test_odd_rows_pass_all_stages(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice("abcdefghij") * 3 for _ in range(40)), None, rng.choice(["a", None]), None, 1) for i in range(30)]

@@ -102,13 +102,16 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def cut(docs: DataFrame, path: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
-    """Pieces of rows of doc_id, text, numbered per task. ``keep_ids`` adds the ids, unsigned 32 bits."""
+    """Pieces of rows of doc_id, text, numbered per task.
+
+    ``keep_ids`` adds the ids, unsigned 32 bits, and ``copy``, a number of the row the piece is from.
+    """
     names = [f.split()[0] for f in PIECE.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, row = TaskContext.get().partitionId(), 0
+        task, row, copy = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            rows, ids_out = [], []
+            rows, ids_out, copies = [], [], []
             doc_ids = batch.column(0).to_pylist()
             for doc_id, text in zip(doc_ids, batch.column(1).to_pylist(), strict=True):
                 ids = token_ids(path, text)
@@ -118,13 +121,15 @@ def cut(docs: DataFrame, path: str, window: int = WINDOW, keep_ids: bool = False
                     row += 1
                     if keep_ids:
                         ids_out.append(part)
+                        copies.append((task << 33) + copy)
+                copy += 1
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
             if keep_ids:
-                columns.append(pa.array(ids_out, pa.binary()))
+                columns += [pa.array(ids_out, pa.binary()), pa.array(copies, pa.int64())]
             if rows:
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids"] if keep_ids else names)
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids", "copy"] if keep_ids else names)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, PIECE + (", ids binary" if keep_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(scan, PIECE + (", ids binary, copy long" if keep_ids else ""))
 
 
 def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
