@@ -71,6 +71,16 @@ def test_schedule_is_spread_evenly(spark):
             assert abs(slots[low : low + 300].count(rank) - 300 * n / total) <= 6
 
 
+def test_tiny_sources_get_all_their_slots(spark):
+    tiny = [(f"s{i:03}", 1 + i % 5) for i in range(120)]
+    sized = spark.createDataFrame([*tiny, ("large", mixing.BLOCK_WORDS * 300_000)], "source string, size long")
+    sources = mixing.source_targets(sized).cache()
+    want = {r["rank"]: r.slots for r in sources.collect()}
+    assert sorted(want.values())[:-1] == sorted(3 * n for _, n in tiny)  # capped at three passes over one-word blocks
+    found = mixing.schedule(sources).groupBy("rank").agg({"turn": "max", "*": "count"}).collect()
+    assert {r["rank"]: r["count(1)"] for r in found} == want and all(r["max(turn)"] == want[r["rank"]] - 1 for r in found)
+
+
 def test_odd_tables(spark):
     assert mixing.mix(table(spark, [])).count() == 0
     got = mixing.mix(table(spark, [(1, None, None), (1, None, ""), (2, "a", " \t")])).collect()

@@ -85,19 +85,37 @@ def running(df: DataFrame, group: str, chunk: str, value: Column, order: list[Co
     return own.join(starts, [group, chunk]).withColumn(name, F.col("_start") + F.col("_own")).drop("_start", "_own")
 
 
-def schedule(sources: DataFrame) -> DataFrame:
-    """rank, slot, turn: which source each slot goes to, and the how-manieth of its slots that is."""
-    spark = sources.sparkSession
-    slots = sources.agg(F.sum("slots")).first()[0] or 0
-    points = spark.range(slots + slots // 64 + 64 if slots else 0).withColumnRenamed("id", "slot")
+def hits(sources: DataFrame, first: int, end: int) -> DataFrame:
+    """rank, slots, slot: the slots from ``first`` to before ``end`` whose points fall into the sources' intervals."""
+    points = sources.sparkSession.range(first, end).withColumnRenamed("id", "slot")
     points = points.withColumn("point", (F.col("slot") % PERIOD * STEP % PERIOD) / F.lit(float(PERIOD)))
     points = points.withColumn("cell", F.floor(F.col("point") * CELLS))
     wide = sources.where("slots > 0").select(
         "rank", "slots", "low", "high",
         F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.floor(F.col("high") * CELLS))).alias("cell"),
     )
-    hit = points.join(wide, "cell").where("low <= point and point < high")
-    hit = hit.select("rank", "slots", "slot", F.expr(f"slot div {CHUNK_SLOTS}").alias("chunk"))
+    return points.join(wide, "cell").where("low <= point and point < high").select("rank", "slots", "slot")
+
+
+def schedule(sources: DataFrame) -> DataFrame:
+    """rank, slot, turn: which source each slot goes to, and the how-manieth of its slots that is.
+
+    An interval may lack a few points whatever its width, so points go on for the sources that are short.
+    """
+    slots = sources.agg(F.sum("slots")).first()[0] or 0
+    end = slots + slots // 64 + 64 if slots else 0
+    hit = hits(sources, 0, end)
+    short = sources.where("slots > 0").select("rank", "slots", "low", "high", F.lit(0).cast("long").alias("had"))
+    more = hit
+    while slots:
+        new = more.groupBy("rank").agg(F.count("*").alias("new"))
+        had = F.col("had") + F.coalesce("new", F.lit(0))
+        short = stored(short.join(new, "rank", "left").withColumn("had", had).drop("new").where("had < slots"), "short")
+        if short.isEmpty():
+            break
+        more = hits(short, end, 2 * end)
+        hit, end = hit.unionByName(more), 2 * end
+    hit = hit.withColumn("chunk", F.expr(f"slot div {CHUNK_SLOTS}"))
     return running(hit, "rank", "chunk", F.lit(1), [F.col("slot")], "turn").where("turn < slots").select(
         "rank", "slot", "turn"
     )
