@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mih, mixing, ngram, packing, pii, pivots, rules, warc, wrapper
+from . import chat, covertree, mih, mixing, ngram, packing, pii, pivots, rules, warc, wrapper
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,13 @@ def op10_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op11_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every vector of ``embeddings``, with their errors and the codebooks' digest."""
+    found, books = covertree.compress(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return found.drop("label").withColumn("codebooks_sha256", F.lit(covertree.books_sha256(books)))
+
+
 ORACLES["op4_pivot_topk"] = """
 WITH v AS (
   SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS whole
@@ -125,3 +132,41 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(11 + sum(chars + CASE WHEN i = 1 THEN 13 + length(role) WHEN before = role THEN 10
     ELSE 24 + length(role) END) AS BIGINT) AS formatted_chars
 FROM numbered GROUP BY conv_id"""
+
+
+def _lloyd_sql(parts: int = covertree.PARTS, entries: int = covertree.ENTRIES, rounds: int = covertree.ROUNDS) -> str:
+    """Lloyd's rounds, one pair of tables each."""
+
+    def assigned(r: int) -> str:
+        return f"""near{r} AS MATERIALIZED (
+  SELECT v.vec_id, v.p, min(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v.x, c.x)]) * {entries} + c.e) AS k
+  FROM parts v JOIN book{r} c USING (p) GROUP BY 1, 2)"""
+
+    steps = [f"""kept AS MATERIALIZED (
+  SELECT vec_id, label, [CAST(floor({covertree.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, p, x[p * (len(x) // {parts}) + 1 : (p + 1) * (len(x) // {parts})] AS x
+  FROM kept, range({parts}) t(p)
+), first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < {entries}
+), book0 AS MATERIALIZED (SELECT p, e, x FROM parts JOIN first USING (vec_id))"""]
+    for r in range(rounds):
+        steps.append(assigned(r))
+        steps.append(f"""book{r + 1} AS MATERIALIZED (
+  WITH each AS (SELECT n.p, n.k % {entries} AS e, unnest(v.x) AS c, generate_subscripts(v.x, 1) AS place
+    FROM near{r} n JOIN parts v USING (vec_id, p)
+  ), means AS (SELECT p, e, place, CAST((sum(c) - (sum(c) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS c
+    FROM each GROUP BY 1, 2, 3
+  ), new AS (SELECT p, e, list(c ORDER BY place) AS x FROM means GROUP BY 1, 2)
+  SELECT b.p, b.e, coalesce(n.x, b.x) AS x FROM book{r} b LEFT JOIN new n USING (p, e))""")
+    steps.append(assigned(rounds))
+    return "WITH " + ",\n".join(steps) + f""", coded AS (
+  SELECT vec_id, string_agg(printf('%02x', k % {entries}), '' ORDER BY p) AS code, CAST(sum(k // {entries}) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY 1
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), digest"""
+
+
+ORACLES["op11_cover_tree_codes"] = _lloyd_sql()
