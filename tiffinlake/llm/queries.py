@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, covertree, mih, mixing, ngram, packing, pii, pivots, rules, warc, wrapper
+from . import chat, covertree, imatch, mih, mixing, ngram, packing, pii, pivots, rules, warc, wrapper
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,12 @@ def op11_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("label").withColumn("codebooks_sha256", F.lit(covertree.books_sha256(books)))
 
 
+@query
+def op13_imatch_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every text of ``documents``, of its edited text, and how alike they are."""
+    return imatch.fingerprints(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 ORACLES["op4_pivot_topk"] = """
 WITH v AS (
   SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS whole
