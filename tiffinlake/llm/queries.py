@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, covertree, imatch, mih, mixing, ngram, packing, pii, pivots, rules, warc, wrapper
+from . import chat, covertree, imatch, mih, mixing, ngram, packing, phrases, pii, pivots, rules, warc, wrapper
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,12 @@ def op11_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("label").withColumn("codebooks_sha256", F.lit(covertree.books_sha256(books)))
 
 
+@query
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language of ``documents``."""
+    return phrases.mine(read(spark, sf_dir, "documents", "lang", "text"))
+
+
 @query
 def op13_imatch_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint of every text of ``documents``, of its edited text, and how alike they are."""
@@ -176,3 +182,41 @@ FROM coded JOIN kept USING (vec_id), digest"""
 
 
 ORACLES["op11_cover_tree_codes"] = _lloyd_sql()
+
+ORACLES["op12_phrase_mining"] = r"""
+WITH said AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM said
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded
+), spans AS (
+  SELECT lang, w, i, unnest(range(1, least(len(w) - i + 1, 4) + 1)) AS size FROM starts
+), counts AS MATERIALIZED (
+  SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase, count(*) AS f FROM spans GROUP BY 1, 2, 3
+), words AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY 1
+), frequent AS MATERIALIZED (
+  SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE f >= 30
+), cuts AS (
+  SELECT lang, phrase, f AS a, w, unnest(range(1, size)) AS k FROM frequent WHERE size >= 2
+), parted AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN frequent x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.k], ' ')
+    JOIN frequent y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1 :], ' ')
+), scored AS (
+  SELECT * FROM parted QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_size AS (
+  SELECT lang, f, w, size, unnest(range(2, size)) AS s FROM frequent WHERE size >= 3
+), inside AS (
+  SELECT lang, f, w, s, unnest(range(1, size - s + 2)) AS i FROM inner_size
+), covered AS (
+  SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, max(f) AS longer FROM inside GROUP BY 1, 2
+), ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN covered c ON c.lang = s.lang AND c.phrase = s.phrase WHERE NOT coalesce(100 * c.longer >= 80 * a, false)
+)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN words w ON w.lang = r.lang WHERE rank <= 2000"""
