@@ -39,8 +39,8 @@ from .words import U64, buffers, hash_words, mix, strings
 
 LONGEST, AT_LEAST, COVERED, BEST = 4, 30, 80, 2000
 SCORE = 2_000_000
-#: Bytes of text counted at once, bytes a task of the sort should get, and tasks a ranking is spread over.
-STRETCH, SHARE, SPREAD = 1 << 23, 24 << 20, 32
+#: Bytes of text counted and hashed at once, bytes a task of the sort should get, and tasks a ranking is spread over.
+STRETCH, HASHED, SHARE, SPREAD = 1 << 22, 1 << 19, 12 << 20, 32
 #: Cells for pairs and triples: so many per task of the sort, within bounds.
 CELLS_A_TASK, FEWEST_CELLS, MOST_CELLS = 64, 1 << 16, 1 << 20
 
@@ -67,9 +67,18 @@ class Stretch:
 
     def __init__(self, data: np.ndarray, first: np.ndarray):
         self.plain, first = PLAIN[data], first[: len(data)]
-        hashes, self.at = hash_words(self.plain, first)
+        found, low = [(np.zeros(0, U64), np.zeros(0, np.int64))], 0
+        while low < len(data):  # hashing takes many bytes for each of the text
+            high = min(low + HASHED, len(data))
+            while high < len(data) and not (first[high] or self.plain[high] == 32):
+                high += 1
+            hashes, at = hash_words(self.plain[low:high], first[low:high])
+            found.append((hashes, at + low))
+            low = high
+        hashes, self.at = (np.concatenate(x) for x in zip(*found, strict=True))
         self.hashes, self.where, self.ids = np.unique(hashes, return_index=True, return_inverse=True)
-        self.piece = np.cumsum(ENDS[data] | first)[self.at]
+        self.ids = self.ids.astype(np.int32)
+        self.piece = np.searchsorted(np.flatnonzero(ENDS[data] | first), self.at, "right")
 
     def words(self) -> pa.Array:
         """The distinct words, in the order of ``hashes``."""
@@ -95,15 +104,17 @@ class Stretch:
     def suffixes(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct suffixes of two words or more, (n, LONGEST) ids with -1 past their end, and their counts."""
         pairs = np.flatnonzero(self.together(2))
-        size = np.full(len(self.ids), 1, np.int64)
+        size = np.full(len(self.ids), 1, np.int8)
         for words in range(2, LONGEST + 1):
             size[self.together(words)] = words
-        padded = np.concatenate([self.ids, np.zeros(LONGEST, np.int64)])
-        rows = np.stack([np.where(size[pairs] > j, padded[pairs + j], -1) for j in range(LONGEST)], axis=1)
+        padded = np.concatenate([self.ids, np.zeros(LONGEST, np.int32)])
+        rows = np.full((len(pairs), LONGEST), -1, np.int32)
+        for j in range(LONGEST):
+            rows[:, j] = np.where(size[pairs] > j, padded[pairs + j], -1)
         if not len(rows):
             return rows, np.zeros(0, np.int64)
         base = len(self.hashes) + 1
-        code = rows[:, 0] + 1
+        code = rows[:, 0].astype(np.int64) + 1
         for j in range(1, LONGEST):  # a number per distinct prefix, so codes stay below rows times words
             code = np.unique(code * base + rows[:, j] + 1, return_inverse=True)[1]
         _, which, counts = np.unique(code, return_index=True, return_counts=True)
