@@ -48,3 +48,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="tiffinlake-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that readers see whole or not at all: written under a hidden name, then renamed."""
+    folder, _, name = path.rpartition("/")
+    hidden = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    fs = _fs(spark, path)
+    out = fs.create(_path(spark, hidden), True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(_path(spark, hidden), _path(spark, path)):
+        fs.delete(_path(spark, hidden), False)  # someone else was first
