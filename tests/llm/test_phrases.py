@@ -76,7 +76,7 @@ def test_hot_pairs_and_triples_are_dealt_out(spark, monkeypatch):
     rows += [("en", "same " * 5000)]  # longer than a stretch, in one piece
     seen = []
     real = phrases.routed
-    monkeypatch.setattr(phrases, "routed", lambda docs, tasks, cells, hot: seen.append((hot, cells)) or real(docs, tasks, cells, hot))
+    monkeypatch.setattr(phrases, "routed", lambda docs, tasks, cells, hot, bits: seen.append((hot, cells)) or real(docs, tasks, cells, hot, bits))
     same(spark, rows)
     hot, cells = seen[0]
     assert (hot < cells).any() and (hot >= cells).any() and len(hot) <= 16 * 8
@@ -91,6 +91,15 @@ def test_suffixes_are_cut_at_pieces_and_counted_once():
     assert found == {("a", "b", "c", "d"): 2, ("b", "c", "d", "e"): 2, ("c", "d", "e"): 2, ("d", "e"): 2}
 
 
+def test_suffixes_end_before_rare_words(spark):
+    kept = phrases.bitmap_of(spark.createDataFrame([("en", w) for w in "abde"], "lang string, word string"))
+    text = "a b c d e f a"
+    stretch = phrases.Stretch(np.frombuffer(text.encode(), np.uint8), np.arange(len(text)) == 0)
+    stretch.keep(kept, "en")
+    words = stretch.words().to_pylist()
+    assert {tuple(words[i] for i in row if i >= 0) for row in stretch.suffixes()[0]} == {("a", "b"), ("d", "e")}
+
+
 def test_quicksort_abandons_small_partitions():
     rng = np.random.default_rng(2)
     rows = rng.integers(0, 6, (3000, 4))

@@ -5,7 +5,9 @@ its piece ends. Where the texts lie, equal suffixes are counted once with their
 time. They are routed by their two leading words, so all phrases that begin with a pair of words meet in one
 task; pairs with more than a task's share of all suffixes are routed by three words, and such triples by all
 of them. What is dealt out so is known from a first pass, which counts words and, in cells by hash, pairs and
-triples of all texts; it decides only where suffixes go.
+triples of all texts; it decides only where suffixes go. It also shows which words are frequent: a suffix ends
+before the first word that isn't, as no phrase with it can be. What tasks get of that is a bitmap of fixed size
+by hash, which lets some other words through, more with more words, and never holds a frequent one back.
 
 A task sorts pointers to its suffixes by multikey three-way quicksort: the suffixes whose word at the current
 depth is less than, equal to or greater than a pivot's are three partitions, and the equal one goes on with the
@@ -43,6 +45,8 @@ SCORE = 2_000_000
 STRETCH, HASHED, SHARE, SPREAD = 1 << 22, 1 << 19, 12 << 20, 32
 #: Cells for pairs and triples: so many per task of the sort, within bounds.
 CELLS_A_TASK, FEWEST_CELLS, MOST_CELLS = 64, 1 << 16, 1 << 20
+#: Bits of the bitmap of frequent words.
+FILTER_BITS = 1 << 24
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +66,14 @@ PLAIN, ENDS = _tables()
 # --- suffixes of a stretch
 
 
+def seed_of(lang: str) -> np.uint64:
+    return U64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest()))
+
+
+def word_cells(hashes: np.ndarray, lang: str) -> np.ndarray:
+    return (mix(hashes + seed_of(lang)) % U64(FILTER_BITS)).astype(np.int64)
+
+
 class Stretch:
     """The words of some texts: ``ids`` into the sorted distinct ``hashes``, and the piece each word is in."""
 
@@ -101,6 +113,14 @@ class Stretch:
             out[: len(self.ids) - words + 1] = self.piece[: len(self.ids) - words + 1] == self.piece[words - 1 :]
         return out
 
+    def keep(self, bitmap: np.ndarray, lang: str) -> None:
+        """Ends pieces before and after every word that the bitmap doesn't hold."""
+        cells = word_cells(self.hashes, lang)
+        rare = (bitmap[cells >> 3] >> (cells & 7).astype(np.uint8) & 1 == 0)[self.ids]
+        ends = rare.copy()
+        ends[1:] |= rare[:-1]
+        self.piece = self.piece + np.cumsum(ends)
+
     def suffixes(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct suffixes of two words or more, (n, LONGEST) ids with -1 past their end, and their counts."""
         pairs = np.flatnonzero(self.together(2))
@@ -122,7 +142,7 @@ class Stretch:
 
     def routes(self, lang: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of each suffix' two, three and all words; the same in every task."""
-        seed = U64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest()))
+        seed = seed_of(lang)
         of = np.append(self.hashes, U64(0))
         two = mix(mix(of[rows[:, 0]] + seed) + of[rows[:, 1]])
         three = mix(two + of[rows[:, 2]] * U64(3))
@@ -175,36 +195,59 @@ def counted(docs: DataFrame, cells: int) -> DataFrame:
 # --- second pass: suffixes to tasks, sorted there
 
 
-def routed(docs: DataFrame, tasks: int, cells: int, hot: np.ndarray) -> DataFrame:
-    """Suffixes by task: lang, whole (words whose count is complete there), words, rows, counts."""
+def bitmap_of(words: DataFrame) -> np.ndarray:
+    """``FILTER_BITS`` bits, those of all (lang, word) set; at most an eighth as many rows reach the driver."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang in pc.unique(batch.column(0)).to_pylist():
+                data, offsets = buffers(strings(batch.column(1).filter(pc.equal(batch.column(0), lang))))
+                first = np.zeros(len(data) + 1, bool)
+                first[offsets] = True
+                cells = word_cells(hash_words(data, first[: len(data)])[0], lang)
+                yield pa.RecordBatch.from_arrays([pa.array(cells >> 3), pa.array(1 << (cells & 7))], names=["at", "bit"])
+
+    found = words.select("lang", "word").mapInArrow(scan, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+    bitmap[found.column(0).to_numpy()] = found.column(1).to_numpy().astype(np.uint8)
+    return bitmap
+
+
+def routed(docs: DataFrame, tasks: int, cells: int, hot: np.ndarray, bitmap: np.ndarray) -> DataFrame:
+    """Suffixes by task: lang, whole (words whose count is complete there), words, rows (column by column), counts."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["task", "lang", "whole", "words", "rows", "counts"]
         for batch in batches:
             for lang, stretch in stretches(batch):
+                stretch.keep(sent.value, lang)
                 rows, counts = stretch.suffixes()
                 if not len(rows):
                     continue
-                words = stretch.words()
                 two, three, four = stretch.routes(lang, rows)
                 hot_two = np.isin((two % U64(cells)).astype(np.int64), hot)
                 hot_three = np.isin((three % U64(cells)).astype(np.int64) + cells, hot)
                 whole = 2 + hot_two.astype(np.int64) + (hot_two & hot_three)
                 task = (mix(np.choose(whole - 2, [two, three, four])) % U64(tasks)).astype(np.int64)
-                order = np.lexsort((whole, task))
-                key = (task * 3 + whole)[order]
-                for low, high in zip(*(x.tolist() for x in bounds_of(key)), strict=True):
-                    own = order[low:high]
-                    used, local = np.unique(rows[own], return_inverse=True)
-                    none = int(used[0] == -1)
-                    local = local.reshape(-1, LONGEST) - none
-                    columns = [
-                        pa.array([int(task[own[0]])], pa.int64()), pa.array([lang]), pa.array([int(whole[own[0]])], pa.int64()),
-                        pa.ListArray.from_arrays([0, len(used) - none], words.take(pa.array(used[none:]))),
-                        pa.array([local.astype("<i4" if len(used) > 32_000 else "<i2").tobytes()], pa.binary()),
-                        pa.array([counts[own].astype("<i4").tobytes()], pa.binary()),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                order = np.lexsort((whole, task))  # keeps suffixes sorted within a run
+                rows, counts, task, whole = rows[order], counts[order], task[order], whole[order]
+                lows, highs = bounds_of(task * 3 + whole)
+                used, blobs, numbers = [], [], []
+                for low, high in zip(lows.tolist(), highs.tolist(), strict=True):
+                    ids, local = np.unique(rows[low:high], return_inverse=True)
+                    none = int(ids[0] == -1)
+                    used.append(ids[none:])
+                    kind = "<i4" if len(ids) > 32_000 else "<i2"
+                    blobs.append((local.reshape(-1, LONGEST) - none).T.astype(kind).tobytes())
+                    numbers.append(counts[low:high].astype("<i4").tobytes())
+                ends = np.cumsum([0, *map(len, used)])
+                columns = [
+                    pa.array(task[lows]), pa.array([lang] * len(lows)), pa.array(whole[lows]),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), stretch.words().take(pa.array(np.concatenate(used)))),
+                    pa.array(blobs, pa.binary()), pa.array(numbers, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(scan, "task long, lang string, whole long, words array<string>, rows binary, counts binary")
 
@@ -249,7 +292,7 @@ def sort_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, counts = rows.as_py(), np.frombuffer(counts.as_py(), "<i4")
             kind = "<i4" if len(rows) == 4 * LONGEST * len(counts) else "<i2"
             own = parts.setdefault((lang.as_py(), whole.as_py()), [[], [], [], 0])
-            ids = np.frombuffer(rows, kind).astype(np.int32).reshape(-1, LONGEST)
+            ids = np.frombuffer(rows, kind).astype(np.int32).reshape(LONGEST, -1).T
             own[0].append(words.values)
             own[1].append(np.where(ids >= 0, ids + own[3], -1).astype(np.int32))
             own[2].append(counts)
@@ -285,7 +328,8 @@ def frequent(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = loads.where(F.col("cell") < cells).agg(F.sum("n")).first()[0] or 0
     # Cells of more than an eighth of a task's share are 8 a task at most, of pairs and of triples.
     hot = loads.where(F.col("n") > max(total // (8 * tasks), 1)).select("cell").toArrow().column(0).to_numpy()
-    sorted_out = routed(docs, tasks, cells, hot).repartition(tasks, "task").mapInArrow(
+    bitmap = bitmap_of(words.where(F.col("n") >= AT_LEAST))
+    sorted_out = routed(docs, tasks, cells, hot, bitmap).repartition(tasks, "task").mapInArrow(
         sort_task, "lang string, size long, phrase string, n long"
     )
     longer = sorted_out.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
