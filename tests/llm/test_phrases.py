@@ -85,7 +85,7 @@ def test_hot_pairs_and_triples_are_dealt_out(spark, monkeypatch):
 def test_suffixes_are_cut_at_pieces_and_counted_once():
     text = "A b c d e. a b c d e"
     stretch = phrases.Stretch(np.frombuffer(text.encode(), np.uint8), np.arange(len(text)) == 0)
-    words = stretch.words().to_pylist()
+    words = stretch.words.to_pylist()
     rows, counts = stretch.suffixes()
     found = {tuple(words[i] for i in row if i >= 0): int(c) for row, c in zip(rows, counts, strict=True)}
     assert found == {("a", "b", "c", "d"): 2, ("b", "c", "d", "e"): 2, ("c", "d", "e"): 2, ("d", "e"): 2}
@@ -96,7 +96,7 @@ def test_suffixes_end_before_rare_words(spark):
     text = "a b c d e f a"
     stretch = phrases.Stretch(np.frombuffer(text.encode(), np.uint8), np.arange(len(text)) == 0)
     stretch.keep(kept, "en")
-    words = stretch.words().to_pylist()
+    words = stretch.words.to_pylist()
     assert {tuple(words[i] for i in row if i >= 0) for row in stretch.suffixes()[0]} == {("a", "b"), ("d", "e")}
 
 

@@ -75,7 +75,7 @@ def word_cells(hashes: np.ndarray, lang: str) -> np.ndarray:
 
 
 class Stretch:
-    """The words of some texts: ``ids`` into the sorted distinct ``hashes``, and the piece each word is in."""
+    """The words of some texts: ``ids`` into the distinct ``words``, their ``hashes``, and the piece each word is in."""
 
     def __init__(self, data: np.ndarray, first: np.ndarray):
         self.plain, first = PLAIN[data], first[: len(data)]
@@ -88,18 +88,24 @@ class Stretch:
             found.append((hashes, at + low))
             low = high
         hashes, self.at = (np.concatenate(x) for x in zip(*found, strict=True))
-        self.hashes, self.where, self.ids = np.unique(hashes, return_index=True, return_inverse=True)
-        self.ids = self.ids.astype(np.int32)
+        self.hashes, where, ids = np.unique(hashes, return_index=True, return_inverse=True)
+        # Numbered in the order of the words, so that lists of them and of numbers compress well.
+        self.words = self.spelled(where)
+        order = pc.sort_indices(self.words).to_numpy()
+        self.words, self.hashes = self.words.take(pa.array(order)), self.hashes[order]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.ids = rank[ids]
         self.piece = np.searchsorted(np.flatnonzero(ENDS[data] | first), self.at, "right")
 
-    def words(self) -> pa.Array:
-        """The distinct words, in the order of ``hashes``."""
-        starts = self.at[self.where]
+    def spelled(self, where: np.ndarray) -> pa.Array:
+        """The words at some of all places."""
+        starts = self.at[where]
         inside = np.append(self.plain != 32, False)
         # A word ends at the next separator or where the next word begins, as texts may touch.
         gaps = np.flatnonzero(~inside)
         ends = gaps[np.searchsorted(gaps, starts)]
-        following = np.append(self.at, len(self.plain))[self.where + 1]
+        following = np.append(self.at, len(self.plain))[where + 1]
         ends = np.minimum(ends, following)
         sizes = ends - starts
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -178,7 +184,7 @@ def counted(docs: DataFrame, cells: int) -> DataFrame:
                 if not len(stretch.ids):
                     continue
                 n = np.bincount(stretch.ids)
-                columns = [pa.array([lang] * len(n)), stretch.words(), pa.nulls(len(n), pa.int64()), pa.array(n)]
+                columns = [pa.array([lang] * len(n)), stretch.words, pa.nulls(len(n), pa.int64()), pa.array(n)]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "cell", "n"])
                 rows, counts = stretch.suffixes()
                 two, three, _ = stretch.routes(lang, rows)
@@ -195,6 +201,15 @@ def counted(docs: DataFrame, cells: int) -> DataFrame:
 # --- second pass: suffixes to tasks, sorted there
 
 
+def packed(data: bytes) -> bytes:
+    """Compressed, after four bytes that tell the size."""
+    return len(data).to_bytes(4, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[4:], int.from_bytes(data[:4], "little"), "zstd", asbytes=True)
+
+
 def bitmap_of(words: DataFrame) -> np.ndarray:
     """``FILTER_BITS`` bits, those of all (lang, word) set; at most an eighth as many rows reach the driver."""
 
@@ -214,7 +229,8 @@ def bitmap_of(words: DataFrame) -> np.ndarray:
 
 
 def routed(docs: DataFrame, tasks: int, cells: int, hot: np.ndarray, bitmap: np.ndarray) -> DataFrame:
-    """Suffixes by task: lang, whole (words whose count is complete there), words, rows (column by column), counts."""
+    """Suffixes by task: lang, whole (words whose count is complete there), words, rows (column by column), counts,
+    compressed."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,23 +249,21 @@ def routed(docs: DataFrame, tasks: int, cells: int, hot: np.ndarray, bitmap: np.
                 order = np.lexsort((whole, task))  # keeps suffixes sorted within a run
                 rows, counts, task, whole = rows[order], counts[order], task[order], whole[order]
                 lows, highs = bounds_of(task * 3 + whole)
-                used, blobs, numbers = [], [], []
+                spelled, blobs, numbers = [], [], []
                 for low, high in zip(lows.tolist(), highs.tolist(), strict=True):
                     ids, local = np.unique(rows[low:high], return_inverse=True)
                     none = int(ids[0] == -1)
-                    used.append(ids[none:])
+                    spelled.append(packed("\n".join(stretch.words.take(pa.array(ids[none:])).to_pylist()).encode()))
                     kind = "<i4" if len(ids) > 32_000 else "<i2"
-                    blobs.append((local.reshape(-1, LONGEST) - none).T.astype(kind).tobytes())
-                    numbers.append(counts[low:high].astype("<i4").tobytes())
-                ends = np.cumsum([0, *map(len, used)])
+                    blobs.append(packed((local.reshape(-1, LONGEST) - none).T.astype(kind).tobytes()))
+                    numbers.append(packed(counts[low:high].astype("<i4").tobytes()))
                 columns = [
                     pa.array(task[lows]), pa.array([lang] * len(lows)), pa.array(whole[lows]),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), stretch.words().take(pa.array(np.concatenate(used)))),
-                    pa.array(blobs, pa.binary()), pa.array(numbers, pa.binary()),
+                    *(pa.array(c, pa.binary()) for c in (spelled, blobs, numbers)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(scan, "task long, lang string, whole long, words array<string>, rows binary, counts binary")
+    return docs.mapInArrow(scan, "task long, lang string, whole long, words binary, rows binary, counts binary")
 
 
 def bounds_of(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,14 +303,15 @@ def sort_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts: dict[tuple[str, int], list] = {}
     for batch in batches:
         for _, lang, whole, words, rows, counts in zip(*batch.columns, strict=True):
-            rows, counts = rows.as_py(), np.frombuffer(counts.as_py(), "<i4")
+            words = pa.array(unpacked(words.as_py()).decode().split("\n"))
+            rows, counts = unpacked(rows.as_py()), np.frombuffer(unpacked(counts.as_py()), "<i4")
             kind = "<i4" if len(rows) == 4 * LONGEST * len(counts) else "<i2"
             own = parts.setdefault((lang.as_py(), whole.as_py()), [[], [], [], 0])
             ids = np.frombuffer(rows, kind).astype(np.int32).reshape(LONGEST, -1).T
-            own[0].append(words.values)
+            own[0].append(words)
             own[1].append(np.where(ids >= 0, ids + own[3], -1).astype(np.int32))
             own[2].append(counts)
-            own[3] += len(words.values)
+            own[3] += len(words)
     for (lang, whole), (words, rows, counts, _) in parts.items():
         named = pa.concat_arrays(words).dictionary_encode()
         of = np.append(named.indices.to_numpy(), -1).astype(np.int32)
