@@ -24,7 +24,7 @@ def run(spark, batches, dim=None, repeats=None, **options):
     """The dimension after some batches, each stored, so that plans stay short."""
     for events in batches:
         dim, repeats = splice_scd2(batch(spark, events), dim, repeats, "k", "hk", ["color", "size"], "at", **options)
-        dim, repeats = splice._stored(dim, "dim"), splice._stored(repeats, "repeats")
+        dim, repeats = splice.stored(dim, "dim"), splice.stored(repeats, "repeats")
     return dim, repeats
 
 
@@ -69,7 +69,7 @@ def test_any_order_of_batches_equals_replaying_all(spark, seed):
 def test_deletes_stay_where_they_are(spark):
     dim, repeats = run(spark, [[(1, "red", 1, 10), (2, "red", 1, 10)]])
     request = spark.createDataFrame([(1, "closed", at(30))], "k long, delete_reason string, delete_timestamp timestamp")
-    dim = splice._stored(scd2_delete(dim, request, "k"), "dim")
+    dim = splice.stored(scd2_delete(dim, request, "k"), "dim")
     columns = ["color", "eff_start_date", "eff_end_date", "is_current", "is_deleted", "delete_reason"]
     dim, repeats = run(spark, [[(1, "blue", 1, 20)]], dim, repeats)
     assert rows(dim.filter("k = 1"), *columns) == sorted(
@@ -89,8 +89,8 @@ def test_deletes_stay_where_they_are(spark):
 def test_only_what_a_row_can_touch_is_replayed(spark, monkeypatch):
     dim, repeats = run(spark, [[(k, c, 1, m) for k in range(50) for m, c in enumerate("abcdefgh")]])
     seen = {}
-    real = splice._stored
-    monkeypatch.setattr(splice, "_stored", lambda df, name: seen.setdefault(name, real(df, name)))
+    real = splice.stored
+    monkeypatch.setattr(splice, "stored", lambda df, name: seen.setdefault(name, real(df, name)))
     found, _ = splice_scd2(batch(spark, [(7, "x", 1, 6)]), dim, repeats, "k", "hk", ["color", "size"], "at")
     assert rows(seen["splice-touched"], "k", "color") == [(7, "f"), (7, "g"), (7, "h")]
     assert found.count() == 400 and found.filter("color = 'x'").count() == 1

@@ -24,7 +24,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.keys import as_list, keys_equal
-from ..sources.files import shared_folder
+from ..sources.tables import stored
 from .deletes import IS_DELETED, REASON
 from .planning import is_small, union_all
 from .scd2 import CURRENT, END, START, version_key
@@ -48,13 +48,6 @@ def unplaceable(batch: DataFrame, keys: str | Sequence[str], ts: str) -> DataFra
     return batch.filter(missing)
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Written once to the shared folder, as its readers are several and its plan is long."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _apart(df: DataFrame, since: DataFrame, keys: Sequence[str], over) -> tuple[DataFrame, DataFrame]:
     """(rows of the keys in ``since`` that ``over`` says may be touched, all others)."""
     plain = df.columns
@@ -87,7 +80,7 @@ def splice_scd2(
     keys, tracking = as_list(natural_key), list(tracking_columns)
     attributes = [*keys, *tracking]
     given = batch.dropna(subset=[*keys, ts]).select(*attributes, F.col(ts).cast("timestamp").alias(_AT)).distinct()
-    given = _stored(given, "splice-batch")
+    given = stored(given, "splice-batch")
     deletes = dim is not None and IS_DELETED in dim.columns and REASON in dim.columns
     gone_type = "struct<is_deleted: boolean, delete_reason: string>"
 
@@ -97,10 +90,10 @@ def splice_scd2(
     parts, untouched_dim, untouched_repeats = [events(given, _AT)], None, None
     if dim is not None:
         since = given.groupBy(*keys).agg(F.min(_AT).alias(_FIRST))
-        since = since if is_small(since) else _stored(since, "splice-since")
+        since = since if is_small(since) else stored(since, "splice-since")
         # A version that ended before the first new row, with another right after it, stays as it is.
         touched, untouched_dim = _apart(dim, since, keys, F.col(f"d.`{end}`") >= F.col(f"s.{_FIRST}"))
-        touched = _stored(touched, "splice-touched")
+        touched = stored(touched, "splice-touched")
         reason = F.struct(
             (F.col(IS_DELETED) if deletes else F.lit(False)).alias("is_deleted"),
             (F.col(REASON) if deletes else F.lit(None)).cast("string").alias("delete_reason"),
@@ -119,11 +112,11 @@ def splice_scd2(
             again, untouched_repeats = _apart(repeats, since, keys, F.col(f"d.`{start}`") >= F.col(f"s.{_FIRST}"))
             # Repeats before the first new row keep what the version in force was confirmed by; they need no replay.
             parts.append(events(again, start))
-    everything = _stored(union_all(*parts), "splice-events")
+    everything = stored(union_all(*parts), "splice-events")
     line = scd2_history(
         everything, keys, [*tracking, _GONE], _AT, start=start, end=end, flag=flag, share=share, min_rows=min_rows
     )
-    line = _stored(line, "splice-line")
+    line = stored(line, "splice-line")
     versions = line.filter(F.col(_GONE).isNull()).select(version_key(keys, tracking, start).alias(surrogate_key), *attributes, start, end, flag)
     gone = line.filter(F.col(_GONE).isNotNull()).select(*keys, F.col(start).alias(end), _GONE)
     # What ends in a delete isn't current; only the version right before it knows why.

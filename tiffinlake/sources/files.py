@@ -60,3 +60,12 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
     if not fs.rename(_path(spark, hidden), _path(spark, path)):
         fs.delete(_path(spark, hidden), False)  # someone else was first
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    """The content of a small text file."""
+    stream = _fs(spark, path).open(_path(spark, path))
+    try:
+        return str(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()

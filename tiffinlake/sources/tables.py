@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
 from collections.abc import Callable, Sequence
@@ -12,9 +13,42 @@ from pyspark.sql.types import StructField, StructType
 from . import files
 
 BATCH_COLUMN = "_execution_date"
+#: Where a table keeps its schema: a folder that Spark's readers pass over, with a file per change.
+SCHEMA = "_schema"
 _VERSION = re.compile(r"^v=(\d+)$")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once for several readers, with a short plan."""
+    path = files.shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_schema(spark: SparkSession, path: str) -> StructType | None:
+    """The schema a table keeps, None if it keeps none."""
+    names = sorted(n for n in files.child_names(spark, f"{path}/{SCHEMA}") if n.endswith(".json") and n[0] != ".")
+    return StructType.fromJson(json.loads(files.get_text(spark, f"{path}/{SCHEMA}/{names[-1]}"))) if names else None
+
+
+def keep_schema(spark: SparkSession, path: str, schema: StructType) -> None:
+    """Adds the columns of what is about to be written to the schema that a table keeps.
+
+    A table that keeps none yet is asked for it once, by merging the schemas of its files.
+    """
+    known = stored_schema(spark, path)
+    fields = list(known or (spark.read.option("mergeSchema", "true").parquet(path).schema if _has_files(spark, path) else []))
+    names = {f.name for f in fields}
+    fields += [StructField(f.name, f.dataType) for f in schema if f.name not in names]
+    if known is None or len(fields) > len(known):
+        n = len(files.child_names(spark, f"{path}/{SCHEMA}"))
+        files.put_text(spark, f"{path}/{SCHEMA}/{n:06d}.json", StructType(fields).json())
+
+
+def _has_files(spark: SparkSession, path: str) -> bool:
+    return any(n[0] not in "._" for n in files.child_names(spark, path))
+
+
 def write_table(
     df: DataFrame,
     path: str,
@@ -22,8 +56,9 @@ def write_table(
     partition_by: Sequence[str] | None = None,
     cluster_by: Sequence[str] | None = None,
     clusters: int | None = None,
+    keep: bool = True,
 ) -> None:
-    """Writes Parquet. Columns new to the table are fine: readers merge the schemas.
+    """Writes Parquet. Columns new to the table are fine: it keeps its schema (``keep``), which grows with them.
 
     ``cluster_by`` range-partitions and sorts, so files cover narrow value ranges and their
     min/max statistics skip most of them; it also compacts many small files into few.
@@ -37,25 +72,41 @@ def write_table(
         df = df.repartitionByRange(*n, *cluster_by).sortWithinPartitions(*cluster_by)
     elif partition_by:
         df = df.hint("rebalance", *[F.col(c) for c in partition_by])
+    schema = df.schema
+    if keep and mode != "overwrite":
+        keep_schema(df.sparkSession, path, schema)
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    if keep and mode == "overwrite":
+        keep_schema(df.sparkSession, path, schema)
 
 
-def write_batch(df: DataFrame, path: str, execution_date: str) -> None:
-    """Writes one batch date and replaces only that date, so a rerun leaves no duplicates."""
+def write_batch(df: DataFrame, path: str, execution_date: str, then_by: Sequence[str] = ()) -> None:
+    """Writes one batch date and replaces only that date, so a rerun leaves no duplicates.
+
+    Within the date rows are partitioned by ``then_by``; a rerun replaces the partitions it has rows for.
+    """
     stamped = df.withColumn(BATCH_COLUMN, F.lit(execution_date).cast("date"))
+    keep_schema(df.sparkSession, path, stamped.schema)
     (
         stamped.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BATCH_COLUMN)
+        .partitionBy(BATCH_COLUMN, *then_by)
         .parquet(path)
     )
 
 
 def read_table(spark: SparkSession, path: str, merge_schema: bool = True) -> DataFrame:
-    """``merge_schema`` shows columns that only later files have; it opens every file's footer."""
+    """A table with the schema it keeps, so that no file is opened to learn it.
+
+    Of one that keeps none ``merge_schema`` shows the columns that only later files have; that opens every
+    file's footer.
+    """
+    schema = stored_schema(spark, path)
+    if schema is not None:
+        return spark.read.schema(schema).parquet(path)
     return spark.read.option("mergeSchema", merge_schema).parquet(path)
 
 
@@ -65,7 +116,9 @@ def read_batch(spark: SparkSession, path: str, execution_date: str) -> DataFrame
     folder = f"{path}/{BATCH_COLUMN}={execution_date}"
     if not files.exists(spark, folder):
         return read_table(spark, path, merge_schema=False).filter(F.lit(False))
-    reader = spark.read.option("mergeSchema", "true").option("basePath", path)
+    schema = stored_schema(spark, path)
+    reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", "true")
+    reader = reader.option("basePath", path)
     return reader.parquet(folder).filter(F.col(BATCH_COLUMN) == day)
 
 
@@ -90,7 +143,7 @@ def write_snapshot(
     if version is None:
         published = snapshot_versions(df.sparkSession, path)
         version = published[-1] + 1 if published else 0
-    write_table(df, f"{path}/v={version}", "overwrite", partition_by)
+    write_table(df, f"{path}/v={version}", "overwrite", partition_by, keep=False)
     return version
 
 
@@ -113,12 +166,14 @@ def merge_partitions(
     keys: Sequence[str],
     partition_by: str,
     merge: Callable[[DataFrame | None, DataFrame], DataFrame],
+    holding: Sequence | None = None,
 ) -> None:
     """Applies ``merge(current rows, source)`` to the partitions that ``source`` affects, only.
 
     A daily batch touches a few partitions of a table that may hold years. Affected are those where
     one of its keys is already stored, found by reading keys and nothing else, and those its own
-    rows belong to. ``merge`` must leave the partition column of stored rows alone and must not
+    rows belong to. A caller that knows which partitions may hold its keys names them in ``holding``,
+    and no key is read. ``merge`` must leave the partition column of stored rows alone and must not
     empty a partition.
 
     The result is staged inside the table's folder, where readers don't see it, before it replaces
@@ -133,19 +188,22 @@ def merge_partitions(
         return
     partition = source.schema[partition_by]
     _finish_replacement(spark, path, partition)
-    stored = _read_partitioned(spark, path, partition)
-    own = source.select(partition_by)
-    hit = stored.select(*keys, partition_by).join(source.select(*keys), list(keys), "left_semi")
+    table = _read_partitioned(spark, path, partition)
+    found = source.select(partition_by)
+    if holding is None:
+        hit = table.select(*keys, partition_by).join(source.select(*keys), list(keys), "left_semi")
+        found = hit.select(partition_by).unionByName(found)
     # At most one row per partition of the table reaches the driver.
-    affected = [r[0] for r in hit.select(partition_by).unionByName(own).distinct().collect()]
-    current = stored.filter(_one_of(partition_by, affected))
+    affected = [r[0] for r in found.distinct().collect()]
+    affected += [v for v in holding or () if v not in affected]
+    current = table.filter(one_of(partition_by, affected))
     replace_partitions(spark, path, merge(current, source), partition)
 
 
 STAGING = "_replacement"
 
 
-def _one_of(name: str, values: Sequence) -> Column:
+def one_of(name: str, values: Sequence) -> Column:
     """Whether a column has one of the values, which may include NULL."""
     found = F.col(name).isin([v for v in values if v is not None])
     return found | F.col(name).isNull() if None in values else found
@@ -160,7 +218,7 @@ def _read_partitioned(spark: SparkSession, path: str, partition: StructField) ->
 
 def replace_partitions(spark: SparkSession, path: str, df: DataFrame, partition: StructField) -> None:
     """Replaces the partitions that ``df`` has rows for, so that a broken replacement can be finished."""
-    write_table(df, f"{path}/{STAGING}", "overwrite", [partition.name])
+    write_table(df, f"{path}/{STAGING}", "overwrite", [partition.name], keep=False)
     _finish_replacement(spark, path, partition)
 
 
@@ -169,9 +227,10 @@ def _finish_replacement(spark: SparkSession, path: str, partition: StructField)
     if not files.exists(spark, staging):
         return
     if files.exists(spark, f"{staging}/_SUCCESS"):
+        rows = _read_partitioned(spark, staging, partition)
+        keep_schema(spark, path, rows.schema)
         (
-            _read_partitioned(spark, staging, partition)
-            .hint("rebalance", F.col(partition.name))
+            rows.hint("rebalance", F.col(partition.name))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(partition.name)
@@ -187,7 +246,7 @@ def compact_partitions(spark: SparkSession, path: str, partition: StructField, m
     many = names.groupBy(partition.name).count().filter(F.col("count") > more_than)
     values = [r[0] for r in many.select(partition.name).collect()]
     if values:
-        replace_partitions(spark, path, table.filter(_one_of(partition.name, values)), partition)
+        replace_partitions(spark, path, table.filter(one_of(partition.name, values)), partition)
     return values
 
 
