@@ -41,8 +41,10 @@ from .words import U64, buffers, hash_words, mix, strings
 
 LONGEST, AT_LEAST, COVERED, BEST = 4, 30, 80, 2000
 SCORE = 2_000_000
-#: Bytes of text counted and hashed at once, bytes a task of the sort should get, and tasks a ranking is spread over.
-STRETCH, HASHED, SHARE, SPREAD = 1 << 22, 1 << 19, 12 << 20, 32
+#: Bytes of rows sorted by language, of text counted and of text hashed at once.
+ROWS_OF, STRETCH, HASHED = 1 << 23, 1 << 22, 1 << 19
+#: Bytes of text a task of the sort should get, and tasks a ranking is spread over.
+SHARE, SPREAD = 12 << 20, 32
 #: Cells for pairs and triples: so many per task of the sort, within bounds.
 CELLS_A_TASK, FEWEST_CELLS, MOST_CELLS = 64, 1 << 16, 1 << 20
 #: Bits of the bitmap of frequent words.
@@ -156,19 +158,26 @@ class Stretch:
 
 
 def stretches(batch: pa.RecordBatch) -> Iterator[tuple[str, Stretch]]:
-    """(language, words) of a batch (lang, text), texts of one language together, some ``STRETCH`` bytes at a time."""
-    for lang in pc.unique(batch.column(0)).to_pylist():
-        texts = strings(batch.column(1).filter(pc.equal(batch.column(0), lang)))
-        data, offsets = buffers(texts)
-        first = np.zeros(len(data) + 1, bool)
-        first[offsets] = True
-        cuts = np.flatnonzero(first[: len(data)] | np.append(False, ENDS[data])[: len(data)])
-        low = 0
-        while low < len(data):
-            next_cut = int(np.searchsorted(cuts, low + STRETCH))
-            high = int(cuts[next_cut]) if next_cut < len(cuts) else len(data)
-            yield lang, Stretch(data[low:high], first[low : high + 1])
-            low = high
+    """(language, words) of a batch (lang, text): some ``ROWS_OF`` bytes of rows at a time, those of one language
+    together, and of these ``STRETCH`` bytes of text at once."""
+    sizes = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64))
+    row = 0
+    while row < batch.num_rows:
+        before = sizes[row - 1] if row else 0
+        end = max(row + 1, int(np.searchsorted(sizes, before + ROWS_OF, "right")))
+        part = batch.slice(row, end - row)
+        row = end
+        for lang in pc.unique(part.column(0)).to_pylist():
+            data, offsets = buffers(strings(part.column(1).filter(pc.equal(part.column(0), lang))))
+            first = np.zeros(len(data) + 1, bool)
+            first[offsets] = True
+            low = 0
+            while low < len(data):
+                high = min(low + STRETCH, len(data))
+                while high < len(data) and not (first[high] or ENDS[data[high - 1]]):
+                    high += 1
+                yield lang, Stretch(data[low:high], first[low : high + 1])
+                low = high
 
 
 # --- first pass: words, and cells of pairs and triples
