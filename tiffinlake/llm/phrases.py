@@ -42,11 +42,13 @@ from .words import U64, buffers, hash_words, mix, strings
 LONGEST, AT_LEAST, COVERED, BEST = 4, 30, 80, 2000
 SCORE = 2_000_000
 #: Bytes of rows sorted by language, of text counted and of text hashed at once.
-ROWS_OF, STRETCH, HASHED = 1 << 23, 1 << 22, 1 << 19
+ROWS_OF, STRETCH, HASHED = 6 << 20, 3 << 20, 1 << 18
 #: Bytes of text a task of the sort should get, and tasks a ranking is spread over.
-SHARE, SPREAD = 12 << 20, 32
+SHARE, SPREAD = 6 << 20, 32
 #: Cells for pairs and triples: so many per task of the sort, within bounds.
 CELLS_A_TASK, FEWEST_CELLS, MOST_CELLS = 64, 1 << 16, 1 << 20
+#: Word counts that a task holds until it adds them up.
+HELD = 400_000
 #: Bits of the bitmap of frequent words.
 FILTER_BITS = 1 << 24
 
@@ -186,19 +188,34 @@ def stretches(batch: pa.RecordBatch) -> Iterator[tuple[str, Stretch]]:
 def counted(docs: DataFrame, cells: int) -> DataFrame:
     """lang, word, n of all words; lang and word null: cell, n of pairs (from 0) and triples (from ``cells``)."""
 
+    def added_up(parts: list[pa.Table]) -> pa.Table:
+        whole = pa.concat_tables(parts).group_by(["lang", "word"]).aggregate([("n", "sum")])
+        return whole.select(["lang", "word", "n_sum"]).rename_columns(["lang", "word", "n"])
+
+    def shown(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for part in table.combine_chunks().to_batches(max_chunksize=50_000):
+            columns = [part.column(0), part.column(1), pa.nulls(part.num_rows, pa.int64()), part.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "cell", "n"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loads = np.zeros(2 * cells, np.int64)
+        parts: list[pa.Table] = []
         for batch in batches:
             for lang, stretch in stretches(batch):
                 if not len(stretch.ids):
                     continue
                 n = np.bincount(stretch.ids)
-                columns = [pa.array([lang] * len(n)), stretch.words, pa.nulls(len(n), pa.int64()), pa.array(n)]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "cell", "n"])
+                parts.append(pa.table([pa.array([lang] * len(n)), stretch.words, pa.array(n)], names=["lang", "word", "n"]))
+                if sum(p.num_rows for p in parts) > HELD:
+                    parts = [added_up(parts)]
+                    if parts[0].num_rows > HELD // 2:
+                        yield from shown(parts.pop())
                 rows, counts = stretch.suffixes()
                 two, three, _ = stretch.routes(lang, rows)
                 for i, route in enumerate((two, three)):
-                    loads += np.bincount((route % U64(cells)).astype(np.int64) + i * cells, minlength=2 * cells)
+                    loads += np.bincount((route % U64(cells)).astype(np.int64) + i * cells, counts, 2 * cells).astype(np.int64)
+        if parts:
+            yield from shown(added_up(parts))
         held = np.flatnonzero(loads)
         none = pa.nulls(len(held), pa.string())
         yield pa.RecordBatch.from_arrays([none, none, pa.array(held), pa.array(loads[held])], names=["lang", "word", "cell", "n"])
@@ -297,7 +314,7 @@ def quicksort(rows: np.ndarray, counts: np.ndarray, whole: int) -> Iterator[tupl
         if pivot < 0:
             continue
         same = pointers[equal]
-        size = int(counts[same].sum())
+        size = int(counts[same].sum(dtype=np.int64))
         if size < needed:
             continue
         found = (*phrase, int(pivot))
@@ -321,14 +338,16 @@ def sort_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own[1].append(np.where(ids >= 0, ids + own[3], -1).astype(np.int32))
             own[2].append(counts)
             own[3] += len(words)
-    for (lang, whole), (words, rows, counts, _) in parts.items():
+    while parts:
+        (lang, whole), (words, rows, counts, _) = parts.popitem()
         named = pa.concat_arrays(words).dictionary_encode()
         of = np.append(named.indices.to_numpy(), -1).astype(np.int32)
-        rows, counts = of[np.concatenate(rows)], np.concatenate(counts).astype(np.int64)
-        # Partitions by the two leading words that are too small as a whole are abandoned before the sort.
+        rows = np.concatenate([of[rows.pop(0)] for _ in range(len(rows))])
+        counts = np.concatenate(counts)
+        # Most partitions by the two leading words that are too small as a whole are abandoned before the sort.
         if whole == 2:
-            _, pair = np.unique(rows[:, 0].astype(np.int64) << 32 | rows[:, 1], return_inverse=True)
-            keep = np.bincount(pair, counts)[pair] >= AT_LEAST
+            cells = (mix(rows[:, 0].astype(U64) << U64(32) | rows[:, 1].astype(U64)) >> U64(44)).astype(np.int32)
+            keep = np.bincount(cells, counts, 1 << 20)[cells] >= AT_LEAST
             rows, counts = rows[keep], counts[keep]
         if not len(rows):
             continue
