@@ -8,10 +8,12 @@ from ..functions.keys import change_hash, hash_key
 from ..operators import scd2
 from ..operators.change_feed import change_feed, version_diff as diff_versions
 from ..operators.dedup import latest_per_key as pick_latest
+from ..operators.splice import splice_scd2
 from ..operators.timeline import scd2_history as replay
 from ..sources.marketplace import DIM_TRACKING, FIRST_LOAD, SECOND_LOAD
+from ..sources.tables import stored
 from . import sql as q
-from .registry import query
+from .registry import ORACLES, query
 
 KEY, HK, TRACKING = "customer_id", "customer_hk", DIM_TRACKING["customer"]
 REACTIVATED = "2003-01-01 00:00:00"
@@ -143,6 +145,17 @@ def scd2_history(m):
     return replay(events, "user_id", ["event_type"], "ts", "user_hk", tiebreak="event_id")
 
 
+@query("scd2_late_batch", ORACLES["scd2_history"])
+def scd2_late_batch(m):
+    """The same states from events in three batches, none in order: later ones cut versions of earlier ones."""
+    events = m.table("events").select("user_id", "event_type", "ts", (F.col("event_id") % 3).alias("part"))
+    dim = repeats = None
+    for part in (1, 2, 0):
+        dim, repeats = splice_scd2(events.filter(F.col("part") == part), dim, repeats, "user_id", "user_hk", ["event_type"], "ts")
+        dim, repeats = stored(dim, "user-dim"), stored(repeats, "user-repeats")
+    return dim
+
+
 @query(
     "scd2_history_hot",
     """WITH daily AS (SELECT o_orderstatus AS status, o_orderdate AS ts, arg_max(o_orderpriority, o_orderkey) AS priority

@@ -46,7 +46,8 @@ def keep_schema(spark: SparkSession, path: str, schema: StructType) -> None:
 
 
 def _has_files(spark: SparkSession, path: str) -> bool:
-    return any(n[0] not in "._" for n in files.child_names(spark, path))
+    """Whether a table has files or partitions, whose folders may begin with an underscore."""
+    return any("=" in n or n[0] not in "._" for n in files.child_names(spark, path))
 
 
 def write_table(
@@ -196,6 +197,8 @@ def merge_partitions(
     # At most one row per partition of the table reaches the driver.
     affected = [r[0] for r in found.distinct().collect()]
     affected += [v for v in holding or () if v not in affected]
+    if not affected:
+        return
     current = table.filter(one_of(partition_by, affected))
     replace_partitions(spark, path, merge(current, source), partition)
 
@@ -226,7 +229,7 @@ def _finish_replacement(spark: SparkSession, path: str, partition: StructField)
     staging = f"{path}/{STAGING}"
     if not files.exists(spark, staging):
         return
-    if files.exists(spark, f"{staging}/_SUCCESS"):
+    if files.exists(spark, f"{staging}/_SUCCESS") and _has_files(spark, staging):
         rows = _read_partitioned(spark, staging, partition)
         keep_schema(spark, path, rows.schema)
         (
