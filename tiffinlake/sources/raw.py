@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import as_timestamp
+from . import quoted
 
 # Comma separated, one header line, optional double quotes, \N for NULL.
 CSV_DIALECT = {
@@ -49,6 +53,29 @@ def scan_csv(
     return reader.option("mode", mode).option("multiLine", multi_line).csv(path)
 
 
+def scan_records(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    columns: Sequence[str],
+    mode: str = "PERMISSIVE",
+    malformed: str | None = None,
+) -> DataFrame:
+    """As ``scan_csv`` with ``multi_line``, but a file is the work of many tasks; adds file and modified."""
+    if mode not in ("PERMISSIVE", "DROPMALFORMED", "FAILFAST"):
+        raise ValueError(f"unknown mode {mode}")
+    bad = malformed or MALFORMED
+    parser = "FAILFAST" if mode == "FAILFAST" else "PERMISSIVE"
+    options = {k: v for k, v in CSV_DIALECT.items() if k not in ("header", "enforceSchema")}
+    options |= {"mode": parser, "columnNameOfCorruptRecord": bad, "maxCharsPerColumn": "-1"}
+    schema = ", ".join(f"`{f.name}` string" for f in text_schema([*columns, bad]))
+    found = quoted.records(spark, path).filter(~F.col("first"))
+    found = found.withColumn("row", F.from_csv("record", schema, options))
+    if mode == "DROPMALFORMED":
+        found = found.filter(F.col(f"row.`{bad}`").isNull())
+    names = [*columns, malformed] if malformed else columns
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "file", "modified")
+
+
 def read_raw(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -60,13 +87,20 @@ def read_raw(
     malformed: str | None = None,
     multi_line: bool = False,
 ) -> DataFrame:
-    """CSV scan plus file name, file time, load time and batch date per row."""
-    lines = scan_csv(spark, path, columns, mode, multi_line, malformed)
+    """CSV scan plus file name, file time, load time and batch date per row.
+
+    With ``multi_line`` quoted fields may hold line breaks; large files are still read by many tasks.
+    """
+    if multi_line:
+        lines, file, modified = scan_records(spark, path, columns, mode, malformed), "file", "modified"
+    else:
+        lines = scan_csv(spark, path, columns, mode, False, malformed)
+        file, modified = "_metadata.file_path", "_metadata.file_modification_time"
     raw = lines.select(
         *[F.col(f"`{c}`") for c in columns],
         *([malformed] if malformed else []),
-        F.col("_metadata.file_path").alias("_stg_file_name"),
-        F.col("_metadata.file_modification_time").alias("_stg_file_load_ts"),
+        F.col(file).alias("_stg_file_name"),
+        F.col(modified).alias("_stg_file_load_ts"),
         as_timestamp(batch_ts).alias("_copy_data_ts"),
         F.lit(execution_date).cast("date").alias("_execution_date"),
     )
@@ -83,12 +117,36 @@ def list_files(spark: SparkSession, path: str | Sequence[str], glob: str | None
     return reader.load(path).select(F.col("_metadata.file_path").alias("path"), "length", "modificationTime")
 
 
+#: Files up to this size are read whole, as one value; Spark's own limit is 2 GB.
+WHOLE_FILE = 256 << 20
+#: Bytes of a larger file that a task holds at once.
+BLOCK = 8 << 20
+
+
 def file_digests(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """One content digest per file, its MD5, whatever its size: (_stg_file_name, _stg_file_md5).
 
-    A file's bytes have to pass in order, so a file is one task's work. Spark reads a file whole only
-    up to its own limit (``spark.sql.sources.binaryFile.maxLength``, 2 GB at most); a larger one fails
-    the load rather than getting another kind of digest.
+    A file's bytes have to pass in order, so a file is one task's work. Files of up to ``WHOLE_FILE`` come
+    through Spark's reader; larger ones are opened by the tasks, a task a file, with Arrow's file systems (local,
+    HDFS, S3, GCS, Azure), and pass a block at a time.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return found.select(F.col("_metadata.file_path").alias("_stg_file_name"), F.md5("content").alias("_stg_file_md5"))
+    name = F.col("_metadata.file_path").alias("_stg_file_name")
+    binary = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    small = binary.filter(F.col("length") <= WHOLE_FILE).select(name, F.md5("content").alias("_stg_file_md5"))
+    large = binary.filter(F.col("length") > WHOLE_FILE).select(name)
+    block = BLOCK
+
+    def digest(batches):
+        for batch in batches:
+            found = []
+            for uri in batch.column(0).to_pylist():
+                store, inner = fs.FileSystem.from_uri(uri)
+                md5 = hashlib.md5(usedforsecurity=False)
+                with store.open_input_stream(inner) as stream:
+                    while data := stream.read(block):
+                        md5.update(data)
+                found.append(md5.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["_stg_file_name", "_stg_file_md5"])
+
+    streamed = large.mapInArrow(digest, "_stg_file_name string, _stg_file_md5 string")
+    return small.unionByName(streamed)
