@@ -180,3 +180,11 @@ def test_reports_follow_changed_months(spark, tmp_path):
     same_reports(spark, lake)
     assert kpi_refresh.refresh(spark, lake, [202305]) is not None
     same_reports(spark, lake)
+    monthly = kpi_refresh.report(spark, lake, "month", months=kpi_refresh.months_of(2023))
+    assert rows(monthly) == rows(kpi_refresh.report(spark, lake, "month").select(*monthly.columns))
+    february = kpi_refresh.report(spark, lake, "restaurant", months=[202302])
+    every = kpi_refresh.report(spark, lake, "restaurant").filter("month = 2").select(*february.columns)
+    assert rows(kpi.top_restaurants(february, 2023, 2)) == rows(kpi.top_restaurants(every, 2023, 2)) != []
+    for df in (monthly, february):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [_order_month" in plan, "months are partitions of the scan"

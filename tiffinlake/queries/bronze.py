@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.quarantine import FAILED_RULES, flag_invalid, load_rules
+from ..plans import entities as en
+from ..plans import jobs
 from ..sources import files, raw, tables
 from ..sources.marketplace import SECOND_LOAD
 from .registry import query
@@ -66,6 +69,68 @@ def bronze_lineage(m):
     )
 
 
+def _drop_lines(m, folder: str, line, header: str) -> str:
+    """One line, or record, per order; every file begins with a header."""
+    first = F.monotonically_increasing_id() % (1 << 33) == 0
+    text = F.when(first, F.concat(F.lit(header + "\n"), line)).otherwise(line)
+    m.table("orders").select(text.alias("value")).write.text(folder)
+    return folder
+
+
+@query(
+    "bronze_malformed",
+    """SELECT CASE WHEN kind IN (0, 3, 4) THEN CASE kind WHEN 3 THEN 'key' ELSE '' END || o_orderkey END AS orderid,
+       CASE kind WHEN 0 THEN o_orderpriority || chr(10) || '"a", b' || chr(10) WHEN 3 THEN 'x' WHEN 4 THEN NULL END AS note,
+       CASE WHEN kind IN (0, 3, 4) THEN o_orderstatus END AS status,
+       CASE kind WHEN 1 THEN o_orderkey || ',x,' || o_orderstatus || ',surplus' WHEN 2 THEN CAST(o_orderkey AS VARCHAR) END AS malformed,
+       CASE WHEN kind IN (1, 2) THEN 'malformed' WHEN kind = 3 THEN 'no_orderid' ELSE '' END AS failed_rules
+FROM (SELECT *, o_orderkey % 5 AS kind FROM orders)""",
+)
+def bronze_malformed(m):
+    """A load with line breaks and quotes in fields, surplus and missing fields and keys that are none: nothing is lost."""
+    kind, key = F.col("o_orderkey") % 5, F.col("o_orderkey").cast("string")
+    broken = F.concat(key, F.lit(',"'), "o_orderpriority", F.lit('\n""a"", b\n",'), "o_orderstatus")
+    line = (
+        F.when(kind == 0, broken)
+        .when(kind == 1, F.concat(key, F.lit(",x,"), "o_orderstatus", F.lit(",surplus")))
+        .when(kind == 2, key)
+        .when(kind == 3, F.concat(F.lit("key"), key, F.lit(",x,"), "o_orderstatus"))
+        .otherwise(F.concat(key, F.lit(",\\N,"), "o_orderstatus"))
+    )
+    folder = _drop_lines(m, files.shared_folder(m.spark, "orders-lines"), line, "orderid,note,status")
+    columns = ["orderid", "note", "status"]
+    rows = raw.read_raw(m.spark, folder, columns, SECOND_LOAD[:10], malformed=raw.MALFORMED, multi_line=True)
+    flagged = flag_invalid(rows, load_rules({"orderid": "bigint"}, raw.MALFORMED))
+    kept = [F.when(F.col(raw.MALFORMED).isNull(), F.col(c)).alias(c) for c in columns]
+    return flagged.select(*kept, F.col(raw.MALFORMED).alias("malformed"), F.col(FAILED_RULES).alias("failed_rules"))
+
+
+@query(
+    "quarantine_bad_keys",
+    """SELECT CASE o_orderkey % 4 WHEN 0 THEN o_orderkey || '|Pune|Goa' WHEN 1 THEN 'junk' WHEN 2 THEN 'L' || o_orderkey END AS locationid,
+       CASE o_orderkey % 4 WHEN 0 THEN 'wrong_delimiter,malformed,no_locationid' WHEN 1 THEN 'junk,malformed,no_locationid'
+         WHEN 2 THEN 'no_locationid' END AS failed_rules, '2002-01-01' AS execution_date
+FROM orders WHERE o_orderkey % 4 <> 3""",
+)
+def quarantine_bad_keys(m):
+    """What the load of a day puts aside: other delimiters, junk and keys that don't parse, each with its reasons."""
+    kind, key = F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string")
+    rest = F.lit(",Pune,Goa,403001,Y,2001-01-01T00:00:00,2001-01-01T00:00:00")
+    line = (
+        F.when(kind == 0, F.concat(key, F.lit("|Pune|Goa")))
+        .when(kind == 1, F.lit("junk"))
+        .when(kind == 2, F.concat(F.lit("L"), key, rest))
+        .otherwise(F.concat(key, rest))
+    )
+    header = ",".join(en.LOCATION.raw_columns)
+    folder = _drop_lines(m, files.shared_folder(m.spark, "location-lines"), line, header)
+    lake = jobs.Lake(files.shared_folder(m.spark, "quarantine-lake"))
+    jobs.ingest(m.spark, lake, en.LOCATION, folder, SECOND_LOAD[:10])
+    bad = jobs.quarantined(m.spark, lake, en.LOCATION, SECOND_LOAD[:10])
+    text = F.coalesce(raw.MALFORMED, "locationid")
+    return bad.select(text.alias("locationid"), F.col(FAILED_RULES).alias("failed_rules"), F.col(tables.BATCH_COLUMN).alias("execution_date"))
+
+
 @query(
     "batch_slice",
     """SELECT event_id, user_id, event_type, value FROM events

@@ -400,6 +400,25 @@ def try_cast_fields(m):
     )
 
 
+@query(
+    "strict_cast_fields",
+    """SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS quantity,
+       CAST(CAST(l_extendedprice AS DECIMAL(10,2)) AS DOUBLE) AS price, l_linestatus = 'F' AS shipped,
+       CAST(l_shipdate AS TIMESTAMP) AS shipped_at FROM lineitem""",
+)
+def strict_cast_fields(m):
+    """Text that must be of its type: here it always is; a unit test has the value that fails the job."""
+    day = F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss")
+    return m.table("lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        casting.cast_text(_text(F.col("l_quantity").cast("int")), "bigint", strict=True).alias("quantity"),
+        casting.cast_text(_money_text("l_extendedprice"), "decimal(10,2)", strict=True).alias("price"),
+        casting.cast_text(_text(F.col("l_linestatus") == "F"), "boolean", strict=True).alias("shipped"),
+        casting.parse_timestamp(day, strict=True).alias("shipped_at"),
+    )
+
+
 @query(
     "parse_timestamps",
     """SELECT event_id, CASE event_type WHEN 'signup' THEN date_trunc('second', ts) WHEN 'click' THEN ts
