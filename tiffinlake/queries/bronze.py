@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.planning import union_all
 from ..operators.quarantine import FAILED_RULES, flag_invalid, load_rules
 from ..plans import entities as en
 from ..plans import jobs
@@ -165,6 +166,39 @@ def clustered_layout(m):
     )
 
 
+@query(
+    "clustered_curve",
+    """SELECT * FROM (SELECT 'order date' AS filtered, count(*) AS row_count, min(o_orderkey) AS first_order, max(o_orderkey) AS last_order,
+         CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS total FROM orders
+         WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-03-01')
+       UNION ALL SELECT 'customer', count(*), min(o_orderkey), max(o_orderkey), CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE)
+         FROM orders WHERE o_custkey BETWEEN 10 AND 19
+       UNION ALL SELECT 'status', count(*), min(o_orderkey), max(o_orderkey), CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE)
+         FROM orders WHERE o_orderstatus = 'P'""",
+)
+def clustered_curve(m):
+    """Orders along a curve through date, customer and status: a filter on any of them reads few files."""
+    folder = files.shared_folder(m.spark, "orders-curve")
+    tables.write_table(m.table("orders"), folder, curve_by=["o_orderdate", "o_custkey", "o_orderstatus"])
+    orders = tables.read_table(m.spark, folder)
+    since, until = (F.lit(t).cast("timestamp_ntz") for t in ("1998-01-01", "1998-03-01"))
+    filters = {
+        "order date": (F.col("o_orderdate") >= since) & (F.col("o_orderdate") < until),
+        "customer": F.col("o_custkey").between(10, 19),
+        "status": F.col("o_orderstatus") == "P",
+    }
+
+    def summed(name: str, condition):
+        return orders.filter(condition).agg(
+            F.count(F.lit(1)).alias("row_count"),
+            F.min("o_orderkey").alias("first_order"),
+            F.max("o_orderkey").alias("last_order"),
+            F.sum(F.col("o_totalprice").cast("decimal(12,2)")).alias("total"),
+        ).select(F.lit(name).alias("filtered"), "*")
+
+    return union_all(*[summed(*f) for f in filters.items()])
+
+
 @query(
     "snapshot_versions",
     """SELECT 'v0' AS version, count(*) AS row_count FROM customer

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from . import files
+from .curve import along_curve
 
 BATCH_COLUMN = "_execution_date"
 #: Where a table keeps its schema: a folder that Spark's readers pass over, with a file per change.
@@ -58,17 +59,23 @@ def write_table(
     cluster_by: Sequence[str] | None = None,
     clusters: int | None = None,
     keep: bool = True,
+    curve_by: Sequence[str] | None = None,
 ) -> None:
     """Writes Parquet. Columns new to the table are fine: it keeps its schema (``keep``), which grows with them.
 
     ``cluster_by`` range-partitions and sorts, so files cover narrow value ranges and their
     min/max statistics skip most of them; it also compacts many small files into few.
 
+    ``curve_by`` orders rows along a curve through several columns instead, so that files are narrow in each
+    of them; ``df`` is read twice then, once for quantiles.
+
     A partitioned write is rebalanced first: rows of a partition come together, so not every task
     writes a file into every partition, and adaptive execution splits the large partitions again,
     so none is written by a single task.
     """
-    if cluster_by:
+    if curve_by:
+        df = along_curve(df, curve_by, clusters)
+    elif cluster_by:
         n = (clusters,) if clusters else ()
         df = df.repartitionByRange(*n, *cluster_by).sortWithinPartitions(*cluster_by)
     elif partition_by:
