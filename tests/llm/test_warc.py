@@ -64,3 +64,13 @@ def test_threshold_leaves_small_payloads(spark, tmp_path):
     names, where = warc.archive_pages(table, f"file://{tmp_path}/t", least_bytes=3)
     got = {r.page_id: r.refers_to for r in warc.read_archives(names, where).collect()}
     assert got == {1: None, 2: None, 3: None, 4: 3}
+
+
+def test_archives_are_dealt_over_as_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 5)
+    rows = [(i, f"http://x/{i}", f"own {i}", "s", 1) for i in range(80)]
+    names, where, read = run(spark, rows, tmp_path, parts=1)
+    assert names.count() == 16
+    sizes = warc.a_task_each(names).rdd.glom().map(len).collect()
+    assert len(sizes) == 16 and max(sizes) <= 3
+    assert read.rdd.getNumPartitions() == 16

@@ -189,7 +189,13 @@ def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
                 names.append(rewrite(name, {a["place"]: a["refers_to"] for a in again or []}, attempt))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["archive"])
 
-    return stored(archives.select("archive", "again").mapInArrow(run, "archive string"), "archives")
+    archives = stored(archives.select("archive", "again"), "plan")
+    return stored(a_task_each(archives).mapInArrow(run, "archive string"), "archives")
+
+
+def a_task_each(archives: DataFrame) -> DataFrame:
+    """A row stands for much work, so rows are dealt over as many tasks; a number given isn't folded by their few bytes."""
+    return archives.repartition(max(1, archives.count()))
 
 
 READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
@@ -232,7 +238,7 @@ def read_archives(archives: DataFrame, folder: str, keep_payload: bool = False)
         columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
         return pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
 
-    return archives.select("archive").mapInArrow(run, READ + ", payload binary" * keep_payload)
+    return a_task_each(archives.select("archive")).mapInArrow(run, READ + ", payload binary" * keep_payload)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> tuple[DataFrame, str]:
