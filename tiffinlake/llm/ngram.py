@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import scratch, stored
 from .words import BASE, STRETCH, U64, buffers, mix, strings, word_hashes
 
 #: The count of all n-grams has this many cells; it is the only thing sent to all tasks.
@@ -549,18 +549,23 @@ def join_near(docs: DataFrame, n: int, percent: int) -> DataFrame:
             folded = [fold(x, TILE_BITS) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(folded, pa.binary())], names=["node", "rep", "wide"])
 
-
-    shown = postings(docs, n, percent, classes).repartition("tile").sortWithinPartitions("tile", "size", "node")
-    looked = stored(shown.mapInArrow(first_look(percent), LOOKED), "looked")
-    # A pair that shares fewer first n-grams than it must is none, unless a large tile hid some of them;
-    # then both its rows are set aside.
-    met = looked.where("b is not null").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("least").alias("least"))
-    links = stored(check(met.where("times >= least").select("a", "b"), docs, reps, n, percent), "links")
-    labels = components(links)
-
-    aside = looked.where("b is null").select("gram", "size", "shown", F.col("a").alias("node"), "sig").distinct()
-    aside = aside.join(reps.select("node", "rep"), "node").join(labels, F.col("rep") == F.col("id"), "left")
-    aside = stored(aside.select("gram", "size", "shown", "node", "sig", F.coalesce("label", "rep").alias("label")), "aside")
+    def links_of(pairs: DataFrame, keep: int) -> DataFrame:
+        with scratch(spark):
+            return stored(check(pairs, docs, reps, n, percent), "links", keep=keep)
+
+    with scratch(spark):
+        shown = postings(docs, n, percent, classes).repartition("tile").sortWithinPartitions("tile", "size", "node")
+        looked = stored(shown.mapInArrow(first_look(percent), LOOKED), "looked")
+        # A pair that shares fewer first n-grams than it must is none, unless a large tile hid some of them;
+        # then both its rows are set aside.
+        met = looked.where("b is not null").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("least").alias("least"))
+        links = links_of(met.where("times >= least").select("a", "b"), keep=2)
+        labels = components(links)
+
+        aside = looked.where("b is null").select("gram", "size", "shown", F.col("a").alias("node"), "sig").distinct()
+        aside = aside.join(reps.select("node", "rep"), "node").join(labels, F.col("rep") == F.col("id"), "left")
+        label = F.coalesce("label", "rep").alias("label")
+        aside = stored(aside.select("gram", "size", "shown", "node", "sig", label), "aside", keep=1)
     mixed = aside.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram")
     # A set of band k is host there and a guest of band k - 1, whose sets are smaller by up to a band.
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent)) / 1.000001)
@@ -571,8 +576,7 @@ def join_near(docs: DataFrame, n: int, percent: int) -> DataFrame:
     banded = banded.join(wide.select("node", "wide"), "node")
     again = banded.select(*POSTING_NAMES, "label", "host", "wide").repartition("tile").sortWithinPartitions("tile", "size")
     more = again.mapInArrow(second_look(percent), PAIR)
-    more = check(more, docs, reps, n, percent)
-    labels = components(links.union(more))
+    labels = components(links.union(links_of(more, keep=1)))
 
     found = members.join(reps.select("node", "rep"), "node", "left").join(labels, F.col("rep") == F.col("id"), "left")
     return found.select("doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("component_id"))
