@@ -22,10 +22,11 @@ Documents without words leave with the mixture, as there is nothing of them to t
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tiffinlake.llm import mixing, ngram, packing, pii, rules
-from tiffinlake.llm.common import SPACE, WORD, read, stored, text_of
+from tiffinlake.llm.common import SPACE, WORD, read, scratch, stored, text_of
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -37,19 +38,49 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.scored(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
+def is_table(docs: DataFrame) -> bool:
+    """Whether ``docs`` is columns of files as they are, so that a row's place in its file is its own."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def placed(docs: DataFrame) -> DataFrame | None:
+    """The rows numbered by the numbers in their file's name and their place in it; None where that is no number of its own."""
+    if not is_table(docs):
+        return None
+    name = r"regexp_extract(_metadata.file_name, '^part-([0-9]{1,6})-.*-c([0-9]{1,3})[^0-9]', %d)"
+    part, piece = (F.expr(f"try_cast({name % i} as long)") for i in (1, 2))
+    file = F.shiftleft(part, 42) + F.shiftleft(piece, 32)
+    try:
+        names = docs.select(F.col("_metadata.file_path").alias("path"), file.alias("file")).distinct()
+        rows = docs.select("*", (file + F.col("_metadata.row_index")).alias("row"))
+    except AnalysisException:  # files without such columns
+        return None
+    files, numbers = names.agg(F.count("*"), F.count_distinct("file")).first()
+    return rows if files == numbers else None
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number each, kept as a table: read anew, the same file may be cut and numbered otherwise."""
-    return stored(mixing.with_row(docs.select(*COLUMNS)), "rows")
+    """The rows with a number each that holds however files are cut for tasks.
+
+    Tables as Spark writes them number their rows, with no copy of the texts; other rows are written as one first.
+    """
+    docs = docs.select(*COLUMNS)
+    rows = placed(docs)
+    return rows if rows is not None else stored(mixing.with_row(docs), "rows", keep=1)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = numbered(docs)
-    found = ngram.join_near(rows.select(F.col("row").alias("doc_id"), "text"), n=5, percent=80)
-    found = stored(found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row"), "found")
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "row"))
-    kept = found.groupBy("component_id").agg(first["row"].alias("kept"))
-    # The documents to leave out are few as a rule; kept as a table, Spark sees whether they are.
-    gone = stored(found.join(kept, "component_id").where("row <> kept").select("row"), "gone")
+    with scratch(spark):
+        rows = numbered(docs)
+        found = ngram.join_near(rows.select(F.col("row").alias("doc_id"), "text"), n=5, percent=80)
+        found = stored(found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row"), "found")
+        first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "row"))
+        kept = found.groupBy("component_id").agg(first["row"].alias("kept"))
+        # The documents to leave out are few as a rule; kept as a table, Spark sees whether they are.
+        gone = stored(found.join(kept, "component_id").where("row <> kept").select("row"), "gone", keep=1)
     return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
@@ -60,8 +91,9 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = numbered(docs)
-    taken = stored(mixing.mix(rows).where("taken > 0").select("row", "size", "taken"), "taken")
+    with scratch(spark):
+        rows = numbered(docs)
+        taken = stored(mixing.mix(rows).where("taken > 0").select("row", "size", "taken"), "taken", keep=1)
     words = F.regexp_extract_all(text_of(), F.lit(f"{SPACE}*{WORD}"), F.lit(0))
     rest = (F.col("taken") % F.col("size")).cast("int")
     whole = F.array_repeat("text", F.expr("taken div size").cast("int"))
