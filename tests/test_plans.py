@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tiffinlake.functions.keys import packed_key, unpacked_key
 from tiffinlake.operators.planning import is_small
 from tiffinlake.operators.scd2 import apply_scd2
 from tiffinlake.operators.upsert import upsert
@@ -94,6 +95,43 @@ def test_hot_order_and_hot_customer_are_split(spark, conf):
     assert "order_id_fk" in skewed and "customer_id_fk" in skewed
 
 
+def joins_of(df) -> list[tuple[str, str, str]]:
+    """Condition and columns of either side of each join, as planned."""
+    found, nodes = [], [df._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "Join":
+            found.append((node.condition().toString(), node.left().output().mkString(" "), node.right().output().mkString(" ")))
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_items_move_without_the_keys_of_their_order(spark, conf, threshold):
+    """Large dimensions: the menu joins before any key is there. Small ones: no key is there when items meet orders."""
+    from tiffinlake.sources.marketplace import Marketplace
+
+    conf(autoBroadcastJoinThreshold=threshold)
+    joins = joins_of(Marketplace(spark, "/root/testdata/sf0.001").build_fact())
+    menu = [left for condition, left, _ in joins if "__menu_id" in condition]
+    orders = [left + right for condition, left, right in joins if "header_order_id" in condition]
+    assert len(menu) == len(orders) == 1
+    if threshold == "-1":
+        assert "_dim_key" not in menu[0]
+    else:
+        assert "_dim_key" not in orders[0]
+
+
+def test_packed_keys_come_back(spark):
+    digest = "0a" * 32
+    texts = [digest, digest.upper(), digest[:-1], digest + "\n", "", "r1", "\x00", "ключ", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "k string")
+    back = rows.select("k", packed_key("k").alias("p")).select("k", F.length("p").alias("n"), unpacked_key("p").alias("back")).collect()
+    assert all(r.back == r.k for r in back)
+    assert [r.n for r in back if r.k == digest] == [33]
+
+
 def test_items_move_once_however_many_dimensions(spark):
     """With small dimensions the only shuffles are those on the order id."""
     from tiffinlake.sources.marketplace import Marketplace
