@@ -187,3 +187,20 @@ def test_compaction_and_retention(spark, tmp_path):
     assert tables.expire_snapshots(spark, snapshots, older_than_hours=-1, keep=2) == [0, 1]
     assert tables.expire_snapshots(spark, snapshots, older_than_hours=-1, keep=0) == [2]
     assert tables.read_snapshot(spark, snapshots).count() == 3
+
+
+def test_a_sales_batch_leaves_its_table_alone(spark, tmp_path):
+    """What a day writes for its own steps is gone when the day is done."""
+    import os
+
+    from tiffinlake.plans import entities as en
+    from tiffinlake.plans import jobs
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared)) if os.path.exists(shared) else set()
+    lake = jobs.Lake(str(tmp_path))
+    for day in ("2024-01-01", "2024-01-02"):
+        batch = spark.sql(f"SELECT 1L order_id, timestamp '{day}' order_date, timestamp '{day}' modified_dt, timestamp '2024-01-01' created_dt, '{day}' status")
+        jobs.store_batch(spark, lake, en.ORDERS, batch, day)
+    assert jobs.read_silver(spark, lake, en.ORDERS).count() == 1
+    assert not [n for n in set(os.listdir(shared)) - before if n.startswith("batch-")]

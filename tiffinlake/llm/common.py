@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..sources.files import delete, shared_folder
+from ..sources.tables import CLEANUP, scratch, stored  # noqa: F401
 
 #: White space that separates words, and its complement, a word.
 SPACE = r"[\x20\x09-\x0D]"
@@ -24,41 +21,5 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-#: The tables that each open ``scratch`` deletes at its end, innermost last.
-_scopes: list[list[str]] = []
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame, name: str, keep: int = 0) -> DataFrame:
-    """``df`` written to the shared folder and read again.
-
-    This computes it once for several readers and cuts its lineage, and it outlives executors. Inside
-    ``scratch`` the table lives as long as that; it outlives the ``keep`` innermost ones.
-    """
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    for scope in _scopes[: max(0, len(_scopes) - keep)][-1:]:
-        scope.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Frees what steps inside leave on disk: stored tables at the end, shuffle files with the job they served.
-
-    Nothing computed inside may be read after it, but for tables stored with ``keep``.
-    """
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        for path in _scopes.pop():
-            delete(spark, path)
-        spark.conf.set(CLEANUP, before)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
