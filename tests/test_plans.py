@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tiffinlake.functions.keys import packed_key, unpacked_key
-from tiffinlake.operators.planning import is_small
+from tiffinlake.operators.planning import is_light, is_small
 from tiffinlake.operators.scd2 import apply_scd2
 from tiffinlake.operators.upsert import upsert
 from tiffinlake.plans import entities as en
@@ -195,3 +195,42 @@ def test_without_hot_keys_a_replay_is_one_scan_and_no_join(spark, tmp_path):
     final = plan_of(history).split("== Initial Plan ==")[0]
     assert "isFinalPlan=true" in final
     assert final.count("FileScan") == 1 and "HashJoin" not in final and final.count("Exchange hashpartitioning") == 1
+
+
+def test_dimensions_small_as_files_only_are_not_broadcast(spark, tmp_path):
+    """Digests are computed from a narrow table: as rows they are many times what its files hold."""
+    ids = spark.range(150_000)
+    ids.coalesce(1).write.parquet(str(tmp_path / "ids"))
+    few = spark.read.parquet(str(tmp_path / "ids"))
+
+    def dim(entity, rows):
+        columns = {c: F.col("id") for c in entity.keys} | {"customer_id_fk": F.col("id"), "location_id_fk": F.lit(1)}
+        return rows.select(
+            F.sha2(F.col("id").cast("string"), 256).alias(entity.surrogate), *[c.alias(n) for n, c in columns.items()],
+            F.lit(True).alias(entity.flag),
+        )
+
+    large = {"menu", "customer"}
+    dims = {e.name: dim(e, few if e.name in large else few.filter("id < 20").localCheckpoint()) for e in en.DIMENSIONS}
+    dims["date"] = star.date_dim(spark, "2023-01-01", "2023-01-31")
+    placed = F.lit("2023-01-05").cast("timestamp")
+    orders = few.select(F.col("id").alias("order_id"), F.col("id").alias("customer_id_fk"), (F.col("id") % 20).alias("restaurant_id_fk"), placed.alias("order_date"))
+    deliveries = few.select(
+        F.col("id").alias("delivery_id"), F.col("id").alias("order_id_fk"), (F.col("id") % 20).alias("delivery_agent_id_fk"),
+        F.col("id").alias("customer_address_id_fk"), placed.alias("modified_date"), F.lit("Delivered").alias("delivery_status"),
+        F.lit("1").alias("estimated_time"),
+    )
+    measures = [F.lit(1).cast("decimal(10,2)").alias(c) for c in star.MEASURES]
+    items = few.select(F.col("id").alias("order_item_id"), F.col("id").alias("order_id_fk"), F.col("id").alias("menu_id_fk"), *measures)
+    assert is_small(dims["menu"]) and is_light(dims["menu"].limit(10)) and not is_light(few.withColumn("k", packed_key(F.lit("k"))))
+    wanted = ["order_id", "customer_dim_key", "restaurant_dim_key", "menu_dim_key"]
+    for how in ("left", "inner"):
+        for columns in (wanted, ["order_id"]):  # keys alone are smaller still
+            fact = star.build_order_item_fact(items, orders, deliveries, dims, how=how).select(*columns)
+            joins = re.findall(r"(SortMergeJoin|BroadcastHashJoin) \[([a-z_]+)#\w+\], \[(\w+)#", plan_of(fact))
+            kinds = {right: kind for kind, _, right in joins if right.startswith("__")}
+            assert kinds["__menu_id"] == kinds["__customer_id"] == "SortMergeJoin"
+            assert kinds["__restaurant_id"] == "BroadcastHashJoin"
+        full = star.build_order_item_fact(items, orders, deliveries, dims, how=how)
+        assert full.count() == (150_000 if how == "left" else 20)
+        assert full.filter("menu_dim_key <> sha2(string(order_item_id), 256) OR customer_dim_key <> sha2(string(order_id), 256)").isEmpty()

@@ -19,6 +19,16 @@ def is_small(df: DataFrame) -> bool:
     return 0 <= estimated_bytes(df) <= threshold
 
 
+def is_light(df: DataFrame) -> bool:
+    """Whether the rows themselves, at the usual width of their types, stay within what Spark broadcasts.
+
+    Its estimate starts from the size of files, and columns that compress well or are computed from few
+    others are many times larger as rows. Counts them: meant for stored tables and projections of these.
+    """
+    threshold = df._jdf.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
+    return df.count() * df._jdf.schema().defaultSize() <= threshold
+
+
 def split_touched(
     target: DataFrame, source: DataFrame, keys: Sequence[str]
 ) -> tuple[DataFrame, DataFrame | None]:

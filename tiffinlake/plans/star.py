@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.keys import as_timestamp, hash_key, packed_key, unpacked_key
 from ..operators.dedup import latest_per_key
-from ..operators.planning import is_small
+from ..operators.planning import is_light, is_small
 from ..operators.timeline import as_of_join
 from ..operators.upsert import upsert
 from . import entities as en
@@ -87,6 +87,14 @@ def _attach(
     return df.alias("l").join(versions.alias("r"), condition, how).select("l.*", *[F.col(f"r.{a}") for a in columns])
 
 
+def _too_large(versions: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether Spark would take the versions for small by their files though they are not.
+
+    A reader may take the keys alone, so it is these whose estimate counts.
+    """
+    return is_small(versions.select(*keys)) and not is_light(versions)
+
+
 # Dimensions that depend on the order alone: name, entity, columns of the order to its key, output, extra columns.
 _OF_ORDER = [
     ("customer", en.CUSTOMER, {"customer_id_fk": "customer_id"}, "customer_dim_key", {}),
@@ -159,21 +167,27 @@ def build_order_item_fact(
     on the way a key takes half its length (``packed_key``). What Spark broadcasts waits until items have
     met their orders: such keys don't move at all. No side is forced to broadcast: Spark does so where the
     size allows, and adaptive execution splits skewed order, customer or restaurant keys where it does not.
+    Current versions that are small as files only, many times larger as rows, are kept from a broadcast.
     """
     at = "order_date"
     headers = _order_headers(orders, delivery, how)
     items = order_items.select("order_item_id", "order_id_fk", "menu_id_fk", *MEASURES, *carry)
 
-    def resolved(df: DataFrame, name: str, spec: en.Entity, on: Mapping[str, str], output: str, extra: Mapping[str, str]) -> DataFrame:
+    looked_up, small = {}, set()
+    for name, spec, on, output, extra in [*_OF_ORDER, _MENU]:
         versions = _versions(dims[name], on, spec, output, extra, lookup)
-        return _attach(df, versions, on, spec, [output, *extra.values()], lookup, at, how)
+        if lookup == "current" and _too_large(versions, [f"__{d}" for d in on.values()]):
+            versions = versions.hint("merge")
+        elif is_small(versions):
+            small.add(name)
+        looked_up[name] = versions
 
-    def waits(name: str, spec: en.Entity, on: Mapping[str, str], output: str, extra: Mapping[str, str]) -> bool:
-        return is_small(_versions(dims[name], on, spec, output, extra, lookup))
+    def resolved(df: DataFrame, name: str, spec: en.Entity, on: Mapping[str, str], output: str, extra: Mapping[str, str]) -> DataFrame:
+        return _attach(df, looked_up[name], on, spec, [output, *extra.values()], lookup, at, how)
 
     waiting, missing = [], set()
     for one in _OF_ORDER:
-        if waits(*one) or missing & set(one[2]):
+        if one[0] in small or missing & set(one[2]):
             waiting.append(one)
             missing |= set(one[4].values())
         else:
@@ -182,7 +196,7 @@ def build_order_item_fact(
     day_waits = is_small(days)
     if not day_waits:
         headers = _attach_day(headers, days, how)
-    if waits(*_MENU):
+    if _MENU[0] in small:
         waiting.append(_MENU)
     elif lookup == "current":
         items = resolved(items, *_MENU)
