@@ -78,3 +78,20 @@ def test_every_id_lies_in_one_piece(spark, monkeypatch):
         assert at <= 2048
     assert sum(r.length for r in got) > 0.97 * 2048 * len(sequences)
     assert packing.pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_ids_stay_out_of_groups(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}", 1, "x", 2) for i in range(50)], SCHEMA)
+    packed = packing.pack(docs, PATH, keep_ids=True)
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    groups = [line for line in plan.splitlines() if "FlatMapGroupsInPandas" in line]
+    assert len(groups) == 1 and "ids_crc32" in groups[0] and "ids#" not in groups[0]
+    assert sorted(r.doc_id for r in packed.collect()) == list(range(50))
+
+
+def test_a_batch_leaves_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS", 7)
+    docs = spark.createDataFrame([(i, "word " * (i % 5 * 1000), 1, "x", 2) for i in range(50)], SCHEMA).coalesce(1)
+    got = sorted(packing.cut(docs, PATH, keep_ids=True).collect(), key=lambda r: r.row)
+    assert [r.row for r in got] == list(range(len(got))) and [r.doc_id for r in got if r.start == 0] == list(range(50))
+    assert all(r.copy == r.doc_id for r in got) and all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in got)

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import stored
 
 WINDOW, END_ID, GROUP = 2048, 1, 16384
+#: Rows whose pieces leave a task at once.
+ROWS = 512
 #: Characters of a long text that are tokenized at once.
 STRETCH = 1 << 17
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -110,7 +112,7 @@ def cut(docs: DataFrame, path: str, window: int = WINDOW, keep_ids: bool = False
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, row, copy = TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             rows, ids_out, copies = [], [], []
             doc_ids = batch.column(0).to_pylist()
             for doc_id, text in zip(doc_ids, batch.column(1).to_pylist(), strict=True):
@@ -178,7 +180,9 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, keep_ids: bool = Fals
     """Every piece of ``docs`` (doc_id, text) with its sequence_id and offset.
 
     Each text is tokenized once; pieces are kept in the shared folder, as their number decides how many
-    groups there are. Odd sequence ids are full windows, even ones are groups' windows.
+    groups there are. Groups hold lengths and numbers of pieces, no ids: these join by the piece's number
+    afterwards, as a stream past the small table of places. Odd sequence ids are full windows, even ones
+    are groups' windows.
     """
     pieces = stored(cut(docs, path, window, keep_ids), "pieces")
     rest = pieces.where(F.col("length") < window)
@@ -191,9 +195,12 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, keep_ids: bool = Fals
         group["offset"] = np.array(offsets, "i8")
         return group.drop(columns="group")
 
-    dealt = rest.withColumn("group", F.pmod(F.xxhash64("task", "row"), F.lit(groups)))
-    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema]
+    dealt = rest.drop("ids").withColumn("group", F.pmod(F.xxhash64("task", "row"), F.lit(groups)))
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "ids"]
     packed = dealt.groupBy("group").applyInPandas(fill, ", ".join([*columns, "sequence_id long", "offset long"]))
+    if keep_ids:
+        packed = packed.hint("shuffle_hash").join(rest.select("task", "row", "ids"), ["task", "row"])
+        packed = packed.select(*pieces.columns, "sequence_id", "offset")
     full = pieces.where(F.col("length") == window).select(
         "*", ((F.col("task") * F.lit(2**33) + F.col("row")) * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
