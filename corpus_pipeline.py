@@ -93,12 +93,17 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with scratch(spark):
         rows = numbered(docs)
-        taken = stored(mixing.mix(rows).where("taken > 0").select("row", "size", "taken"), "taken", keep=1)
+        mixed = stored(mixing.mix(rows).select("row", "doc_id", "source", "size", "taken"), "mixed")
+        taken = stored(mixing.passes(mixed), "taken", keep=1)
+    rules = taken.where("row is null").select(F.col("source").alias("of"), "passes", "upto")
+    odd = taken.where("row is not null").select("row", "size", "taken")
+    rows = rows.where(F.col("text").rlike(WORD)).withColumn("hash", mixing.order_hash())
+    rows = rows.join(rules, F.col("source").eqNullSafe(F.col("of"))).join(odd, "row", "left")
     words = F.regexp_extract_all(text_of(), F.lit(f"{SPACE}*{WORD}"), F.lit(0))
     rest = (F.col("taken") % F.col("size")).cast("int")
-    whole = F.array_repeat("text", F.expr("taken div size").cast("int"))
+    whole = F.array_repeat("text", F.coalesce(F.expr("taken div size"), mixing.whole_passes()).cast("int"))
     start = F.when(rest > 0, F.array(F.array_join(F.slice(words, F.lit(1), rest), "")))
-    copies = rows.join(taken, "row").select(
+    copies = rows.select(
         "doc_id", "lang", "source", F.explode(F.concat(whole, F.coalesce(start, F.array().cast("array<string>")))).alias("text")
     )
     return copies.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)

@@ -72,3 +72,20 @@ def test_signature_bounds_hold():
         apart = len(np.setxor1d(a, b))
         wide = [ngram.parity(x, max(128, 1 << (2 * len(x)).bit_length())) for x in (a, b)]
         assert ngram.differing(ngram.parity(a), ngram.parity(b)) <= apart and ngram.differing(*wide) <= apart
+
+
+def test_postings_are_numbers_and_counts_narrow(spark):
+    """What moves most: no digests or flags, the n-gram only where the tile isn't it; counts in as few bytes as hold them."""
+    import numpy as np
+
+    table = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in corpus()], SCHEMA).repartition(3)
+    counted = ngram.nodes_and_counts(table, 3)
+    found = {len(r.counts) for r in counted.where("slice is not null").select("counts").collect()}
+    assert max(found) <= 4 * ngram.CELLS // ngram.SLICES
+    classes = spark.sparkContext.broadcast(ngram.gram_classes(counted))
+    posted = ngram.postings(table, 3, 90, classes)
+    assert {t for _, t in posted.dtypes} == {"bigint", "int"}
+    assert posted.where("gram is not null").isEmpty() and posted.where("size < 0").count() < posted.count()
+    counts = [np.full(ngram.CELLS // ngram.SLICES, n) for n in (0, 255, 256, 70_000, 1 << 40)]
+    assert [ngram.narrowest(c).itemsize for c in counts] == [1, 1, 2, 4, 8]
+    assert all((ngram.narrowest(c) == c).all() for c in counts)

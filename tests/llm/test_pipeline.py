@@ -5,7 +5,7 @@ import corpus_pipeline
 import public_tokenizers
 import pytest
 from brute import WORDS, components
-from tiffinlake.llm import packing, pii
+from tiffinlake.llm import mixing, packing, pii
 from tiffinlake.llm.common import read
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +91,29 @@ def test_odd_rows_pass_all_stages(spark):
                 assert ids.count(5) == 1 and ids.count(None) == 1
             docs = spark.createDataFrame(out.collect(), out.schema)
         assert (docs.count() > 0) == bool(table)
+
+
+def test_mixture_takes_what_mix_says_without_moving_texts(spark, tmp_path):
+    rng = random.Random(4)
+    sizes = {"a": 2000, "b": 700, "c": 300, None: 9}
+    rows = [(i, " ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(40))), "en", s, 1) for s, n in sizes.items() for i in range(n)]
+    rows += [(None, f"x{i} y z", "en", "a", 1) for i in range(300)] + [(7, " \n", "en", "b", 1), (8, None, "en", "c", 1)]
+    rows += [(10_000, "v " * 9000, "en", "a", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    mixed = mixing.mix(corpus_pipeline.numbered(docs)).where("taken > 0").collect()
+    want, got = {}, {}
+    for r in mixed:
+        want[r.doc_id, r.source] = want.get((r.doc_id, r.source), 0) + r.taken
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 12_000)
+    try:
+        out = corpus_pipeline.mixture(spark, docs, SF)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        found = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for r in found:
+        got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + len(WORDS.findall(r.text))
+    assert got == want
+    assert "hashpartitioning" not in plan, "texts stay where they are"

@@ -16,8 +16,8 @@ anything, all other pairs that the bound allows are checked. No link between com
 the components are those of all links. An n-gram of very many nodes is dealt over several tiles first
 and by size bands the second time.
 
-N-grams are compared by 64-bit hashes and sets by 128-bit digests of them. Words are runs of
-characters other than blanks and line breaks; only A-Z are lower-cased.
+N-grams are compared by 64-bit hashes and sets by 128-bit digests of them; tiles know sets by the first
+64 bits of these, their keys. Words are runs of characters other than blanks and line breaks; only A-Z are lower-cased.
 
 Defined cases: null or empty texts and texts of blanks have the empty set and are linked with nothing;
 a text of fewer words than n has one n-gram, all of it; equal documents are linked; repeated ids are
@@ -80,6 +80,11 @@ def digest(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def key_of(nodes: pa.Array) -> pa.Array:
+    """The first 64 bits of digests: what tiles know nodes by."""
+    return pa.array(np.ascontiguousarray(byte_rows(nodes, 16)[:, :8]).view(np.int64).reshape(-1))
+
+
 # --- nodes and the count of n-grams
 
 
@@ -109,7 +114,7 @@ def nodes_and_counts(docs: DataFrame, n: int) -> DataFrame:
                 names=names,
             )
         if total.any():
-            parts = [p.astype("<i8").tobytes() for p in np.split(total, SLICES)]
+            parts = [narrowest(p).tobytes() for p in np.split(total, SLICES)]
             none = pa.nulls(SLICES)
             yield pa.RecordBatch.from_arrays(
                 [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()),
@@ -121,6 +126,10 @@ def nodes_and_counts(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, ddl)
 
 
+def narrowest(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(next(f"<u{n}" for n in (1, 2, 4, 8) if int(counts.max()) < 1 << 8 * n))
+
+
 def gram_classes(counted: DataFrame) -> np.ndarray:
     """Per cell: 0 for n-grams no more frequent than chance fills a cell, else 1 + log2 of the excess.
 
@@ -131,7 +140,7 @@ def gram_classes(counted: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(counts.as_py(), "<i8")
+                own = np.frombuffer(counts.as_py(), f"<u{len(counts.as_py()) * SLICES // CELLS}").astype("<i8")
                 total[i] = total[i] + own if i in total else own
         sums = pa.array([c.tobytes() for c in total.values()], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), sums], names=["slice", "counts"])
@@ -194,24 +203,16 @@ def within(x: bytes, y: bytes, m: int, n: int, percent: int) -> bool:
     return differing(x, y) <= m + n - 2 * -(-percent * (m + n) // (100 + percent))
 
 
-def fixed_binary(rows: np.ndarray) -> pa.Array:
-    """Rows of bytes, all of one length, as an Arrow binary column."""
-    width = rows.shape[1]
-    offsets = np.arange(len(rows) + 1, dtype=np.int32) * width
-    return pa.Array.from_buffers(
-        pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))]
-    )
-
-
 def byte_rows(column: pa.Array, width: int) -> np.ndarray:
     start = np.frombuffer(column.buffers()[1], np.int32)[column.offset] if len(column) else 0
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     return data[start : start + len(column) * width].reshape(-1, width)
 
 
-#: tile, the n-gram, the set's size, whether it stands among the n-grams shown to larger sets, whether
-#: the n-gram is dealt over several tiles, and 16 bytes of node and of signature.
-POSTING = "tile long, gram long, size int, shown boolean, dealt boolean, node binary, sig binary"
+#: tile, the n-gram where that isn't the tile (it is dealt over several), the set's size (negative unless it
+#: stands among the n-grams shown to larger sets), the node's key and its signature's halves. Postings are what
+#: moves most, and columns of changing bytes are what they cost: n-gram and flags are told by the others.
+POSTING = "tile long, gram long, size int, node long, sig_a long, sig_b long"
 POSTING_NAMES = [f.split()[0] for f in POSTING.split(", ")]
 
 
@@ -237,10 +238,10 @@ def postings(docs: DataFrame, n: int, percent: int, classes) -> DataFrame:
                 tile = chosen
                 dealt = (U64(1) << cls.astype(U64)) > U64(2 * TILE)  # about 2 ** (cls - 1) sets or more
                 if dealt.any():
-                    own = np.frombuffer(node, U64)[0]
+                    own = np.frombuffer(node, U64)[0]  # the node's key
                     chunks = np.maximum((U64(1) << cls.astype(U64)) // U64(TILE), U64(1))
                     tile = np.where(dealt, mix(chosen + BASE * (U64(1) + mix(chosen ^ own) % chunks)), chosen)
-                both = np.frombuffer(node + parity(grams), np.uint8)
+                both = np.frombuffer(node[:8] + parity(grams), np.int64)
                 parts.append((tile, chosen, len(grams), as_smaller, dealt, both))
                 held += len(chosen)
                 if held >= 50_000:
@@ -253,14 +254,13 @@ def postings(docs: DataFrame, n: int, percent: int, classes) -> DataFrame:
         counts = np.array([len(p[0]) for p in parts])
         rank = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         both = np.repeat(np.stack([p[5] for p in parts]), counts, axis=0)
+        size = np.repeat(np.array([p[2] for p in parts], np.int32), counts)
+        shown = rank < np.repeat([p[3] for p in parts], counts)
         columns = [
             pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)),
-            pa.array(np.concatenate([p[1] for p in parts]).view(np.int64)),
-            pa.array(np.repeat(np.array([p[2] for p in parts], np.int32), counts)),
-            pa.array(rank < np.repeat([p[3] for p in parts], counts)),
-            pa.array(np.concatenate([p[4] for p in parts])),
-            fixed_binary(both[:, :16]),
-            fixed_binary(both[:, 16:]),
+            pa.array(np.concatenate([p[1] for p in parts]).view(np.int64), mask=~np.concatenate([p[4] for p in parts])),
+            pa.array(np.where(shown, size, -size)),
+            *[pa.array(np.ascontiguousarray(both[:, c])) for c in range(3)],
         ]
         return pa.RecordBatch.from_arrays(columns, names=POSTING_NAMES)
 
@@ -271,18 +271,18 @@ def postings(docs: DataFrame, n: int, percent: int, classes) -> DataFrame:
 
 
 class Rows:
-    """Columns of postings as arrays. ``who`` numbers nodes: equal numbers, equal nodes."""
+    """Columns of postings as arrays; ``who`` are the keys of nodes."""
 
     def __init__(self, table: pa.Table):
         column = {c: table.column(c).combine_chunks() for c in table.column_names}
         column = {c: a.chunk(0) if isinstance(a, pa.ChunkedArray) else a for c, a in column.items()}
-        self.tile, self.gram = column["tile"].to_numpy(), column["gram"].to_numpy()
-        self.size = column["size"].to_numpy().astype(np.int64)
-        self.shown = column["shown"].to_numpy(zero_copy_only=False)
-        self.dealt = column["dealt"].to_numpy(zero_copy_only=False)
-        self.node, self.sig_bytes = byte_rows(column["node"], 16), byte_rows(column["sig"], 16)
-        self.who = np.ascontiguousarray(self.node).view(U64).reshape(-1, 2)
-        self.sig = np.ascontiguousarray(self.sig_bytes).view(U64).reshape(-1, 2)
+        self.tile = column["tile"].to_numpy()
+        self.dealt = column["gram"].is_valid().to_numpy(zero_copy_only=False)
+        self.gram = np.where(self.dealt, column["gram"].fill_null(0).to_numpy(), self.tile)
+        size = column["size"].to_numpy().astype(np.int64)
+        self.size, self.shown = np.abs(size), size > 0
+        self.who = column["node"].to_numpy()
+        self.sig = np.stack([column["sig_a"].to_numpy(), column["sig_b"].to_numpy()], axis=1).view(U64)
         self.label = column["label"].to_numpy() if "label" in column else None
 
 
@@ -290,7 +290,7 @@ def allowed(r: Rows, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Whether rows i (not larger) and j may be linked, by size band, n-grams shown and signatures."""
     a, b = r.size[i], r.size[j]
     fits = (100 * a >= percent * b) & (r.shown[i] | ((a == b) & r.shown[j]))
-    fits &= (r.who[i] != r.who[j]).any(axis=-1)
+    fits &= r.who[i] != r.who[j]
     differ = np.bitwise_count(r.sig[i] ^ r.sig[j]).sum(axis=-1, dtype=np.int64)
     return fits & (differ <= a + b - 2 * -(-percent * (a + b) // (100 + percent)))
 
@@ -322,8 +322,9 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], least: int = 100_000) -> Iter
         yield pa.Table.from_batches(held)
 
 
-PAIR = "a binary, b binary"
-SIDES = (("a", "rep_a", "size_a", "wide_a"), ("b", "rep_b", "size_b", "wide_b"))
+PAIR = "a long, b long"
+#: Columns of nodes as a pair's; its keys join both.
+SIDES = (("key_a", "a", "rep_a", "size_a", "wide_a"), ("key_b", "b", "rep_b", "size_b", "wide_b"))
 
 
 def first_look(percent: int):
@@ -331,9 +332,9 @@ def first_look(percent: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches):
-            tile, dealt = table.column("tile").to_numpy(), table.column("dealt").to_numpy()
-            node = byte_rows(table.column("node").combine_chunks(), 16)
-            new = np.append(True, (tile[1:] != tile[:-1]) | (node[1:] != node[:-1]).any(axis=1))
+            tile, node = table.column("tile").to_numpy(), table.column("node").to_numpy()
+            dealt = table.column("gram").is_valid().to_numpy()
+            new = np.append(True, (tile[1:] != tile[:-1]) | (node[1:] != node[:-1]))
             _, lengths = runs_of(tile[new])
             new[new] = np.repeat(lengths > 1, lengths) | dealt[new]
             if not new.any():
@@ -358,31 +359,29 @@ def first_look(percent: int):
             yield from told(r, i, j, np.flatnonzero(aside))
 
     def told(r: Rows, i: np.ndarray, j: np.ndarray, aside: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b = r.node[i], r.node[j]
-        swap = (r.who[i] > r.who[j])[:, 0] | ((r.who[i] == r.who[j])[:, 0] & (r.who[i] > r.who[j])[:, 1])
-        a, b = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
-        if len(a):
-            both, at, times = np.unique(np.concatenate([a, b], axis=1), axis=0, return_index=True, return_counts=True)
+        if len(i):
+            keys = np.sort(np.stack([r.who[i], r.who[j]], axis=1), axis=1)
+            both, at, times = np.unique(keys, axis=0, return_index=True, return_counts=True)
             least = common_least(np.minimum(r.size[i], r.size[j])[at])
-            none = pa.nulls(len(both))
+            none = [pa.nulls(len(both), pa.int64())] * 3
             yield pa.RecordBatch.from_arrays(
-                [fixed_binary(both[:, :16]), fixed_binary(both[:, 16:]), pa.array(times), pa.array(least), none.cast(pa.int64()),
-                 none.cast(pa.int32()), none.cast(pa.bool_()), none.cast(pa.binary())],
+                [*[pa.array(np.ascontiguousarray(both[:, c])) for c in (0, 1)], pa.array(times), pa.array(least),
+                 none[0], pa.nulls(len(both), pa.int32()), *none[1:]],
                 names=LOOKED_NAMES,
             )
         if len(aside):
+            size = np.where(r.shown, r.size, -r.size)[aside].astype(np.int32)
+            sig = [pa.array(np.ascontiguousarray(r.sig[aside, c]).view(np.int64)) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [fixed_binary(r.node[aside]), pa.nulls(len(aside)).cast(pa.binary()),
-                 *[pa.nulls(len(aside)).cast(pa.int64())] * 2, pa.array(r.gram[aside]),
-                 pa.array(r.size[aside].astype(np.int32)), pa.array(r.shown[aside]), fixed_binary(r.sig_bytes[aside])],
+                [pa.array(r.who[aside]), *[pa.nulls(len(aside), pa.int64())] * 3, pa.array(r.gram[aside]), pa.array(size), *sig],
                 names=LOOKED_NAMES,
-            )
+            )
 
     return scan
 
 
 #: A pair with how often it met and how often it must, or (b null) a row set aside.
-LOOKED = "a binary, b binary, times long, least long, gram long, size int, shown boolean, sig binary"
+LOOKED = "a long, b long, times long, least long, gram long, size int, sig_a long, sig_b long"
 LOOKED_NAMES = [f.split()[0] for f in LOOKED.split(", ")]
 
 
@@ -415,12 +414,12 @@ def second_look(percent: int):
     """All pairs of rows with different labels that both signatures allow; of two guests none."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tested: set[tuple[bytes, bytes]] = set()  # pairs meet in many tiles; one test is enough
+        tested: set[tuple[int, int]] = set()  # pairs meet in many tiles; one test is enough
         for table in sorted_runs(batches):
             if len(tested) > SEEN:
                 tested.clear()
             r = Rows(table)
-            pairs: list[tuple[bytes, bytes]] = []
+            pairs: list[tuple[int, int]] = []
             host, wide = table.column("host").to_numpy(), table.column("wide")
             for s, n in zip(*(x.tolist() for x in runs_of(r.tile)), strict=True):
                 if (r.label[s : s + n] == r.label[s]).all():
@@ -435,7 +434,7 @@ def second_look(percent: int):
                     keep = allowed(r, i, j, percent)
                     for x in np.flatnonzero(keep).tolist():
                         a, b = i[x], j[x]
-                        pair = tuple(sorted((r.node[a].tobytes(), r.node[b].tobytes())))
+                        pair = tuple(sorted((int(r.who[a]), int(r.who[b]))))
                         keep[x] = pair not in tested and within(
                             wide[a].as_py(), wide[b].as_py(), int(r.size[a]), int(r.size[b]), percent
                         )
@@ -443,7 +442,7 @@ def second_look(percent: int):
                         if keep[x]:
                             pairs.append(pair)
             if pairs:
-                columns = [pa.array(c, pa.binary()) for c in zip(*pairs, strict=True)]
+                columns = [pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
     return scan
@@ -453,7 +452,7 @@ def second_look(percent: int):
 
 
 def check(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b), as representatives' ids, of the pairs of nodes whose sets are as similar as asked."""
+    """Links (a, b), as representatives' ids, of the pairs of nodes' keys whose sets are as similar as asked."""
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -463,9 +462,10 @@ def check(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: i
             yield kept.filter(pa.array(keep, pa.bool_()))
 
     a, b = (reps.select(*[F.col(c).alias(c2) for c, c2 in zip(reps.columns, names, strict=True)]) for names in SIDES)
-    sized = pairs.distinct().join(a, "a").join(b, "b")
+    pairs = pairs.select(F.col("a").alias("key_a"), F.col("b").alias("key_b")).distinct()
+    sized = pairs.join(a, "key_a").join(b, "key_b")
     sized = sized.select("a", "b", "rep_a", "rep_b", "wide_a", "wide_b", "size_a", "size_b")
-    pairs = stored(sized.mapInArrow(prune, PAIR + ", rep_a long, rep_b long"), "pairs")
+    pairs = stored(sized.mapInArrow(prune, "a binary, b binary, rep_a long, rep_b long"), "pairs")
     ids = pairs.select(F.col("rep_a").alias("doc_id"), F.col("a").alias("node")).union(pairs.select("rep_b", "b"))
     ids = stored(ids.distinct(), "wanted")
     # Texts aren't shuffled: a bitmap of fixed size lets all wanted documents through, and some others.
@@ -532,6 +532,11 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
+def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([key_of(batch.column(0)), *batch.columns], names=["key", *batch.schema.names])
+
+
 def join_near(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id for rows of doc_id, text."""
     spark = docs.sparkSession
@@ -542,19 +547,19 @@ def join_near(docs: DataFrame, n: int, percent: int) -> DataFrame:
     reps = counted.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("size"), F.any_value("wide").alias("wide")
     )
-    reps = stored(reps, "nodes")
+    reps = stored(reps.mapInArrow(keyed, "key long, node binary, rep long, size long, wide binary"), "nodes")
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            folded = [fold(x, TILE_BITS) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(folded, pa.binary())], names=["node", "rep", "wide"])
+            folded = [fold(x, TILE_BITS) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(folded, pa.binary())], names=["node", "wide"])
 
     def links_of(pairs: DataFrame, keep: int) -> DataFrame:
         with scratch(spark):
             return stored(check(pairs, docs, reps, n, percent), "links", keep=keep)
 
     with scratch(spark):
-        shown = postings(docs, n, percent, classes).repartition("tile").sortWithinPartitions("tile", "size", "node")
+        shown = postings(docs, n, percent, classes).repartition("tile").sortWithinPartitions("tile", F.abs("size"), "node")
         looked = stored(shown.mapInArrow(first_look(percent), LOOKED), "looked")
         # A pair that shares fewer first n-grams than it must is none, unless a large tile hid some of them;
         # then both its rows are set aside.
@@ -562,19 +567,21 @@ def join_near(docs: DataFrame, n: int, percent: int) -> DataFrame:
         links = links_of(met.where("times >= least").select("a", "b"), keep=2)
         labels = components(links)
 
-        aside = looked.where("b is null").select("gram", "size", "shown", F.col("a").alias("node"), "sig").distinct()
-        aside = aside.join(reps.select("node", "rep"), "node").join(labels, F.col("rep") == F.col("id"), "left")
+        aside = looked.where("b is null").select("gram", "size", F.col("a").alias("node"), "sig_a", "sig_b").distinct()
+        keys = reps.select(F.col("key").alias("node"), "rep")
+        aside = aside.join(keys, "node").join(labels, F.col("rep") == F.col("id"), "left")
         label = F.coalesce("label", "rep").alias("label")
-        aside = stored(aside.select("gram", "size", "shown", "node", "sig", label), "aside", keep=1)
+        aside = stored(aside.select("gram", "size", "node", "sig_a", "sig_b", label), "aside", keep=1)
     mixed = aside.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram")
     # A set of band k is host there and a guest of band k - 1, whose sets are smaller by up to a band.
-    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent)) / 1.000001)
+    band = F.floor(F.log(F.abs("size").cast("double")) / F.log(F.lit(100.0 / percent)) / 1.000001)
     banded = aside.join(mixed, "gram", "left_semi").withColumn("band", F.explode(F.array(band, band - 1)))
-    banded = banded.withColumn("host", F.col("band") == band).withColumn("dealt", F.lit(False))
-    banded = banded.withColumn("tile", F.xxhash64("gram", "band"))
-    wide = reps.select("node", "rep", "wide").mapInArrow(narrow, "node binary, rep long, wide binary")
-    banded = banded.join(wide.select("node", "wide"), "node")
-    again = banded.select(*POSTING_NAMES, "label", "host", "wide").repartition("tile").sortWithinPartitions("tile", "size")
+    banded = banded.withColumn("host", F.col("band") == band).withColumn("tile", F.xxhash64("gram", "band"))
+    banded = banded.withColumn("gram", F.lit(None).cast("long"))
+    wide = reps.select(F.col("key").alias("node"), "wide").mapInArrow(narrow, "node long, wide binary")
+    banded = banded.join(wide, "node")
+    again = banded.select(*POSTING_NAMES, "label", "host", "wide").repartition("tile")
+    again = again.sortWithinPartitions("tile", F.abs("size"))
     more = again.mapInArrow(second_look(percent), PAIR)
     labels = components(links.union(links_of(more, keep=1)))
 
