@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
-from tiffinlake.llm import mih, pivots
+from pyspark.sql import functions as F
+from tiffinlake.llm import blocks, mih, pivots
 
 SCHEMA = "vec_id long, embedding array<float>, score int, lane string, vector int"
 
@@ -83,3 +84,32 @@ def test_pigeonhole_radii():
         radii = mih.substring_radii(bits, radius)
         # However a difference of radius + 1 bits avoids all tables, it needs one bit more per substring.
         assert sum(r + 1 for r in radii) == radius + 1
+
+
+def test_repeated_query_blocks_are_shuffled_whatever_their_estimate(spark):
+    x = normal(400, 6)
+    rows = blocks.usable(table(spark, [*zip(range(400), x.tolist(), strict=True)]))
+    q = blocks.pack(blocks.query_rows(rows, 50), blocks.QUERIES, 8, lambda m: [m])
+    got = blocks.best(q, blocks.pack(rows, blocks.ROWS, 8, lambda m: [m]), 8, 5, mih.exact)
+    assert {i: [a for a, _ in v] for i, v in found(got).items()} == {
+        i: [a for a, _ in v] for i, v in brute(np.arange(400), x.astype(np.float64), 50, 5).items()
+    }
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_sample_reaches_the_driver_once(spark):
+    """Not once per partition, and it is the same vectors."""
+    x = normal(6000, 4)
+    rows = blocks.usable(table(spark, [*zip(range(6000), x.tolist(), strict=True)])).repartition(16)
+    want = np.array([r.vector for r in rows.orderBy(F.xxhash64("vec_id")).collect()])
+    collected = []
+    real = type(rows).orderBy
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(rows), "orderBy", lambda df, *by: collected.append(df) or real(df, *by))
+        got = {n: blocks.bounded_sample(rows, n) for n in (0, 1, 500, 6000, 9000)}
+    for n, sample in got.items():
+        assert sample.tolist() == want[:n].tolist()
+    counts = [df.count() for df in collected if "vector" in df.columns]
+    assert counts[1] < 20 and counts[2] < 600  # rows that any task may send, all tasks together

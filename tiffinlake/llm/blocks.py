@@ -2,8 +2,9 @@
 
 Candidates are packed where they lie into blocks of at most ``ROWS`` vectors, queries into blocks of at
 most ``QUERIES``. Each candidate block meets each query block once: query blocks are repeated for every
-lane, candidate blocks are dealt to lanes, and the two join on the lane. A task holds one block of each
-at a time and keeps a query's k best per block, so memory is bounded and no pair leaves a task.
+lane, candidate blocks are dealt to lanes, and the two join on the lane, by a shuffle: Spark would size
+query blocks before they are repeated. A task holds one block of each at a time and keeps a query's k
+best per block, so memory is bounded and no pair leaves a task.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import shuffle_partitions
 
 ROWS, QUERIES = 4096, 2048
+#: Bits of an id's hash by which a sample is narrowed down before it is collected.
+CELL_BITS = 16
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -90,7 +93,8 @@ def best(queries: DataFrame, blocks: DataFrame, lanes: int, k: int, search: Sear
                     columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
 
-    met = q.join(blocks, "lane").select("query_ids", "query_parts", "ids", "parts")
+    # Spark's estimate leaves out the repeats, so it would broadcast what is as many times larger as there are lanes.
+    met = q.hint("merge").join(blocks, "lane").select("query_ids", "query_parts", "ids", "parts")
     found = met.mapInArrow(scan, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
@@ -103,6 +107,17 @@ def lanes_of(vectors: DataFrame) -> int:
 
 
 def bounded_sample(vectors: DataFrame, rows: int) -> np.ndarray:
-    """At most ``rows`` vectors, spread over all ids by hash; the same whenever the table is the same."""
-    picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(rows).select("vector").collect()
+    """At most ``rows`` vectors, spread over all ids by hash; the same whenever the table is the same.
+
+    Each task would send as many to the driver, so a count per hash cell tells first up to where they lie.
+    """
+    hashed = F.xxhash64("vec_id")
+    cell = F.shiftright(hashed, 64 - CELL_BITS)
+    up_to, there = None, 0
+    for up_to, n in vectors.groupBy(cell.alias("cell")).count().orderBy("cell").collect():
+        there += n
+        if there >= rows:
+            break
+    near = vectors if up_to is None else vectors.where(cell <= up_to)
+    picked = near.orderBy(hashed, "vec_id", "vector").limit(rows).select("vector").collect()
     return np.array([r[0] for r in picked], np.float64)
